@@ -40,7 +40,7 @@ def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str, np.ndarray]]:
     """Whole groups of a stream that is sorted by its first keys columns, many groups at a time, as numpy arrays.
 
-    The last group of a batch waits for the next one; array columns arrive as matrices. Each piece has
+    The last group of a batch waits for the next one; array columns arrive as arrays of arrays. Each piece has
     "_start", where its groups begin.
     """
     held: list[dict[str, np.ndarray]] = []
@@ -65,7 +65,8 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict
         for k in names:
             c = batch.column(batch.schema.get_field_index(k))
             if pa.types.is_list(c.type):
-                cols[k] = c.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                cols[k] = np.empty(batch.num_rows, object)
+                cols[k][:] = np.split(c.flatten().to_numpy(zero_copy_only=False), np.cumsum(c.value_lengths().to_numpy())[:-1])
             else:
                 cols[k] = c.to_numpy(zero_copy_only=False)
         if held and all(held[-1][k][-1] == cols[k][-1] for k in names[:keys]):
