@@ -16,6 +16,8 @@ none. Only id and text are read.
 
 from __future__ import annotations
 
+import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -55,8 +57,6 @@ CONFIRM = 0.6
 
 
 def _grams(text: str) -> set[str]:
-    import re
-
     w = re.findall(WORD, text.lower())
     return {" ".join(w[i:i + n]) for n in range(1, GRAMS + 1) for i in range(len(w) - n + 1)}
 
@@ -115,9 +115,21 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, list[str], dict[
     weights, bias, temperature = model()
     classes = list(bias)
     grams = sorted({g for c in weights.values() for g in c})
-    lit = spark.createDataFrame([(g, [weights[c].get(g, 0.0) for c in classes]) for g in grams], "gram string, w array<double>")
-    return lit, spark.createDataFrame([(c, k, g, len(gs)) for c, ps in TEMPLATES.items() for k, gs in enumerate(map(_grams, ps)) for g in sorted(gs)],
-                                      "family string, tpl int, gram string, tpl_grams int"), classes, bias, temperature
+    by_gram = [{"gram": g, "w": [weights[c].get(g, 0.0) for c in classes]} for g in grams]
+    by_template = [{"family": c, "tpl": k, "gram": g, "tpl_grams": len(gs)} for c, ps in TEMPLATES.items() for k, gs in enumerate(map(_grams, ps)) for g in sorted(gs)]
+    return (_literal(spark, by_gram, "gram:string,w:array<double>"), _literal(spark, by_template, "family:string,tpl:int,gram:string,tpl_grams:int"),
+            classes, bias, temperature)
+
+
+def _literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small fixed table, as an expression."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def _runs(n: int) -> F.Column:
+    """All runs of n tokens of the column tok."""
+    made = F.transform(F.sequence(F.lit(1), F.size("tok") - (n - 1)), lambda i: F.array_join(F.slice("tok", i, n), " "))
+    return F.when(F.size("tok") >= n, made).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, confirm: float = CONFIRM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,7 +142,7 @@ def scan(docs: DataFrame, confirm: float = CONFIRM, id_col: str = "doc_id", text
     held = body.select("doc_id", F.xxhash64("text").alias("th"), F.when(F.col("text").rlike(hint), F.col("text")).alias("t"))
     lines = held.where(F.col("t").isNotNull()).select("doc_id", "th", F.posexplode(F.split("t", "\n")).alias("line", "p")).where(F.col("p").rlike(hint))
     tokens = F.regexp_extract_all(F.lower("p"), F.lit(f"({WORD})"), 1)
-    spans = [F.when(F.size("tok") >= n, F.transform(F.sequence(F.lit(1), F.size("tok") - (n - 1)), lambda i, n=n: F.array_join(F.slice("tok", i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(1, GRAMS + 1)]
+    spans = [_runs(n) for n in range(1, GRAMS + 1)]
     grams = lines.select("doc_id", "th", "line", tokens.alias("tok")).select("doc_id", "th", "line", F.explode(F.array_distinct(F.concat(*spans))).alias("gram"))
     key = ["doc_id", "th", "line"]
     hit = grams.join(F.broadcast(weights), "gram")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import embedding_dedup, exact_dedup, html_extract, license_scan, line_dedup, packing, quality, simhash, toxicity
+from tessera.llm import embedding_dedup, exact_dedup, html_extract, license_scan, line_dedup, packing, quality, sentencepiece_codec, simhash, toxicity
 from tessera.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    return sentencepiece_codec.digest(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model), model)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_simhash_near_dedup, op2_toxicity, op4_license_scan, op5_exact_dedup, op6_embedding_near_dedup, op7_packing, op8_quality, op9_line_dedup, op10_html_extraction)}
+        op1_simhash_near_dedup, op2_toxicity, op3_sentencepiece, op4_license_scan, op5_exact_dedup, op6_embedding_near_dedup, op7_packing, op8_quality, op9_line_dedup, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
