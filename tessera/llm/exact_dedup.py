@@ -93,9 +93,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with the columns they came with."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, F.col(id_col).cast("long") == F.col("_kept_id"), "left_semi")
+    """The rows of docs that stay, with the columns they came with; a row that is there twice stays once."""
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows"))
+    rows = docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"))
+    once, more = rows.where(F.col("__rows") == 1), rows.where(F.col("__rows") > 1).dropDuplicates([id_col, text_col])
+    return once.unionByName(more).select(*docs.columns)
 
 
 ORACLE = r"""
