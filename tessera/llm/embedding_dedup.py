@@ -112,7 +112,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, pivots: int = P
     nodes = materialize(nodes.select("node", "label", "h", "vec", "copies"), "vectors")
     # A bounded sample, the same on every run: the rows with the smallest hashes.
     picked = [r["vec"] for r in nodes.select("h", "vec", "node").orderBy(F.xxhash64("h", F.lit(7)), "h", "node").limit(pivots).collect()]
-    width = max((len(v) for v in picked), default=0)
+    width = max((len(v) for v in picked), default=1)
     points = np.array([v for v in picked if len(v) == width]).reshape(-1, width)
     if not len(points):
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
