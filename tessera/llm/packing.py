@@ -109,20 +109,26 @@ def cut_points(ends: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarray,
     return at, cost[at]
 
 
-def windows(at: np.ndarray, cost: np.ndarray, size: int = SIZE) -> list[int]:
-    """The ends of the windows of the cheapest cover of [0, at[-1]]."""
-    best = [(0, 0.0, 0)]  # position, f(position) + position, index: increasing in both
-    queue = deque(best)
+def windows(at: np.ndarray, cost: np.ndarray, size: int = SIZE, free_last: bool = False) -> list[int]:
+    """The ends of the windows of the cheapest cover of [0, at[-1]]; free_last: the last one's padding costs nothing."""
+    queue = deque([(0, 0.0, 0)])  # position, f(position) + position, index: increasing in both
     back = [0] * (len(at) + 1)
-    pos = [0, *at.tolist()]
+    pos, value = [0, *at.tolist()], [0.0] * (len(at) + 1)
     for k, (j, c) in enumerate(zip(pos[1:], cost.tolist(), strict=True), 1):
         while queue[0][0] < j - size:
             queue.popleft()
         _, low, back[k] = queue[0]
-        value = low + size + c  # f(j) + j
-        while queue and queue[-1][1] > value:
+        low += size + c  # f(j) + j
+        value[k] = low - j
+        while queue and queue[-1][1] > low:
             queue.pop()
-        queue.append((j, value, k))
+        queue.append((j, low, k))
+    if free_last:
+        k = len(at) - 1
+        while k >= 0 and pos[k] >= pos[-1] - size:
+            if value[k] <= value[back[-1]]:
+                back[-1] = k
+            k -= 1
     out = []
     k = len(at)
     while k:
@@ -156,7 +162,7 @@ class Packer:
         cuts = np.cumsum([d[2] for d in self.docs])
         done = cuts if final else cuts[:-1]
         at, cost = cut_points(np.flatnonzero(self.tokens.ends[ids]) + 1, done, self.n)
-        ends = windows(at, cost, self.size)
+        ends = windows(at, cost, self.size, free_last=True)
         if final:
             begin = ends[-2] if len(ends) > 1 else 0
             left = self.n - begin
@@ -167,7 +173,7 @@ class Packer:
                         begin += 1 << bit
                         ends.append(begin)
         else:
-            ends = ends[:-2]  # the last windows wait for what follows
+            ends = ends[:-1]  # the last window waits for what follows
         rows = self.rows(ids, ends)
         used = ends[-1] if ends else 0
         keep_docs, keep_totals, pos = [], [], 0

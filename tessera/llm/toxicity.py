@@ -8,7 +8,7 @@ The model is fitted on a bounded sample of labelled rows: at most SAMPLE rows of
 the doc_id, of texts up to SAMPLE_CHARS code points. Scoring covers every row and whole text.
 
 Results for odd input: a null text is empty; a text without words has one empty sentence; rows whose label is
-null are no training rows; with no row of one class the score is the base rate of a sentence; an empty table
+null are no training rows; with no row of one class all scores are close to 0; an empty table
 gives no rows. Only id and text of the documents are read.
 """
 
@@ -30,6 +30,8 @@ SAMPLE = 4000
 SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)
+#: The logit of every sentence where nothing can be learnt.
+UNTRAINED = -20.0
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
 
@@ -76,7 +78,7 @@ def train(bags: list[str], y: np.ndarray, epochs: int = 80, rate: float = 0.3, d
     """Gradient ascent with per-weight step sizes on the noisy-or likelihood of the bags."""
     weights = np.zeros(BUCKETS)
     if not len(y) or y.min() == y.max():
-        return Model(weights, bias)
+        return Model(weights, UNTRAINED)
     index: dict[str, int] = {}
     words, ends, docs = [], [], []
     for k, text in enumerate(bags):
