@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is logistic in hashed word and word-prefix features; the
+A document is a bag of sentences. A sentence's score is logistic in hashed word and word-prefix features, each counted once; the
 document's probability is the noisy-or 1 - prod(1 - p). Only documents are labelled: the likelihood of the bag
 labels trains the sentence model, which then locates the offending sentences.
 
@@ -65,17 +65,21 @@ class Model:
         spans, logits = [], []
         for m in _SENTENCE.finditer(text.lower() if len(text.lower()) == len(text) else text):
             spans.append(m.span())
-            logits.append(self.bias + sum(map(scores.__getitem__, m[0].split())))
+            logits.append(self.bias + sum(map(scores.__getitem__, set(m[0].split()))))
         return spans or [(0, 0)], np.array(logits or [self.bias])
 
     def document(self, text: str, scores: Scores) -> float:
         get, bias = scores.__getitem__, self.bias
-        logits = np.array([bias + sum(map(get, s.split())) for s in _SENTENCE.findall(text.lower())] or [bias])
+        logits = np.array([bias + sum(map(get, set(s.split()))) for s in _SENTENCE.findall(text.lower())] or [bias])
         return float(-np.expm1(-np.logaddexp(0, logits).sum()))
 
 
-def train(bags: list[str], y: np.ndarray, epochs: int = 80, rate: float = 0.3, decay: float = 1e-5, least: int = 3, bias: float = -5.0) -> Model:
-    """Gradient ascent with per-weight step sizes on the noisy-or likelihood of the bags."""
+def train(bags: list[str], y: np.ndarray, prior: float | None = None, epochs: int = 200, rate: float = 1.0, decay: float = 1e-5, least: int = 3, bias: float = -8.0) -> Model:
+    """Gradient ascent with per-weight step sizes on the noisy-or likelihood of the bags.
+
+    prior: the share of class 1 where the sample was taken from; without one, the sample's. A token counts once
+    in a sentence, so repeating it proves nothing. The bias starts so low that long clean documents stay clean.
+    """
     weights = np.zeros(BUCKETS)
     if not len(y) or y.min() == y.max():
         return Model(weights, UNTRAINED)
@@ -83,7 +87,7 @@ def train(bags: list[str], y: np.ndarray, epochs: int = 80, rate: float = 0.3, d
     words, ends, docs = [], [], []
     for k, text in enumerate(bags):
         for s in _SENTENCE.findall(text.lower()) or [""]:
-            words.extend([index.setdefault(w, len(index)) for w in _WORD.findall(s)])
+            words.extend([index.setdefault(w, len(index)) for w in dict.fromkeys(_WORD.findall(s))])
             ends.append(len(words))
             docs.append(k)
     words, ends, docs = np.array(words, np.int64), np.array(ends), np.array(docs)
@@ -96,7 +100,8 @@ def train(bags: list[str], y: np.ndarray, epochs: int = 80, rate: float = 0.3, d
     df = np.bincount(feats, weights=np.bincount(pairs % len(index), minlength=len(index))[owner], minlength=BUCKETS)
     use = (df >= least).astype(float)
     g2, gb2, b = np.full(BUCKETS, 1e-8), 1e-8, bias
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    share = y.mean()
+    weight = np.ones(len(y)) if prior is None else np.where(y == 1, prior / share, (1 - prior) / (1 - share))
     for _ in range(epochs):
         per_word = np.bincount(owner, weights=weights[feats], minlength=len(index))
         z = b + np.bincount(sentence, weights=per_word[words], minlength=len(ends))
@@ -118,11 +123,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: i
     """docs: doc_id, text. Learns only from labels whose crc32 fold is not the held-out one."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1)).where(crc_mod(F.col("doc_id"), modulus) != held)
     order = (F.xxhash64("doc_id"), "doc_id")
+    counts = dict(known.groupBy("y").count().collect())  # two rows
     picked = known.where("y = 1").orderBy(*order).limit(sample).unionByName(known.where("y = 0").orderBy(*order).limit(sample))
     # At most 2 * SAMPLE rows of two numbers: a bounded side.
     rows = docs.join(F.broadcast(picked), "doc_id").where(F.length("text") <= chars).select("doc_id", "y", "text").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], np.array([r["y"] for r in rows]))
+    return train([r["text"] for r in rows], np.array([r["y"] for r in rows]), counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 5, held: int = 0, threshold: float = 0.5, locate: bool = False,
