@@ -32,10 +32,10 @@ def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame | No
 def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The same, but a malformed document is an error at once (the envelope is one row)."""
     df = spark.read.schema(schema + ", _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    bad = df.select("_corrupt").where("_corrupt is not null").limit(1).collect()
-    if bad:
+    held = df.cache()  # Spark wants the parsed rows kept before it is asked for the corrupt ones
+    if held.where("_corrupt is not null").limit(1).collect():
         raise ContractError(f"{path} is no JSON document")
-    return df.drop("_corrupt")
+    return held.drop("_corrupt")
 
 
 def child_rows(document: DataFrame, array: str) -> DataFrame:
