@@ -33,9 +33,21 @@ SHARED = 2
 BLOCK = 512
 
 
-def _good(vec: F.Column) -> F.Column:
-    finite = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return F.coalesce(vec.isNotNull() & finite & F.exists(vec, lambda v: v != 0), F.lit(False))
+def unit_vectors(rows: DataFrame) -> DataFrame:
+    """rows (vec_id, raw, label) with vec: raw scaled to length 1 in double precision; null where it can't link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for raw, label in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                x = np.array([] if raw is None or label is None or None in raw else raw, float)
+                if len(x) and np.isfinite(x).all() and x.any():
+                    x = x / np.abs(x).max()  # before squaring: no overflow, no underflow
+                    out.append(x / np.sqrt(x @ x) + 0.0)
+                else:
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.list_(pa.float64()))], ["vec_id", "label", "vec"])
+
+    return rows.select("vec_id", "raw", "label").mapInArrow(run, "vec_id long, label string, vec array<double>")
 
 
 def permutations(nodes: DataFrame, pivots: np.ndarray, nearest: int = NEAREST) -> DataFrame:
@@ -102,12 +114,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, pivots: int = P
     """vec_id, n_links, component_id, kept for every row."""
     bounded_batches(vectors.sparkSession, 4000)
     every = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("raw"), F.col(label_col).cast("string").alias("label"))
-    able = every.where(_good(F.col("raw")) & F.col("label").isNotNull())
-    top = F.array_max(F.transform("raw", F.abs))
-    scaled = F.transform("raw", lambda v: v / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, v: s + v * v))
-    unit = able.select("vec_id", "label", F.transform(scaled, lambda v: v / norm).alias("vec"))
-    member = materialize(unit.withColumn("h", F.xxhash64("vec")), "units")
+    units = materialize(unit_vectors(every).withColumn("h", F.xxhash64("vec")), "units")
+    member = units.where(F.col("vec").isNotNull())
     nodes = member.groupBy("label", "h", "vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     nodes = materialize(nodes.select("node", "label", "h", "vec", "copies"), "vectors")
     # A bounded sample, the same on every run: the rows with the smallest hashes.
@@ -115,7 +123,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, pivots: int = P
     width = max((len(v) for v in picked), default=1)
     points = np.array([v for v in picked if len(v) == width]).reshape(-1, width)
     if not len(points):
-        return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     indexed = permutations(nodes, points, nearest)
     # With hardly any pivots every vector shares them all.
     found = materialize(links(indexed, threshold, min(shared, len(points), nearest), block, max(pivots, len(points))), "links")
@@ -124,5 +132,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, pivots: int = P
     known = nodes.join(weight, "node", "left").join(comps, "node", "left").select(
         "label", "h", "vec", (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     linked = member.join(known, ["label", "h", "vec"]).select("vec_id", "n_links", "component_id")
-    rest = every.where(~_good(F.col("raw")) | F.col("label").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    rest = units.where(F.col("vec").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
