@@ -101,3 +101,27 @@ def staleness(searched: DataFrame, published: DataFrame) -> DataFrame:
 def needs_contact(targets: DataFrame, contact: str | None) -> DataFrame:
     """Targets that would query PubMed while no contact address is set."""
     return targets.where(F.lit(not (contact or "").strip()) & (F.coalesce("pubmed_query", F.lit("")) != ""))
+
+
+def directory_violations(people: DataFrame, divisions: DataFrame, url_prefix: str = "https://") -> DataFrame:
+    """key, rule: blank names, repeated ids, unknown or no divisions, profile URLs elsewhere."""
+    rows = failing(people, "id", {"id": F.trim("id") != "", "full_name": F.trim("full_name") != "", "divisions": F.size("division_ids") > 0,
+                                  "profile_url": F.startswith("profile_url", F.lit(url_prefix))})
+    twice = repeated(people, "id").select(F.col("id").alias("key"), F.lit("repeated").alias("rule"))
+    unknown = missing_refs(people.select(F.explode("division_ids").alias("d")), "d", divisions, "id").select("key", F.lit("unknown_division").alias("rule"))
+    return rows.unionByName(twice).unionByName(unknown)
+
+
+def publication_violations(works: DataFrame, details: DataFrame, people: DataFrame) -> DataFrame:
+    """key, rule: blank titles, repeated works, unknown people, details without a work."""
+    rows = failing(works, "id", {"id": F.trim("id") != "", "title": F.trim("title") != ""})
+    twice = repeated(works, "id").select(F.col("id").alias("key"), F.lit("repeated").alias("rule"))
+    who = missing_refs(works.select(F.explode("person_ids").alias("p")), "p", people, "id").select("key", F.lit("unknown_person").alias("rule"))
+    orphan = missing_refs(details, "id", works, "id").select("key", F.lit("details_only").alias("rule"))
+    return rows.unionByName(twice).unionByName(who).unionByName(orphan)
+
+
+def stats_mismatch(stats: DataFrame, actual: DataFrame) -> DataFrame:
+    """One-row tables whose common columns differ: the stated and the counted numbers."""
+    names = [c for c in stats.columns if c in actual.columns]
+    return stats.select(*names).exceptAll(actual.select(*names))

@@ -172,3 +172,24 @@ def search_terms(question: Column) -> Column:
 def prompt_block(kind: str, title: Column, body: Column, limit: int = 1200) -> Column:
     from tessera.functions.text import attribute, sanitize
     return F.concat(F.lit(f'<{kind} title="'), attribute(title), F.lit('">\n'), sanitize(body, limit), F.lit(f"\n</{kind}>"))
+
+
+def search(chunks: DataFrame, question_terms: list[str], query: DataFrame | None = None, people: int = 5, groups: int = 3, tools: int = 3) -> dict[str, DataFrame]:
+    """The whole retrieval: both branches (the lexical one alone without a query vector), fusion, people with evidence,
+    tools and groups. chunks: id, kind, title, body, owner_ids, group_ids and, for the dense branch, vector."""
+    branches = [bm25(chunks, question_terms)]
+    if query is not None:
+        branches.append(dense(chunks.where("vector is not null"), query))
+    pool = fuse(branches).join(chunks.drop("vector") if "vector" in chunks.columns else chunks, "id").cache()
+    credit = pool.select("id", "kind", "score", F.explode("owner_ids").alias("owner"))
+    own = credit.where("kind = 'researcher'").groupBy("owner").agg(F.max("score").alias("score"))
+    who = roll_up(credit.where("kind = 'work'"), "owner", own)
+    by_group = pool.where("kind in ('work', 'tool')").select("id", "kind", "score", F.explode("group_ids").alias("grp"))
+    centres = roll_up(by_group, "grp", weight=F.when(F.col("kind") == "tool", 2.0).otherwise(1.0))
+    return {"pool": pool.select("id", "kind", "title", "score"), "people": best_owners(who, "owner", people), "groups": best_owners(centres, "grp", groups),
+            "tools": pool.where("kind = 'tool'").orderBy(F.round("score", 9).desc(), "id").limit(tools).select("id", "title", "score", "owner_ids")}
+
+
+def answer_reason(pool: DataFrame) -> DataFrame:
+    """One row: confident is false, with reason no_match, only where nothing was found."""
+    return pool.agg((F.count("*") > 0).alias("confident")).select("confident", F.when(~F.col("confident"), "no_match").alias("reason"))

@@ -169,3 +169,34 @@ def budgeted_take(items: Column, budget: int, stop_at_first: bool = False) -> Co
                         F.when(fits, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"),
                         (acc["done"] | (~fits & F.lit(stop_at_first))).alias("done"))
     return F.aggregate(items, start, step)["kept"]
+
+
+def fixed_projection(rows: DataFrame, fields: dict[str, tuple[str, object]]) -> DataFrame:
+    """A fixed schema with defaults: {column: (type, default)}; columns that the rows lack are all default."""
+    def one(name: str, kind: str, default: object) -> Column:
+        value = F.lit(default).cast(kind) if not isinstance(default, list) else F.array(*map(F.lit, default)).cast(kind)
+        return (F.coalesce(F.col(name).cast(kind), value) if name in rows.columns else value).alias(name)
+    return rows.select(*[one(n, *f) for n, f in fields.items()])
+
+
+def fill_nested(array: Column, defaults: dict[str, str]) -> Column:
+    """An array of structs with these text fields, blank or missing ones filled."""
+    return F.transform(array, lambda x: F.struct(*[F.coalesce(F.nullif(x[f], F.lit("")), F.lit(d)).alias(f) for f, d in defaults.items()]))
+
+
+def nested_totals(organizations: DataFrame, arrays: list[str]) -> DataFrame:
+    """One row: how many elements each nested array has over all rows."""
+    return organizations.agg(*[F.coalesce(F.sum(F.greatest(F.size(F.coalesce(a, F.array().cast(dict(organizations.dtypes)[a]))), F.lit(0))), F.lit(0)).alias(a) for a in arrays])
+
+
+def work_stats(works: DataFrame, health: DataFrame) -> DataFrame:
+    """One row: works, preprints, with_abstract, people_with_works, sources_attention."""
+    base = works.agg(F.count("*").alias("works"), F.count_if(F.col("type") == "preprint").alias("preprints"), F.count_if("has_abstract").alias("with_abstract"))
+    who = works.select(F.explode("person_ids").alias("p")).agg(F.count_distinct("p").alias("people_with_works"))
+    return base.crossJoin(who).crossJoin(health.agg(F.count_if(F.col("status") != "ok").alias("sources_attention")))  # one-row tables
+
+
+def view_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: people by kind, edges, and the share of trainees in whole per cent."""
+    n = nodes.agg(F.count("*").alias("people"), F.count_if(F.col("kind") == "faculty").alias("faculty"), F.count_if(F.col("kind") == "trainee").alias("trainees"), F.count_if(F.col("kind") == "both").alias("both"))
+    return n.crossJoin(edges.agg(F.count("*").alias("edges"))).withColumn("trainee_share", share(F.col("trainees"), F.col("people")))
