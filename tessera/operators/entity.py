@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import name_key
-from tessera.operators.graph import connected
+from tessera.operators.graph import connected, number_rows
 
 
 def first_key_match(probe: DataFrame, build: DataFrame, probe_id: str, build_id: str, keys: str = "keys", ordinal: str = "ordinal") -> DataFrame:
@@ -121,5 +121,5 @@ def ordinals(rows: DataFrame, parent: str, array: str) -> DataFrame:
 
 
 def dense_index(items: DataFrame, key: str) -> DataFrame:
-    """key, idx (from 0) of a dimension's distinct keys."""
-    return items.select(key).distinct().select(key, (F.dense_rank().over(Window.orderBy(key)) - 1).alias("idx"))
+    """key, idx (from 0) of the distinct keys in order."""
+    return number_rows(items.select(key).distinct(), key, name="idx")

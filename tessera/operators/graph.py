@@ -70,6 +70,20 @@ def _digest(pairs: DataFrame) -> tuple:
     return row[0], row[1]
 
 
+def number_rows(rows: DataFrame, *order: Column | str, name: str = "n") -> DataFrame:
+    """rows with their place (from 0) in a total order, without one task that sees them all.
+
+    A range exchange orders the partitions, each numbers its own rows, and the counts of the partitions before it
+    (one row a partition: a bounded side) are added. End the order with a unique column.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return dealt.withColumn("_at", place).join(F.broadcast(before), "_p").select(*rows.columns, (F.col("_at") + F.col("_before")).cast("long").alias(name))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component, label, size: label counts from 0 by size (largest first), then smallest node.
 
@@ -79,9 +93,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     members = nodes.select("node").distinct().join(connected(edges), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component"))
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    # One row for each component: numbering them is a total order by definition.
-    ranked = sizes.select("component", "size", (F.row_number().over(
-        Window.orderBy(F.col("size").desc(), "component")) - 1).cast("long").alias("label"))
+    ranked = number_rows(sizes, F.col("size").desc(), "component", name="label")
     return members.join(ranked, "component")
 
 
@@ -156,7 +168,7 @@ def satellites(labelled: DataFrame, smallest_main: int = 5, ring: float = 1.0, l
     small = labelled.where(F.col("size") < smallest_main)
     comps = small.select("component").distinct()
     total = comps.agg(F.count("*").alias("n_comps"))
-    index = comps.select("component", (F.row_number().over(Window.orderBy("component")) - 1).alias("c"))
+    index = number_rows(comps, "component", name="c")
     at = F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1
     spot = small.withColumn("_at", at).join(index, "component").crossJoin(F.broadcast(total))
     a = F.lit(2.0) * F.pi() * F.col("c") / F.col("n_comps")

@@ -28,18 +28,18 @@ def micro_cost(input_tokens: Column | str, output_tokens: Column | str, price_in
 
 
 def cumulative_spend(requests: DataFrame, cost: str, budget: int, ts: str = "ts", order: str = "event_id") -> DataFrame:
-    """requests with month, day_spent, spent (running in the month, by day first, then inside the day) and denied.
+    """requests with month, spent (running in the month) and denied (the budget was reached before).
 
-    Days are summed first, so the running sum over days has one row a day, and the windows over single requests
-    run within a day.
+    Hours are summed first, so the running sum over a month has one row an hour, and the windows over single
+    requests run within an hour.
     """
-    days = requests.groupBy(F.date_trunc("month", ts).alias("month"), F.date_trunc("day", ts).alias("day")).agg(F.sum(cost).alias("day_spent"))
-    before = F.coalesce(F.sum("day_spent").over(Window.partitionBy("month").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    earlier = days.select("day", "day_spent", before.alias("before"))
-    inside = F.sum(cost).over(Window.partitionBy("day").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = requests.withColumn("month", F.date_trunc("month", ts)).withColumn("day", F.date_trunc("day", ts)).join(earlier, "day")
+    hours = requests.groupBy(F.date_trunc("month", ts).alias("month"), F.date_trunc("hour", ts).alias("hour")).agg(F.sum(cost).alias("hour_spent"))
+    before = F.coalesce(F.sum("hour_spent").over(Window.partitionBy("month").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = hours.select("hour", before.alias("before"))
+    inside = F.sum(cost).over(Window.partitionBy("hour").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = requests.withColumn("month", F.date_trunc("month", ts)).withColumn("hour", F.date_trunc("hour", ts)).join(earlier, "hour")
     spent = rows.withColumn("spent", F.col("before") + inside)
-    return spent.withColumn("denied", (F.col("spent") - F.col(cost)) >= budget).drop("before")
+    return spent.withColumn("denied", (F.col("spent") - F.col(cost)) >= budget).drop("before", "hour")
 
 
 #: What admission() decides, in the order in which the checks come.

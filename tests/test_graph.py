@@ -46,6 +46,13 @@ def test_long_chain_and_hub(spark):
     assert graph.connected(e.limit(0)).count() == 0
 
 
+def test_numbering_is_a_total_order(spark):
+    rows = spark.createDataFrame([(k * 7 % 101, k % 5) for k in range(101)], "k long, g long").repartition(6)
+    got = {r["k"]: r["n"] for r in graph.number_rows(rows, F.col("g").desc(), "k").collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == [r["k"] for r in rows.orderBy(F.col("g").desc(), "k").collect()]
+    assert sorted(got.values()) == list(range(101))
+
+
 def test_pruning(spark):
     nodes, e = graph_of(spark, "abcdeyz", ["ab", "bc", "cd", "de", "yz"])
     kept, inside = graph.prune_small(nodes, e, 5)
