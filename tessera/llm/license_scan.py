@@ -7,7 +7,7 @@ classifier names is confirmed by template comparison: the share of the grams of
 the paragraph contains.
 
 Training is small and local to the driver: the templates below, cut and mixed with filler in fixed ways. Only
-paragraphs that hold a word of the model's vocabulary are cut into grams; for all others the answer is known.
+paragraphs that hold one of a few words, without which no template can be confirmed, are cut into grams.
 
 Results for odd input: null text is empty; documents without a licence paragraph give one row with an empty
 list; repeated doc_ids with different texts are rows of their own, equal rows are one; an empty table gives
@@ -126,6 +126,24 @@ def _literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
+@lru_cache(maxsize=8)
+def hint_pattern(confirm: float = CONFIRM) -> str:
+    """Words of which every paragraph that can be confirmed holds one: without them less than confirm of any template is left.
+
+    For each template its longest words, until that holds. Paragraphs without such a word are unknown at once.
+    """
+    words: set[str] = set()
+    for phrases in TEMPLATES.values():
+        for p in phrases:
+            grams = _grams(p)
+            order = sorted((g for g in grams if " " not in g), key=lambda w: (w not in words, -len(w), w))
+            held: list[str] = []
+            while sum(not any(h in g for h in held) for g in grams) >= confirm * len(grams):
+                held.append(order.pop(0))
+            words.update(held)
+    return "(?i)" + "|".join(re.escape(w) for w in sorted(words))
+
+
 def _runs(n: int) -> F.Column:
     """All runs of n tokens of the column tok."""
     made = F.transform(F.sequence(F.lit(1), F.size("tok") - (n - 1)), lambda i: F.array_join(F.slice("tok", i, n), " "))
@@ -137,8 +155,7 @@ def scan(docs: DataFrame, confirm: float = CONFIRM, id_col: str = "doc_id", text
     spark = docs.sparkSession
     body = texts(docs, id_col, text_col)
     weights, templates, classes, bias, temperature = _tables(spark)
-    hint = r"(?i)licen[cs]e|spdx|copyright|copyrighted|permission|redistribution|reserved|creative commons|public domain|proprietary|mozilla|prohibited|waived|\bcc[0 -]|gnu|\bmit\b|\bbsd\b|apache|gpl|free software"
-    # A family is only confirmed by a template, and every template holds a word of the hint: others are unknown.
+    hint = hint_pattern(confirm)
     held = body.select("doc_id", F.xxhash64("text").alias("th"), F.when(F.col("text").rlike(hint), F.col("text")).alias("t"))
     lines = held.where(F.col("t").isNotNull()).select("doc_id", "th", F.posexplode(F.split("t", "\n")).alias("line", "p")).where(F.col("p").rlike(hint))
     tokens = F.regexp_extract_all(F.lower("p"), F.lit(f"({WORD})"), 1)

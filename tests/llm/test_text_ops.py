@@ -199,6 +199,16 @@ def test_licenses(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_hint_words_miss_nothing():
+    """What a paragraph without hint words can share with a template stays below the confirming share."""
+    import re
+    hint = re.compile(license_scan.hint_pattern())
+    for phrases in license_scan.TEMPLATES.values():
+        for p in phrases:
+            grams = license_scan._grams(p)
+            assert sum(not hint.search(g) for g in grams) < license_scan.CONFIRM * len(grams)
+
+
 def test_every_template_is_its_own_family(spark):
     rows = [(f"{c}{k}", c, p) for c, ps in license_scan.TEMPLATES.items() for k, p in enumerate(ps)]
     df = spark.createDataFrame([(k, "intro words\n" + p + "\nclosing words") for k, (_, _, p) in enumerate(rows)], "doc_id long, text string")
