@@ -40,8 +40,8 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (smallest node reachable) for all nodes that have an edge to another node.
 
     Alternates the large-star and small-star steps. Minima come from aggregates that combine before the
-    shuffle, and come back by equi-joins that AQE can split, so a hub with a third of all edges doesn't end
-    in one task. Each round is written to the shared folder. Needs src and dst of one orderable type.
+    shuffle, and come back by salted equi-joins that AQE can split too, so a hub with a third of all edges
+    doesn't end in one task. Each round is written to the shared folder. Needs src and dst of one orderable type.
     """
     now = materialize(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
                       .where(F.col("a") != F.col("b")).distinct(), "edges")
@@ -51,9 +51,9 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         sym = now.union(now.select("b", "a")).toDF("u", "v")
         low = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        star = sym.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        star = _with_minimum(sym.where(F.col("v") > F.col("u")), low, "u", "v").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = star.groupBy("a").agg(F.min("b").alias("m"))
-        near = star.join(least, "a")
+        near = _with_minimum(star, least, "a", "b")
         now = materialize(near.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
                           .union(least.select("a", "m")).distinct(), "edges")
         then, seen = seen, _digest(now)
@@ -65,6 +65,13 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def _with_minimum(pairs: DataFrame, low: DataFrame, key: str, other: str, salts: int = 16) -> DataFrame:
+    """pairs with the minimum m of their key. The join's own salted exchanges deal a hub's pairs to several tasks."""
+    dealt = pairs.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(salts)).cast("int"))
+    copies = low.select(key, "m", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def _digest(pairs: DataFrame) -> tuple:
     row = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return row[0], row[1]
