@@ -186,20 +186,25 @@ def _ring_links(x: np.ndarray, y: np.ndarray, seg: int, segs: list[tuple[int, in
 def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK, sketches: DataFrame | None = None, similarity: float = 0.0) -> DataFrame:
     """src, dst: enough pairs of representatives within distance to connect what is connected.
 
-    nodes: fp, rep, tab. sketches (rep, sketch): pairs must also agree in a share of similarity of the sketch.
+    nodes: fp, rep, tab. sketches (rep, sketch): pairs must also agree in a share of similarity of the sketch; with a
+    column bands (array of keys), pairs that share one of them are candidates too, whatever their fingerprints.
     Each bucket is compared in blocks of at most about block rows against block rows; a task emits a spanning
     forest of what it found, so the rows out grow with the rows in and not with the square of a group. Buckets
     above one block are dealt out as pairs of blocks to different tasks.
     """
     segs = segments(distance)
-    keys = materialize(ring_keys(nodes, distance), "ring")
+    made = ring_keys(nodes, distance)
+    if sketches is not None and "bands" in sketches.columns:
+        zero = F.lit(0)
+        made = made.unionByName(sketches.select(F.explode("bands").alias("key"), zero.cast("long").alias("fp"), "rep", F.lit(False).alias("probe"), zero.cast("byte").alias("seg")))
+    keys = materialize(made, "ring")
     # A bucket can hold a link only if it has an index row and a second row.
     sizes = keys.groupBy("key").agg(F.count_if(~F.col("probe")).alias("n_index"), F.count("*").alias("n")).where(
         (F.col("n_index") > 0) & (F.col("n") > 1)).select("key", F.ceil(F.col("n") / block).cast("int").alias("nb"))
     rows = keys.join(sizes, "key")
     extra = []
     if sketches is not None:
-        rows, extra = rows.join(sketches, "rep"), ["sketch"]
+        rows, extra = rows.join(sketches.select("rep", "sketch"), "rep"), ["sketch"]
     mine = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
     dealt = rows.withColumn("blk", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "key", F.least("blk", "other").alias("a"), F.greatest("blk", "other").alias("b"), "blk", "fp", "rep", "probe", "seg", *extra)
@@ -261,6 +266,12 @@ def _multipliers(n: int) -> np.ndarray:
 
 
 SKETCH = 128
+#: Minima of a band. Two sets of Jaccard similarity 0.8 share none of SKETCH / BAND bands with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
+BAND = 4
+#: Standard errors of the sketch below the similarity that a pair may have and is still verified.
+SLACK = 4.5
+#: Bytes of text in a block of the verification.
+BLOCK_BYTES = 16 << 20
 
 
 def sketch(hashes: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -273,25 +284,93 @@ def sketch(hashes: np.ndarray, many: np.ndarray) -> np.ndarray:
     return low
 
 
+def band_keys(low: np.ndarray) -> np.ndarray:
+    """A key for each band of the minima."""
+    parts = low.reshape(-1, BAND)
+    key = np.arange(len(parts), dtype=np.uint64) * P3
+    with np.errstate(over="ignore"):
+        for k in range(BAND):
+            key = _round(key, parts[:, k])
+    return key.view(np.int64)
+
+
+def shingle_set(text: str, size: int, seed: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, size, seed)]))
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def verified(members: DataFrame, similarity: float, floor: float, size: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """src, dst: enough pairs whose shingle sets have at least that Jaccard similarity to connect what is connected.
+
+    members: component (of candidates), node, sketch, text. Pairs whose sketches agree in less than floor, and pairs
+    that are connected already, aren't counted. Components above a block are dealt out as pairs of blocks.
+    """
+    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("nb"))
+    rows = members.join(sizes, "component").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
+        "component", F.least("blk", "other").alias("a"), F.greatest("blk", "other").alias("b"), "blk", "node", "sketch", "text")
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.repartition(n, "component", "a", "b").sortWithinPartitions("component", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in sorted_groups(batches, 3):
+            src, dst = [], []
+            bounds = np.append(g["_start"], len(g["node"]))
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                if hi - lo < 2:
+                    continue
+                body, blk, cross = g["text"][lo:hi], g["blk"][lo:hi], g["a"][lo] != g["b"][lo]
+                sk = np.frombuffer(b"".join(g["sketch"][lo:hi]), np.uint8).reshape(hi - lo, -1)
+                sets: dict[int, np.ndarray] = {}
+
+                def of(i: int, sets: dict = sets, body: np.ndarray = body) -> np.ndarray:
+                    if i not in sets:
+                        sets[i] = shingle_set(body[i], size, seed)
+                    return sets[i]
+
+                label = np.arange(hi - lo)
+                for i in range(hi - lo - 1):
+                    like = (sk[i + 1:] == sk[i]).mean(axis=1)
+                    if cross:
+                        like[blk[i + 1:] == blk[i]] = -1
+                    left = i + 1 + np.argsort(-like, kind="stable")[:np.count_nonzero(like >= floor)]
+                    while (left := left[label[left] != label[i]]).size:
+                        j, left = left[0], left[1:]
+                        if jaccard(of(i), of(j)) >= similarity:
+                            label[label == label[j]] = label[i]
+                            src.append(g["node"][lo + i])
+                            dst.append(g["node"][lo + j])
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    return ordered.mapInArrow(run, "src long, dst long").where("src <> dst")
+
+
 def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 4, tables: int = 4, seed: int = 42,
                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: classes of documents whose word shingles of that size have a Jaccard similarity of at least similarity.
 
     An edit that leaves 0.8 of the five-word shingles turns over ten of 64 bits of their SimHash, beyond any
-    selective index; of the SimHash of the set of words it turns about four. So candidates are pairs within
-    distance under one of several SimHashes of the word sets, found by pigeonring filtering, and are verified by
-    a sketch of SKETCH minima of the shingle sets (standard error 0.035 at 0.8) inside the same tasks.
+    selective index. Candidates are pairs within distance under one of several SimHashes of the word sets, found by
+    pigeonring filtering, and pairs that share a band of minima of the shingle sets: these depend on the shingles'
+    Jaccard similarity alone, not on the kind of edit. Pairs whose sketches of SKETCH minima agree (less SLACK standard
+    errors) form components of candidates, and links inside these are verified by the sets of shingles themselves.
     """
     bounded_batches(docs.sparkSession)
     many, spin = _multipliers(SKETCH), _multipliers(SKETCH + tables)[SKETCH:]
+    floor = similarity - SLACK * (similarity * (1 - similarity) / SKETCH) ** 0.5
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = np.zeros(1, np.uint64)
         for b in batches:
             ids, body = columns(b, "doc_id", "text")
-            fps, marks = [], []
+            fps, marks, bands = [], [], []
             for text in body:
-                words = np.unique(np.concatenate([empty[:0], *shingle_hashes(text, 1, seed)]))
+                words = shingle_set(text, 1, seed)
                 with np.errstate(over="ignore"):
                     own = []
                     for c in spin:
@@ -304,12 +383,17 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, d
                 for h in shingle_hashes(text, size, seed):
                     low = np.minimum(low, sketch(h, many))
                 marks.append((low >> np.uint64(7)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["doc_id", "fps", "sketch"])
-
-    found = texts(docs, id_col, text_col).mapInArrow(features, "doc_id long, fps array<long>, sketch binary")
-    rows = materialize(found.withColumn("same", F.xxhash64("fps", "sketch")), "features")
-    nodes = materialize(rows.groupBy("same", "fps", "sketch").agg(F.min("doc_id").alias("rep")), "nodes")
+                bands.append(band_keys(low))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, longs), pa.array(marks, pa.binary()), pa.array(bands, longs)], ["doc_id", "fps", "sketch", "bands"])
+
+    body = texts(docs, id_col, text_col)
+    found = body.mapInArrow(features, "doc_id long, fps array<long>, sketch binary, bands array<long>")
+    rows = materialize(found.withColumn("same", F.xxhash64("fps", "sketch", "bands")), "features")
+    nodes = materialize(rows.groupBy("same", "fps", "sketch", "bands").agg(F.min("doc_id").alias("rep")), "nodes")
     each = nodes.select("rep", F.posexplode("fps").alias("tab", "fp"))
-    comps = connected(links(each, distance, sketches=nodes.select("rep", "sketch"), similarity=similarity))
+    near = connected(links(each, distance, sketches=nodes.select("rep", "sketch", "bands"), similarity=floor))
+    members = near.join(nodes.select(F.col("rep").alias("node"), "sketch"), "node").join(body.withColumnRenamed("doc_id", "node"), "node")
+    comps = connected(verified(members, similarity, floor, size, seed))
     classes = nodes.join(comps, F.col("rep") == F.col("node"), "left").select("same", F.col("sketch").alias("_s"), F.coalesce("component", "rep").alias("component_id"))
     return rows.join(classes, (rows["same"] == classes["same"]) & (rows["sketch"] == classes["_s"])).select("doc_id", "component_id")

@@ -97,6 +97,32 @@ def test_similar_documents(docs):
                 assert like > 0.6, (i, j, like)
 
 
+def test_similar_documents_whatever_the_edit(spark):
+    """Appended, cut off and scattered edits at 0.75 to 0.95: linked from 0.8 of the five-word shingles on, and not below."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(5000)]
+    rows, like = [], {}
+
+    def shingles(w):
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    for k in range(180):
+        w = [rng.choice(words) for _ in range(rng.randint(120, 500))]
+        share = rng.uniform(0.04, 0.28)
+        n = round(len(w) * share)
+        if k % 3 == 0:
+            v = w + [rng.choice(words) for _ in range(n)]
+        elif k % 3 == 1:
+            v = w[:len(w) - n]
+        else:
+            v = [rng.choice(words) if rng.random() < share / 8 else x for x in w]
+        a, b = shingles(w), shingles(v)
+        like[k] = len(a & b) / len(a | b)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert min(sum(0.8 <= like[k] <= 0.95 for k in like if k % 3 == e) for e in range(3)) > 20 and sum(x < 0.8 for x in like.values()) > 5
+    assert {k: got[2 * k + 1] == 2 * k for k in like} == {k: like[k] >= 0.8 for k in like}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(none).count() == 0
