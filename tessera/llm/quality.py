@@ -33,6 +33,17 @@ SHRINK = 0.3
 PLAIN = 15.0
 
 
+# Fixed value: deletes the ASCII characters that aren't capitals.
+_SMALL = bytes(set(range(128)) - set(range(65, 91)))
+
+
+def capitals(text: str) -> int:
+    """How many characters of the whole text are capitals."""
+    if text.isascii():
+        return len(text.encode().translate(None, _SMALL))
+    return sum(map(str.isupper, text))
+
+
 def statistics(text: str) -> list[float]:
     """Transformed statistics of a whole text, all finite; shares go through a square root."""
     words = text.split()
@@ -52,7 +63,7 @@ def statistics(text: str) -> list[float]:
     return [
         math.log1p(n), math.log(chars / of), math.sqrt(sum(map(str.isupper, words)) / of), math.sqrt(sum(map(text.count, "|*#%$&!<>{}[]=+~^_\\/@")) / of),
         math.sqrt(text.count("!") / of), math.sqrt(sum(map(eq, words, words[1:])) / of), math.log((len(set(words)) + PLAIN) / of) / math.log(of + 2),
-        math.log1p(of / max(1, lines)), math.sqrt(sum(map(str.isupper, text[::7])) / chars), math.sqrt(sum(map(text.count, "0123456789")) / chars),
+        math.log1p(of / max(1, lines)), math.sqrt(capitals(text) / chars), math.sqrt(sum(map(text.count, "0123456789")) / chars),
         math.sqrt(min(odd, 4.0)), math.log1p(ends * 20 / of)]
 
 

@@ -50,6 +50,14 @@ def test_quality_held_out(labelled):
     assert accuracy(got, labels, "quality") > 0.95
 
 
+def test_quality_counts_capitals_of_the_whole_text():
+    at = quality.FEATURES.index("upper")
+    text = "aB" * 40 + " " + "éÉ" * 7 + " words"
+    for t in (text, "x" + text, "aB cD " * 30, " aB cD " * 30):
+        chars = sum(map(len, t.split())) + 5 * quality.PLAIN
+        assert quality.statistics(t)[at] == pytest.approx((sum(map(str.isupper, t)) / chars) ** 0.5)
+
+
 def test_quality_without_labels(spark, labelled):
     got = quality.score(labelled[0], spark.createDataFrame([], "doc_id long, quality int"))
     assert {r["score"] for r in got.collect()} == {0.5}
