@@ -43,7 +43,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, in sequences of 1024 tokens."""
-    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), added=True)
 
 
 STAGES = [

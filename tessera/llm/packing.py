@@ -9,12 +9,14 @@ a lost task is simply packed again, to the same sequences.
 
 Results for odd input: a null text is empty, and an empty document is its separator alone; documents longer than
 a sequence go on in the next ones; repeated doc_ids are documents of their own; an empty table gives no rows.
-Strings like "<|endoftext|>" in a text are ordinary text. Only id and text are read.
+Strings like "<|endoftext|>" in a text are added tokens with ids of their own where added is set, as for the
+tokenizer by default, and ordinary text otherwise. Only id and text are read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -57,11 +59,13 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {x["content"] for x in spec.get("added_tokens", [])}
+        special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        self.special = {t: np.array([k], "<u4") for t, k in special.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else lambda text: [text]
         alphabet = _byte_alphabet()
         ranks = {bytes(alphabet[c] for c in piece): k for piece, k in spec["model"]["vocab"].items() if piece not in special}
         self.bpe = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        self.ends = np.zeros(max(*spec["model"]["vocab"].values(), *special.values()) + 1, bool)
         self.ends[[k for piece, k in ranks.items() if piece.rstrip()[-1:] in (b".", b"!", b"?") or piece.endswith(b"\n")]] = True
         self.most = most
         self.words = _Words(self)
@@ -69,6 +73,13 @@ class Encoder:
     def plain(self, text: str) -> bytes:
         return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
 
+    def encode_added(self, text: str) -> np.ndarray:
+        """Like encode, but the added tokens in the text get their own ids."""
+        parts = self.split(text)
+        if len(parts) == 1:
+            return self.encode(text)
+        return np.concatenate([self.special[x] if k % 2 else self.encode(x) for k, x in enumerate(parts) if x])
+
     def encode(self, text: str) -> np.ndarray:
         if "  " in text:
             return np.array(self.bpe.encode_ordinary(text), "<u4")
@@ -140,7 +151,8 @@ def windows(at: np.ndarray, cost: np.ndarray, size: int = SIZE, free_last: bool
 class Packer:
     """Takes documents one after the other and gives rows of pieces."""
 
-    def __init__(self, tokens: Encoder, first_sequence: int, size: int = SIZE):
+    def __init__(self, tokens: Encoder, first_sequence: int, size: int = SIZE, added: bool = False):
+        self.ids_of = tokens.encode_added if added else tokens.encode
         self.tokens, self.sequence, self.size = tokens, first_sequence, size
         self.ids: list[np.ndarray] = []
         self.docs: list[tuple[int, int, int]] = []  # doc_id, tokens of it before the block, tokens of it in the block
@@ -148,7 +160,7 @@ class Packer:
         self.n = 0
 
     def add(self, doc_id: int, text: str) -> list[tuple]:
-        ids = np.append(self.tokens.encode(text), np.uint32(SEPARATOR))
+        ids = np.append(self.ids_of(text), np.uint32(SEPARATOR))
         self.ids.append(ids)
         self.docs.append((doc_id, 0, len(ids)))
         self.totals.append(len(ids))
@@ -212,15 +224,17 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names)
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """A row for each piece of a document, see SCHEMA. tokenizer: path of the byte-level BPE's JSON file, on every worker.
 
+    added: added tokens in a text get their own ids, as the tokenizer gives them by default.
+
     sequence_id: the partition in the high bits, the sequence's number in the partition in the low 40.
     """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(encoder(tokenizer), TaskContext.get().partitionId() << 40, size)
+        packer = Packer(encoder(tokenizer), TaskContext.get().partitionId() << 40, size, added)
         for b in batches:
             rows = []
             for doc_id, text in zip(*columns(b, "doc_id", "text"), strict=True):

@@ -139,6 +139,23 @@ def test_packing_covers_every_id_once(spark, size):
     assert pad <= 0.03 * sum(r["length"] for r in rows)
 
 
+def test_packing_query_takes_added_tokens_as_the_tokenizer_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tessera.llm.queries import op7_packing
+    t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y z\n", "<|endoftext| > no", "é <|endoftext|>", " plain  words "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {}
+    for r in op7_packing(spark, str(tmp_path)).collect():
+        rows.setdefault(r["doc_id"], []).append(r)
+    for k, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert sum(r["length"] for r in rows[k]) == len(ids)
+        for r in rows[k]:
+            assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"]:r["start"] + r["length"]].tobytes())
+
+
 def test_windows_are_optimal():
     rng = random.Random(9)
     for _ in range(60):
