@@ -52,6 +52,11 @@ comment comments commentlist disqus reply replies respond discussion reader-comm
 subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination pager search searchform
 tags legal copyright complementary contentinfo""".split())
 
+# First words of a class like has-sidebar, which say something of what is beside the element; and marks whose articles aren't the page's own.
+MODIFIERS = frozenset("has no not with without".split())
+OWN_ARTICLES = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted comment comments commentlist disqus reply replies
+respond discussion reader-comments newsletter related recommended recommendations widget widgets""".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<(?=[^a-zA-Z/!?])|[^<]+|<", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -196,42 +201,90 @@ def _merge_items(x: list, y: list) -> list:
     return [x[0], merge(x[1], y[1])]
 
 
-def _label_out(label: str) -> bool:
+def _out_marks(label: str) -> set[str]:
+    """The words of a label's marks that say it is out: whole ones, or the first or last part of one with hyphens."""
     tag, *marks = label.split(" ")
-    if tag in OUT_TAGS:
-        return True
-    if tag in MAIN_TAGS or tag in ("html", "body"):
-        return False
-    for w in marks:
-        if w in OUT_WORDS or OUT_WORDS & set(w.split("-")):
+    found: set[str] = set()
+    if tag not in MAIN_TAGS and tag not in ("html", "body"):
+        for w in marks:
+            parts = w.split("-")
+            if w in OUT_WORDS:
+                found.add(w)
+            elif parts[0] not in MODIFIERS:
+                found |= OUT_WORDS & {parts[0], parts[-1]}
+    return found
+
+
+def _label_out(label: str) -> bool:
+    return label.split(" ")[0] in OUT_TAGS or bool(_out_marks(label))
+
+
+def _holds_main(items: list, articles: bool) -> bool:
+    """Whether a main block (or an article) with text is among the items or below."""
+    for x in items:
+        if x[0] == TEXT:
+            continue
+        tag = x[0].split(" ")[0]
+        if x[0] not in ("+", "?"):
+            if tag in OUT_TAGS:
+                continue
+            if (tag == "main" or articles and tag == "article") and _has_text(x[1]):
+                return True
+            articles_below = articles and not _out_marks(x[0]) & OWN_ARTICLES
+        else:
+            articles_below = articles
+        if _holds_main(x[1], articles_below):
             return True
     return False
 
 
 def rules(items: list) -> dict:
-    """What a wrapper says of its slots: whether there is a main block, and the labels that are out, by path."""
+    """What a wrapper says of its slots: whether there is a main block, and the labels that are out, by path.
+
+    A container is not out for its marks if the main block is inside.
+    """
     out: dict = {"main": False, "out": []}
     seen: set = set()
 
-    def walk(items: list, path: tuple) -> None:
+    def walk(items: list, path: tuple, inside: bool) -> None:
         for x in items:
             if x[0] in ("+", "?"):
-                walk(x[1], path)
+                walk(x[1], path, inside)
             elif x[0] != TEXT:
                 here = (*path, x[0])
-                if _label_out(x[0]):
+                off = inside
+                if x[0].split(" ")[0] in OUT_TAGS or (marks := _out_marks(x[0])) and not _holds_main(x[1], not marks & OWN_ARTICLES):
                     if here not in seen:
                         seen.add(here)
                         out["out"].append(list(here))
-                    continue
-                if x[0].split(" ")[0] in MAIN_TAGS and _has_text(x[1]):
+                    if not _may_hold_page(x[0]):
+                        continue
+                    off = True
+                if x[0].split(" ")[0] in MAIN_TAGS and not off and _has_text(x[1]):
                     out["main"] = True
-                walk(x[1], here)
+                walk(x[1], here, off)
 
-    walk(items, ())
+    walk(items, (), False)
     return out
 
 
+def _may_hold_page(label: str) -> bool:
+    """Whether what is out by this label is in after all on pages that have most of their text there: it is marked by a part of a word only."""
+    tag, *marks = label.split(" ")
+    found = _out_marks(label)
+    return tag not in OUT_TAGS and bool(found) and not found & OWN_ARTICLES and not OUT_WORDS & set(marks)
+
+
+def _node_holds_main(node: list) -> bool:
+    """The like of _holds_main for an element of a page: its path can be another element's that is out."""
+    return node[0].split(" ", 1)[0] not in OUT_TAGS and _holds_main(expression(node)[1], not _out_marks(node[0]) & OWN_ARTICLES)
+
+
+def _size(node: list) -> int:
+    """Characters of text that aren't out by their tags."""
+    return sum(len(c.strip()) if isinstance(c, str) else 0 if c[0].split(" ", 1)[0] in OUT_TAGS else _size(c) for c in node[1:])
+
+
 def _has_text(items: list) -> bool:
     return any(x[0] == TEXT or len(x) > 1 and _has_text(x[1]) for x in items)
 
@@ -245,7 +298,7 @@ def read_page(page: str, wrapper: dict) -> str:
         for c in node[1:]:
             if not isinstance(c, str):
                 here = (*path, c[0])
-                if here in dropped:
+                if here in dropped and not _node_holds_main(c):
                     continue
                 if c[0].split(" ")[0] in MAIN_TAGS:
                     yield c, here
@@ -261,6 +314,11 @@ def read_page(page: str, wrapper: dict) -> str:
             blocks.append(line)
         words.clear()
 
+    found = list(main_blocks(root, ())) if wrapper["main"] else []
+
+    def out(node: list, here: tuple) -> bool:
+        return here in dropped and not (not found and _may_hold_page(node[0]) and 2 * _size(node) > _size(root))
+
     def walk(node: list, path: tuple) -> None:
         for c in node[1:]:
             if isinstance(c, str):
@@ -268,7 +326,7 @@ def read_page(page: str, wrapper: dict) -> str:
                 continue
             tag = c[0].split(" ", 1)[0]
             here = (*path, c[0])
-            if here in dropped:
+            if out(c, here):
                 if tag not in INLINE:
                     flush()
                 continue
@@ -281,7 +339,6 @@ def read_page(page: str, wrapper: dict) -> str:
                 walk(c, here)
                 flush()
 
-    found = list(main_blocks(root, ())) if wrapper["main"] else []
     for node, path in found or [(root, ())]:
         walk(node, path)
         flush()

@@ -267,3 +267,15 @@ def test_wrapper_covers_its_pages():
     import json
     assert html_extract.rules(json.loads(whole)) == html_extract.rules(json.loads(halves))
     assert html_extract.fold_wrappers([whole, pages[0]]) == whole
+
+
+def test_containers_around_the_article_stay(spark):
+    body = "<p>First words of {0}.</p><p>And more of {0}.</p>"
+    side = '<div class="sidebar">Side</div><div class="cookie-notice">We use cookies</div><div class="sidebar-left">Left</div>'
+    kinds = ['<div class="content-sidebar-wrap"><main>' + body + "</main>" + side + "</div>", '<div class="site has-sidebar"><article>' + body + "</article>" + side + "</div>",
+             '<div id="no-sidebar">' + body + "</div>" + side, '<div class="sidebar"><main>' + body + "</main></div>" + side, '<div class="sidebar-layout">' + body + side + "</div>",
+             '<div id="header-page"><article>' + body + "</article></div>" + side,
+             "<div>" + body + '</div><div class="comments-area"><article class="comment-body">Nice {0}</article></div>' + side, '<div class="related"><article>Read {0}</article></div><article>' + body + "</article>" + side]
+    rows = [(10 * k + n, f"https://k{k}.example.com/{n}", "<html><body>" + html.format(10 * k + n) + "</body></html>") for k, html in enumerate(kinds) for n in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"First words of {i}.\nAnd more of {i}." for i, _, _ in rows}
