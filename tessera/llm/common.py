@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Keep Arrow batches of whole texts small: whichever limit comes first ends a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Keep Arrow batches of whole texts small: whichever limit comes first ends a batch.
+
+    Plans read these settings when they run, so they stay set in the session; smaller ones of the caller's stay as they are.
+    """
+    as_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most, read in (("maxRecordsPerBatch", rows, int), ("maxBytesPerBatch", size, as_bytes)):
+        now = read(spark.conf.get(f"spark.sql.execution.arrow.{key}"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +34,25 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def carried(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:
+    """row (all columns as one struct, whatever their names), doc_id and more: decisions then fall on rows, not on ids."""
+    return docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), *[c.alias(k) for k, c in more.items()])
+
+
+def text_of(text_col: str = "text") -> Column:
+    return F.coalesce(F.col(text_col), F.lit(""))
+
+
 def crc_mod(id_col: Column, modulus: int) -> Column:
     """crc32 of the decimal id, modulo modulus: the folds of the contracts."""
     return F.crc32(id_col.cast("string").cast("binary")) % modulus
 
 
+def in_fold(id_col: Column, modulus: int, fold: int) -> Column:
+    """Whether an id is in that fold; a null id is in none."""
+    return F.coalesce(crc_mod(id_col, modulus) == fold, F.lit(False))
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 

@@ -7,8 +7,9 @@ The doc_id among the splitters lets a group of any size spread over several part
 in the global order, and the runs that touch a partition's ends (two a partition at most) are stitched.
 
 Results for odd input: a null text is empty; empty texts equal one another; of equal texts the one with the
-most code points in its original, then the smallest doc_id stays; rows that repeat a doc_id give a row each;
-an empty table gives no rows. Columns other than the id and the text are never read.
+most code points in its original, then the smallest doc_id stays; very long texts are compared in full; rows
+that repeat a doc_id give a row each; an empty table gives no rows. exact_duplicates() never reads other columns;
+drop_duplicates() carries whole rows through, whatever their columns are called.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import SPACES, bounded_batches, columns, texts
+from tessera.llm.common import SPACES, bounded_batches, carried, columns, text_of, texts
 from tessera.session import materialize
 
 #: Bytes of a text that a splitter may hold.
@@ -92,12 +94,53 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return joined.select("doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"), (keep == F.col("doc_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each run of equal texts of a sorted partition; edge: the run touches an end of the partition."""
+    last, held, first = None, None, True
+    for b in batches:
+        at = []
+        for k, norm in enumerate(columns(b, "norm")[0]):
+            if norm != last or last is None:
+                at.append(k)
+                last = norm
+        if not at:
+            continue
+        rows = pa.Table.from_batches([b.drop_columns(["norm"])]).take(pa.array(at))
+        if held is not None:
+            rows = pa.concat_tables([held, rows])
+        held = rows.slice(rows.num_rows - 1)
+        done = rows.slice(0, rows.num_rows - 1)
+        if done.num_rows:
+            yield from done.append_column("edge", pa.array([first, *[False] * (done.num_rows - 1)])).to_batches()
+            first = False
+    if held is not None:
+        yield from held.append_column("edge", pa.array([True])).to_batches()
+
+
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with the columns they came with; a row that is there twice stays once."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows"))
-    rows = docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"))
-    once, more = rows.where(F.col("__rows") == 1), rows.where(F.col("__rows") > 1).dropDuplicates([id_col, text_col])
-    return once.unionByName(more).select(*docs.columns)
+    """The rows of docs that stay, one of each group of equal texts, with the columns they came with.
+
+    Whole rows go through the content sort, so a decision falls on a row whatever its doc_id: of rows that tie in text
+    length and doc_id the first one stays, and a null doc_id comes after the others.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    norm = normalized(text_of(text_col))
+    keyed = carried(docs, id_col, prefix=F.substring(norm.cast("binary"), 1, PREFIX), h=F.xxhash64(norm), tie=F.monotonically_increasing_id())
+    nulls_last = F.col("doc_id").asc_nulls_last()
+    dealt = keyed.repartitionByRange(n, "prefix", "h", nulls_last, "tie")
+    text = F.coalesce(F.col("row").getField(text_col), F.lit(""))
+    ordered = dealt.select("row", "doc_id", "prefix", "h", "tie", F.length(text).alias("cp"), normalized(text).cast("binary").alias("norm")).sortWithinPartitions(
+        "prefix", "h", "norm", F.col("cp").desc(), nulls_last, "tie").select("row", "doc_id", "cp", "tie", "norm")
+    out = T.StructType([f for f in ordered.schema.fields if f.name != "norm"]).add("edge", "boolean")
+    heads = materialize(ordered.mapInArrow(_heads, out), "heads")
+    marked = heads.withColumn("sha", F.when(F.col("edge"), F.sha2(normalized(text).cast("binary"), 256)))
+    # At most two rows of a partition are at its ends: a bounded table.
+    ends = marked.where("edge").select("sha", "tie", F.struct(-F.col("cp"), F.col("doc_id").isNull(), "doc_id", "tie").alias("rank"))
+    best = ends.groupBy("sha").agg(F.min("rank").alias("best"))
+    lost = ends.join(best, "sha").where(F.col("rank") != F.col("best")).select("sha", "tie")
+    return marked.join(F.broadcast(lost), ["sha", "tie"], "left_anti").select("row.*")
 
 
 ORACLE = r"""

@@ -5,9 +5,11 @@ the sigmoid of the difference of the two log-densities (Mahalanobis distance and
 Cholesky factors) plus the log-ratio of the class sizes. Sums of products for the covariances are taken by
 Spark over all labelled rows of the training fold: no sample, and only d * d numbers reach the driver.
 
-Results for odd input: a null text is empty; an empty text has the statistics of no words and gets a score;
-rows whose label is null are no training rows, repeated labels count each; with no row of one class all scores
-are 0.5; an empty table gives no rows. Only id and text of the documents are read.
+Results for odd input: a null text is empty; an empty text has the statistics of no words and gets a score; very
+long texts are read whole; rows whose label is null are no training rows, repeated labels and repeated rows count
+each; rows with equal texts have equal scores, and a score that ties with the threshold counts as at or over it;
+with no row of one class all scores are 0.5; an empty table gives no rows. score() reads only id and text;
+keep() carries whole rows through, whatever their columns are called.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, columns, crc_mod, texts
+from tessera.llm.common import bounded_batches, carried, in_fold, text_of, texts
 from tessera.session import materialize
 
 FEATURES = ("log_words", "word_length", "upper_words", "symbols", "marks", "repeats", "variety", "line_words", "upper", "digits", "odd_line", "sentence_ends")
@@ -64,19 +66,16 @@ def statistics(text: str) -> list[float]:
         math.log1p(n), math.log(chars / of), math.sqrt(sum(map(str.isupper, words)) / of), math.sqrt(sum(map(text.count, "|*#%$&!<>{}[]=+~^_\\/@")) / of),
         math.sqrt(text.count("!") / of), math.sqrt(sum(map(eq, words, words[1:])) / of), math.log((len(set(words)) + PLAIN) / of) / math.log(of + 2),
         math.log1p(of / max(1, lines)), math.sqrt(capitals(text) / chars), math.sqrt(sum(map(text.count, "0123456789")) / chars),
-        math.sqrt(min(odd, 4.0)), math.log1p(ends * 20 / of)]
+        math.log1p(4 * odd), math.log1p(ends * 20 / of)]
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, x: array of the statistics."""
-    bounded_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def statistics_udf():
+    """A column function: a text's array of statistics."""
+    @F.arrow_udf("array<double>")
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            ids, body = columns(b, "doc_id", "text")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([statistics(t) for t in body], pa.list_(pa.float64()))], ["doc_id", "x"])
-
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, x array<double>")
+            yield pa.array([statistics(t) for t in b.to_pylist()], pa.list_(pa.float64()))
+    return made
 
 
 class Discriminant:
@@ -122,17 +121,32 @@ def fit(feats: DataFrame, labels: DataFrame, train: Column, label_col: str = "qu
     return Discriminant(got, shrink)
 
 
+def score_udf(model: Discriminant):
+    """A column function: the score of an array of statistics."""
+    @F.arrow_udf("double")
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array(model.score(np.array(b.flatten()).reshape(len(b), len(FEATURES))), pa.float64())
+    return made
+
+
 def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 4, held: int = 2, threshold: float = 0.7,
           shrink: float = SHRINK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row; learns from labels outside the held-out fold."""
-    feats = materialize(features(docs, id_col, text_col), "quality")
-    model = fit(feats, labels, crc_mod(F.col("doc_id"), modulus) != held, label_col, shrink)
+    bounded_batches(docs.sparkSession)
+    feats = materialize(texts(docs, id_col, text_col).select("doc_id", statistics_udf()("text").alias("x")), "quality")
+    model = fit(feats, labels, ~in_fold(F.col("doc_id"), modulus, held), label_col, shrink)
+    scored = feats.select("doc_id", score_udf(model)("x").alias("score"))
+    return scored.select("doc_id", in_fold(F.col("doc_id"), modulus, held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = np.array(b.column(1).flatten()).reshape(b.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
-    scored = feats.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (crc_mod(F.col("doc_id"), modulus) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def keep(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 4, held: int = 2, threshold: float = 0.7,
+         shrink: float = SHRINK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that score() predicts 1 for, with the columns they came with: each row by its own text, no join by id.
+
+    The rows are written once with their statistics, so a text is read once and isn't shuffled.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = materialize(carried(docs, id_col, x=statistics_udf()(text_of(text_col))), "quality")
+    model = fit(rows.select("doc_id", "x"), labels, ~in_fold(F.col("doc_id"), modulus, held), label_col, shrink)
+    return rows.where(score_udf(model)("x") >= threshold).select("row.*")

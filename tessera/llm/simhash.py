@@ -8,11 +8,14 @@ checked on the pairs that meet, and the full Hamming distance last.
 
 Results for odd input: null text is empty; a text without words has fingerprint zero and is linked like any
 other; equal fingerprints are one node, so thousands of copies cost one row; an empty table gives no rows;
-repeated doc_ids give a row each. Columns other than the id and the text are never read.
+very long texts are hashed whole, some shingles at a time; repeated doc_ids and repeated rows give a row each.
+near_duplicates() never reads other columns; drop_similar() carries whole rows through, whatever their columns
+are called.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, columns, min_labels, sorted_groups, texts
+from tessera.llm.common import bounded_batches, carried, columns, min_labels, sorted_groups, text_of, texts
 from tessera.operators.graph import connected
 from tessera.session import materialize
 
@@ -105,13 +108,22 @@ def shingle_hashes(text: str, size: int, seed: int, step: int = 1 << 15) -> Iter
         yield xxh64(joined[lo[0]:hi[-1]], lo - lo[0], hi - lo[0], seed)
 
 
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """For each bit, in how many of the hashes it is set."""
+    return np.add.reduce(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
+
+
+def as_fingerprint(ones: np.ndarray, n: int, kind: str = "<u8") -> int:
+    return int(np.packbits(2 * ones > n, bitorder="little").view(kind)[0])
+
+
 def fingerprint(text: str, size: int = 4, seed: int = 42) -> int:
     """A bit is 1 if it is set in over half the shingles' hashes."""
     ones, n = np.zeros(BITS, np.int64), 0
     for h in shingle_hashes(text, size, seed):
-        ones += np.add.reduce(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
+        ones += set_bits(h)
         n += len(h)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return as_fingerprint(ones, n)
 
 
 def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -351,49 +363,65 @@ def verified(members: DataFrame, similarity: float, floor: float, size: int, see
     return ordered.mapInArrow(run, "src long, dst long").where("src <> dst")
 
 
-def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 4, tables: int = 4, seed: int = 42,
-                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id: classes of documents whose word shingles of that size have a Jaccard similarity of at least similarity.
+def similar_rows(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 4, seed: int = 42,
+                 id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows with a number (rid) and all their columns (row), and rid, doc_id, class: a number for rows of one class.
 
-    An edit that leaves 0.8 of the five-word shingles turns over ten of 64 bits of their SimHash, beyond any
-    selective index. Candidates are pairs within distance under one of several SimHashes of the word sets, found by
-    pigeonring filtering, and pairs that share a band of minima of the shingle sets: these depend on the shingles'
-    Jaccard similarity alone, not on the kind of edit. Pairs whose sketches of SKETCH minima agree (less SLACK standard
-    errors) form components of candidates, and links inside these are verified by the sets of shingles themselves.
+    Classes are of rows whose word shingles of that size have a Jaccard similarity of at least similarity. An edit that
+    leaves 0.8 of the five-word shingles turns over ten of 64 bits of their SimHash, beyond any selective index. So
+    candidates are pairs within distance by their SimHash, found by pigeonring filtering, and pairs that share a band of
+    minima of the shingle sets, which depend on the shingles' Jaccard similarity alone and not on the kind of edit.
+    Pairs whose sketches of SKETCH minima agree (less SLACK standard errors) form components of candidates, and links
+    inside these are verified by the sets of shingles themselves. Rows of equal shingle sets are one node.
     """
     bounded_batches(docs.sparkSession)
-    many, spin = _multipliers(SKETCH), _multipliers(SKETCH + tables)[SKETCH:]
+    many = _multipliers(SKETCH)
     floor = similarity - SLACK * (similarity * (1 - similarity) / SKETCH) ** 0.5
+    kind = pa.struct([("fp", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64())), ("same", pa.binary())])
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("fp long, sketch binary, bands array<long>, same binary")
+    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            ids, body = columns(b, "doc_id", "text")
-            fps, marks, bands = [], [], []
-            for text in body:
-                words = shingle_set(text, 1, seed)
-                with np.errstate(over="ignore"):
-                    own = []
-                    for c in spin:
-                        h = words * c
-                        h ^= h >> np.uint64(29)
-                        ones = np.add.reduce(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
-                        own.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]))
-                fps.append(own)
+            out = []
+            for text in b.to_pylist():
+                ones, n = np.zeros(BITS, np.int64), 0
                 low = np.full(SKETCH, np.uint64((1 << 64) - 1))
+                hashes = [np.zeros(0, np.uint64)]
                 for h in shingle_hashes(text, size, seed):
+                    ones += set_bits(h)
+                    n += len(h)
                     low = np.minimum(low, sketch(h, many))
-                marks.append((low >> np.uint64(7)).astype(np.uint8).tobytes())
-                bands.append(band_keys(low))
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, longs), pa.array(marks, pa.binary()), pa.array(bands, longs)], ["doc_id", "fps", "sketch", "bands"])
-
-    body = texts(docs, id_col, text_col)
-    found = body.mapInArrow(features, "doc_id long, fps array<long>, sketch binary, bands array<long>")
-    rows = materialize(found.withColumn("same", F.xxhash64("fps", "sketch", "bands")), "features")
-    nodes = materialize(rows.groupBy("same", "fps", "sketch", "bands").agg(F.min("doc_id").alias("rep")), "nodes")
-    each = nodes.select("rep", F.posexplode("fps").alias("tab", "fp"))
-    near = connected(links(each, distance, sketches=nodes.select("rep", "sketch", "bands"), similarity=floor))
-    members = near.join(nodes.select(F.col("rep").alias("node"), "sketch"), "node").join(body.withColumnRenamed("doc_id", "node"), "node")
+                    hashes.append(h)
+                own = np.unique(np.concatenate(hashes))
+                out.append({"fp": as_fingerprint(ones, n, "<i8"), "sketch": (low >> np.uint64(7)).astype(np.uint8).tobytes(), "bands": band_keys(low).tolist(),
+                            "same": hashlib.blake2b(own.tobytes(), digest_size=16).digest()})
+            yield pa.array(out, kind)
+
+    body = text_of(text_col)
+    rows = materialize(carried(docs, id_col, rid=F.monotonically_increasing_id(), f=features(body)), "rows")
+    nodes = materialize(rows.groupBy("f.same").agg(F.min("rid").alias("rep"), F.min_by(F.struct("f.fp", "f.sketch", "f.bands"), "rid").alias("f")).select(
+        "same", "rep", "f.fp", "f.sketch", "f.bands"), "nodes")
+    near = connected(links(nodes.withColumn("tab", F.lit(0)), distance, sketches=nodes.select("rep", "sketch", "bands"), similarity=floor))
+    text = rows.select(F.col("rid").alias("node"), F.coalesce(F.col("row").getField(text_col), F.lit("")).alias("text"))
+    members = near.join(nodes.select(F.col("rep").alias("node"), "sketch"), "node").join(text, "node")
     comps = connected(verified(members, similarity, floor, size, seed))
-    classes = nodes.join(comps, F.col("rep") == F.col("node"), "left").select("same", F.col("sketch").alias("_s"), F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(classes, (rows["same"] == classes["same"]) & (rows["sketch"] == classes["_s"])).select("doc_id", "component_id")
+    classes = nodes.join(comps, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("class"))
+    return rows, rows.select("rid", "doc_id", F.col("f.same").alias("same")).join(classes, "same").select("rid", "doc_id", "class")
+
+
+def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id (the smallest doc_id of its class) for every row, see similar_rows()."""
+    _, of = similar_rows(docs, size, similarity, distance, seed, id_col, text_col)
+    return of.join(of.groupBy("class").agg(F.min("doc_id").alias("component_id")), "class").select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, one of each class of similar_rows(): that with the smallest doc_id (a null one last, of ties the first row).
+
+    Columns are those the rows came with. The numbers of the rows that go are written first, so that the planner knows
+    their size: a small list is broadcast and the texts aren't shuffled, a large one is joined.
+    """
+    rows, of = similar_rows(docs, size, similarity, distance, seed, id_col, text_col)
+    best = of.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best"))
+    gone = materialize(of.join(best, "class").where(F.col("rid") != F.col("best.rid")).select("rid"), "gone")
+    return rows.join(gone, "rid", "left_anti").select("row.*")

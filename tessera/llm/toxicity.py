@@ -4,12 +4,17 @@ A document is a bag of sentences. A sentence's score is logistic in hashed word
 document's probability is the noisy-or 1 - prod(1 - p). Only documents are labelled: the likelihood of the bag
 labels trains the sentence model, which then locates the offending sentences.
 
-The model is fitted on a bounded sample of labelled rows: at most SAMPLE rows of each class, taken by hash of
-the doc_id, of texts up to SAMPLE_CHARS code points. Scoring covers every row and whole text.
-
-Results for odd input: a null text is empty; a text without words has one empty sentence; rows whose label is
-null are no training rows; with no row of one class all scores are close to 0; an empty table
-gives no rows. Only id and text of the documents are read.
+The model is fitted on a bounded sample of labelled rows: at most SAMPLE rows of each class, taken by hash of the
+doc_id, whatever their length. Of a text above BAG_CHARS code points the bag is first a sample of its sentences
+by hash; the model fitted on these then reads the whole long texts, their highest-scoring sentences join the
+bags, and the model is fitted again. Scoring covers every row and whole text.
+
+Results for odd input: a null text is empty; a text without words has one empty sentence; very long texts are
+read whole; rows whose label is null are no training rows, a doc_id labelled more than once is toxic if any label
+says so, and of a repeated doc_id each row may be drawn; rows with equal texts have equal scores, a score that
+ties with the threshold counts as over it; with no row of one class all scores are close to 0; an empty table
+gives no rows. score() reads only id and text; keep() carries whole rows through, whatever their columns are
+called.
 """
 
 from __future__ import annotations
@@ -24,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, columns, crc_mod, texts
+from tessera.llm.common import bounded_batches, columns, in_fold, text_of, texts
 
 SAMPLE = 4000
-SAMPLE_CHARS = 20_000
+#: Code points of a training bag; of a longer text the bag is a choice of sentences.
+BAG_CHARS = 10_000
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)
 #: The logit of every sentence where nothing can be learnt.
@@ -60,18 +66,49 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
 
+    def logit(self, sentence: str, scores: Scores) -> float:
+        return self.bias + sum(map(scores.__getitem__, set(sentence.lower().split())))
+
     def sentences(self, text: str, scores: Scores) -> tuple[list[tuple[int, int]], np.ndarray]:
         """Spans of the sentences and their logits."""
-        spans, logits = [], []
-        for m in _SENTENCE.finditer(text.lower() if len(text.lower()) == len(text) else text):
-            spans.append(m.span())
-            logits.append(self.bias + sum(map(scores.__getitem__, set(m[0].split()))))
-        return spans or [(0, 0)], np.array(logits or [self.bias])
+        spans = [m.span() for m in _SENTENCE.finditer(text)] or [(0, 0)]
+        return spans, np.array([self.logit(text[a:b], scores) for a, b in spans])
 
     def document(self, text: str, scores: Scores) -> float:
-        get, bias = scores.__getitem__, self.bias
-        logits = np.array([bias + sum(map(get, set(s.split()))) for s in _SENTENCE.findall(text.lower())] or [bias])
-        return float(-np.expm1(-np.logaddexp(0, logits).sum()))
+        return noisy_or(self.sentences(text, scores)[1])
+
+
+def noisy_or(logits: np.ndarray) -> float:
+    """1 - prod(1 - p) of the sentences' probabilities."""
+    return float(-np.expm1(-np.logaddexp(0, logits).sum()))
+
+
+def bag(text: str, most: int = BAG_CHARS, model: Model | None = None, scores: Scores | None = None) -> str:
+    """A text of at most most code points whole; else as many of its sentences, by hash, and with a model half of them by score.
+
+    A sentence above an eighth of that gives a part of its distinct tokens, by hash.
+    """
+    if len(text) <= most:
+        return text
+    parts = []
+    for s in _SENTENCE.findall(text):
+        if 8 * len(s) > most:
+            tokens = sorted(set(s.split()), key=lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w))
+            fit = np.cumsum([len(w) + 1 for w in tokens]) * 8 <= most
+            s = " ".join(w for w, ok in zip(tokens, fit, strict=True) if ok)
+        parts.append(s)
+    by_hash = sorted(range(len(parts)), key=lambda k: (zlib.crc32(parts[k].encode("utf-8", "surrogatepass")), k))
+    by_score = sorted(range(len(parts)), key=lambda k: (-model.logit(parts[k], scores), k)) if model else []
+    taken: dict[int, None] = {}
+    room = most
+    for order, least in ((by_score, most // 2), (by_hash, 0)):
+        for k in order:
+            if room - len(parts[k]) - 1 < least:
+                break
+            if k not in taken:
+                taken[k] = None
+                room -= len(parts[k]) + 1
+    return "\n".join(parts[k] for k in sorted(taken))
 
 
 def train(bags: list[str], y: np.ndarray, prior: float | None = None, epochs: int = 200, rate: float = 1.0, decay: float = 1e-5, least: int = 3, bias: float = -8.0) -> Model:
@@ -86,10 +123,12 @@ def train(bags: list[str], y: np.ndarray, prior: float | None = None, epochs: in
     index: dict[str, int] = {}
     words, ends, docs = [], [], []
     for k, text in enumerate(bags):
-        for s in _SENTENCE.findall(text.lower()) or [""]:
-            words.extend([index.setdefault(w, len(index)) for w in dict.fromkeys(_WORD.findall(s))])
+        for s in _SENTENCE.findall(text) or [""]:
+            words.extend([index.setdefault(w, len(index)) for w in dict.fromkeys(_WORD.findall(s.lower()))])
             ends.append(len(words))
             docs.append(k)
+    if not index:
+        return Model(weights, UNTRAINED)
     words, ends, docs = np.array(words, np.int64), np.array(ends), np.array(docs)
     sentence = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
     lists = [buckets(w) for w in index]
@@ -119,16 +158,37 @@ def train(bags: list[str], y: np.ndarray, prior: float | None = None, epochs: in
     return Model(weights, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 5, held: int = 0, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+def bags(docs: DataFrame, picked: DataFrame, sample: int, model: Model | None = None) -> list[tuple]:
+    """(doc_id, y, bag) of the rows of docs that are picked; with a model only of the long ones. At most 2 * sample rows of BAG_CHARS."""
+    @F.arrow_udf("string")
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scores = Scores(model.weights) if model else None
+        for b in batches:
+            yield pa.array([bag(t, BAG_CHARS, model, scores) for t in b.to_pylist()], pa.string())
+
+    rows = docs.join(F.broadcast(picked), "doc_id").withColumn("h", F.xxhash64("text"))
+    if model:
+        rows = rows.where(F.length("text") > BAG_CHARS)
+    # A doc_id can be there many times: the bound holds for rows.
+    chosen = rows.select("doc_id", "y", "h", made("text").alias("bag")).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(2 * sample)
+    return sorted((r["doc_id"], r["h"], r["y"], r["bag"]) for r in chosen.collect())
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 5, held: int = 0, sample: int = SAMPLE) -> Model:
     """docs: doc_id, text. Learns only from labels whose crc32 fold is not the held-out one."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1)).where(crc_mod(F.col("doc_id"), modulus) != held)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1)).where(
+        ~in_fold(F.col("doc_id"), modulus, held)).groupBy("doc_id").agg(F.max("y").alias("y"))
     order = (F.xxhash64("doc_id"), "doc_id")
     counts = dict(known.groupBy("y").count().collect())  # two rows
+    prior = counts.get(1, 0) / max(1, sum(counts.values()))
+    # At most 2 * sample rows of two numbers: a bounded side.
     picked = known.where("y = 1").orderBy(*order).limit(sample).unionByName(known.where("y = 0").orderBy(*order).limit(sample))
-    # At most 2 * SAMPLE rows of two numbers: a bounded side.
-    rows = docs.join(F.broadcast(picked), "doc_id").where(F.length("text") <= chars).select("doc_id", "y", "text").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], np.array([r["y"] for r in rows]), counts.get(1, 0) / max(1, sum(counts.values())))
+    rows = bags(docs, picked, sample)
+    model = train([r[3] for r in rows], np.array([r[2] for r in rows]), prior)
+    long = {r[:3]: r[3] for r in bags(docs, picked, sample, model)} if model.bias != UNTRAINED else {}
+    if not long:
+        return model
+    return train([long.get(r[:3], r[3]) for r in rows], np.array([r[2] for r in rows]), prior)
 
 
 def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 5, held: int = 0, threshold: float = 0.5, locate: bool = False,
@@ -143,18 +203,35 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*weights.value)
         scores = Scores(own.weights)
+        least = math.log(threshold / (1 - threshold))
         for b in batches:
             ids, text = columns(b, "doc_id", "text")
-            cols = [pa.array(ids, pa.int64()), pa.array([own.document(t, scores) for t in text], pa.float64())]
-            if locate:
-                found = []
-                for t in text:
-                    spans, z = own.sentences(t, scores)
-                    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                    found.append([{"start": s, "end": e, "score": float(q)} for (s, e), q in zip(spans, p, strict=True) if q >= threshold])
-                cols.append(pa.array(found, span))
+            made, found = [], []
+            for t in text:
+                spans, z = own.sentences(t, scores)
+                made.append(noisy_or(z))
+                if locate:
+                    found.append([{"start": spans[k][0], "end": spans[k][1], "score": float(1 / (1 + np.exp(-min(z[k], 30.0))))} for k in np.flatnonzero(z >= least)])
+            cols = [pa.array(ids, pa.int64()), pa.array(made, pa.float64()), *([pa.array(found, span)] if locate else [])]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "spans"][: len(cols)])
 
     schema = "doc_id long, score double" + ", spans array<struct<start:int,end:int,score:double>>" * locate
     scored = body.mapInArrow(run, schema)
-    return scored.select("doc_id", (crc_mod(F.col("doc_id"), modulus) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["spans"] * locate)
+    return scored.select("doc_id", in_fold(F.col("doc_id"), modulus, held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["spans"] * locate)
+
+
+def keep(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 5, held: int = 0, threshold: float = 0.5,
+         id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that score() predicts 0 for, with the columns they came with: filtered in place, each row by its own text."""
+    bounded_batches(docs.sparkSession)
+    model = fit(texts(docs, id_col, text_col), labels, label_col, modulus, held, sample)
+    weights = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
+
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = Model(*weights.value)
+        scores = Scores(own.weights)
+        for b in batches:
+            yield pa.array([own.document(t, scores) for t in b.to_pylist()], pa.float64())
+
+    return docs.where(scored(text_of(text_col)) < threshold)
