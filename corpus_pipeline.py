@@ -1,44 +1,41 @@
 """The corpus pipeline: five stages from raw documents to packed training sequences.
 
-Each stage reads what its predecessor kept, and its decision takes effect: all but the last return rows of
-documents with the columns they came with.
+Each stage reads what its predecessor kept, and its decision takes effect on rows, never by doc_id: all but the last
+return rows of documents with the columns they came with, whatever those are called.
+
+Results for odd input, in every stage: a null text counts as empty, and the row stays or goes as one; very long texts
+are read whole; of rows that tie for staying (equal text and doc_id) the first one stays; a null doc_id is in no
+training fold and stays like any other row; rows repeated in full are one after the exact stage; a label row that repeats is counted
+again by quality and counted once by toxicity; an empty table gives an empty table with its columns.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, packing, quality, simhash, toxicity
 from tessera.llm.queries import tokenizer_file
 from tessera.session import materialize
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids."""
-    return docs.join(ids.select(F.col("doc_id").alias("_kept_id")), F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _keep(docs, quality.score(docs, labels).where("predicted = 1"))
+    """Documents that the quality classifier doesn't reject (operator 8). An empty text has the statistics of no words and is judged by them."""
+    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted to be toxic."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _keep(docs, toxicity.score(docs, labels).where("predicted = 0"))
+    """Documents that aren't predicted to be toxic (operator 2). An empty text has one empty sentence."""
+    return toxicity.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts (operator 5): the longest original, then the smallest doc_id. Empty texts are equal."""
     return exact_dedup.drop_duplicates(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each class of near copies (five words, 0.8)."""
-    return _keep(docs, simhash.similar_documents(docs).where("doc_id = component_id"))
+    """One document, that with the smallest doc_id, of each class of near copies (operator 1; five words, 0.8). Texts without words are copies of one another."""
+    return simhash.drop_similar(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
