@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -26,9 +27,11 @@ def local_session(app: str = "tessera", cores: str = "*", partitions: int = 8, *
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only in local mode, as in tests, where it is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext._conf.set("spark.checkpoint.dir", root)
         spark.conf.set("spark.checkpoint.dir", root)
