@@ -5,13 +5,18 @@ label and pivot, hold the vectors that have the pivot in their permutation. Two
 if they share at least SHARED pivots, and are verified by their cosine in double precision. A pair is looked at
 in the list of its lowest shared pivot only.
 
-Pivots are PIVOTS rows of the table, taken by hash of the vector: a bounded sample; every row is indexed. Equal
-vectors of one label are one node with a weight, so copies are never expanded. Lists longer than a block are
-dealt out as pairs of blocks; tasks return sums of links and a spanning forest, never the pairs.
+Pivots are rows of the table taken by hash of the vector, for each vector length its own: ROOTS times the square root
+of that length's rows, at least LEAST and at most MOST and what fits into PIVOT_BYTES, so lists grow with the root of the
+rows until then. It is a bounded sample, of which crowded ones are left out;
+every row is indexed. Lengths of few rows, and all lengths beyond the
+WIDTHS most frequent, need none: their vectors are one list for each label, compared in full. exact=True does
+that for every length. Equal vectors of one label are one node with a weight, so copies are never expanded.
+Lists longer than a block are dealt out as pairs of blocks; tasks return sums of links and a spanning forest,
+never the pairs.
 
 Results for odd input: vectors that are null, zero, or hold null or non-finite components, and vectors without a
-label, link with nothing; vectors of different lengths never link; repeated vec_ids are vectors of their own;
-an empty table gives no rows. Only id, vector and label are read.
+label, link with nothing; vectors of different lengths never link; a cosine that ties with the threshold links; repeated
+vec_ids are vectors of their own; an empty table gives no rows. Only id, vector and label are read.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from tessera.llm.common import bounded_batches, min_labels, sorted_groups
 from tessera.operators.graph import connected
 from tessera.session import materialize
 
-PIVOTS = 256
+ROOTS, LEAST, MOST, PIVOT_BYTES, WIDTHS = 8, 256, 8192, 32 << 20, 32
 NEAREST = 8
 SHARED = 2
 BLOCK = 512
@@ -50,26 +55,76 @@ def unit_vectors(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", "raw", "label").mapInArrow(run, "vec_id long, label string, vec array<double>")
 
 
-def permutations(nodes: DataFrame, pivots: np.ndarray, nearest: int = NEAREST) -> DataFrame:
-    """nodes with perm: the numbers of the nearest pivots, nearest first. pivots: unit rows."""
+def apart(points: np.ndarray, threshold: float) -> np.ndarray:
+    """Those points that are further from all earlier ones that stay than twice the angle at which vectors link."""
+    most = 2 * threshold * threshold - 1
+    stay = np.ones(len(points), bool)
+    for k in range(len(points)):
+        if stay[k]:
+            stay[k + 1:] &= points[k + 1:] @ points[k] <= most
+    return points[stay]
+
+
+def choose_pivots(nodes: DataFrame, threshold: float, least: int = LEAST, few: int = BLOCK, most_bytes: int = PIVOT_BYTES) -> dict[int, np.ndarray]:
+    """For each frequent vector length its pivots: the rows with the smallest hashes, the same on every run. Bounded by most_bytes.
+
+    Pivots that crowd in one dense place would cut it up, so only those apart() from one another stay.
+    """
+    lengths = nodes.groupBy(F.size("vec").alias("width")).agg(F.count("*").alias("n")).where(F.col("n") > few).orderBy(F.col("n").desc(), "width").limit(WIDTHS).collect()
+    wanted = {r["width"]: min(max(least, int(ROOTS * r["n"] ** 0.5)), r["n"], MOST, most_bytes // len(lengths) // (8 * r["width"])) for r in lengths}
+    chosen = {}
+    for r in lengths:  # at most WIDTHS
+        w, n, p = r["width"], r["n"], wanted[r["width"]]
+        # Twice as many rows as are wanted pass the hash, so that ordering them is cheap.
+        part = nodes.where(F.size("vec") == w).withColumn("_r", F.xxhash64("h", F.lit(7))).where(F.pmod("_r", F.lit(1 << 30)) <= min(1.0, 2 * p / n + 64 / n) * (1 << 30))
+        chosen[w] = apart(np.array([x["vec"] for x in part.orderBy("_r", "h", "node").limit(p).select("vec").collect()]).reshape(-1, w), threshold)
+    return {w: x for w, x in chosen.items() if len(x) > 1}
+
+
+def permutations(nodes: DataFrame, pivots: dict[int, np.ndarray], nearest: int = NEAREST) -> DataFrame:
+    """nodes with perm: the numbers of the nearest pivots of its length, nearest first; [-1] where the length has none. pivots: unit rows."""
     where = nodes.sparkSession.sparkContext.broadcast(pivots)
-    width = pivots.shape[1]
     names = nodes.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vecs = b.column(names.index("vec")).to_pylist()
-            perm = np.zeros((len(vecs), min(nearest, len(where.value))), np.int32)
-            same = np.array([len(v) == width for v in vecs])
-            if same.any():
-                x = np.array([v for v, s in zip(vecs, same, strict=True) if s])
-                perm[same] = np.argsort(-(x @ where.value.T), axis=1, kind="stable")[:, : perm.shape[1]]
+            vecs = b.column(names.index("vec"))
+            size = vecs.value_lengths().to_numpy()
+            perm = np.full(b.num_rows, None, object)
+            for w in np.unique(size):
+                at = np.flatnonzero(size == w)
+                if w not in where.value:
+                    perm[at] = [[-1]] * len(at)
+                    continue
+                x = vecs.take(pa.array(at)).flatten().to_numpy().reshape(-1, w)
+                for lo in range(0, len(at), 256):
+                    like = x[lo:lo + 256] @ where.value[w].T
+                    k = min(nearest, like.shape[1])
+                    some = np.argpartition(-like, k - 1, axis=1)[:, :k]
+                    order = np.lexsort((some, -np.take_along_axis(like, some, 1)), axis=1)
+                    for i, row in zip(at[lo:lo + 256], np.take_along_axis(some, order, 1), strict=True):
+                        perm[i] = row
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(perm), pa.list_(pa.int32()))], [*names, "perm"])
 
     return nodes.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in nodes.dtypes) + ", perm array<int>")
 
 
-def links(indexed: DataFrame, threshold: float = 0.93, shared: int = SHARED, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+def candidates(perm: np.ndarray, pivot: int, shared: int) -> np.ndarray:
+    """Pairs of rows that share at least that many pivots, none of them below pivot: those are looked at in a lower pivot's list."""
+    if pivot < 0:
+        return np.ones((len(perm), len(perm)), bool)
+    count = np.zeros((len(perm), len(perm)), np.int16)
+    for a in perm.T:
+        for b in perm.T:
+            same = a[:, None] == b[None, :]
+            count += same
+            below = a < pivot
+            if below.any():
+                count[below] -= (same[below] * np.int16(100))
+    return count >= shared
+
+
+def links(indexed: DataFrame, threshold: float = 0.93, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
     """node, weight, low: for each list that found links of a node, the linked rows (copies count) and a node that it
     reaches there, the same for all that it reaches. indexed: node, label, vec (unit), copies, perm."""
     rows = indexed.select("node", "label", F.size("vec").alias("width"), "vec", "copies", "perm", F.explode("perm").alias("pivot"))
@@ -92,9 +147,7 @@ def links(indexed: DataFrame, threshold: float = 0.93, shared: int = SHARED, blo
                     continue
                 node, copies, blk, pivot = g["node"][lo:hi], g["copies"][lo:hi], g["blk"][lo:hi], g["pivot"][lo]
                 x, perm = np.stack(g["vec"][lo:hi]), np.stack(g["perm"][lo:hi])
-                has = np.zeros((hi - lo, pivots), np.float32)
-                np.put_along_axis(has, perm.astype(np.int64), 1.0, axis=1)
-                ok = (has @ has.T >= shared) & (has[:, :pivot] @ has[:, :pivot].T == 0)
+                ok = candidates(perm, pivot, min(shared, perm.shape[1]))
                 if g["a"][lo] != g["b"][lo]:
                     ok &= blk[:, None] != blk[None, :]
                 ok &= x @ x.T >= threshold
@@ -109,24 +162,17 @@ def links(indexed: DataFrame, threshold: float = 0.93, shared: int = SHARED, blo
     return ordered.mapInArrow(run, "node long, weight long, low long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK,
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, least: int = LEAST, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK, exact: bool = False,
                     id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row."""
+    """vec_id, n_links, component_id, kept for every row. exact: compare all vectors of a label and length, without pivots."""
     bounded_batches(vectors.sparkSession, 4000)
     every = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("raw"), F.col(label_col).cast("string").alias("label"))
     units = materialize(unit_vectors(every).withColumn("h", F.xxhash64("vec")), "units")
     member = units.where(F.col("vec").isNotNull())
     nodes = member.groupBy("label", "h", "vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     nodes = materialize(nodes.select("node", "label", "h", "vec", "copies"), "vectors")
-    # A bounded sample, the same on every run: the rows with the smallest hashes.
-    picked = [r["vec"] for r in nodes.select("h", "vec", "node").orderBy(F.xxhash64("h", F.lit(7)), "h", "node").limit(pivots).collect()]
-    width = max((len(v) for v in picked), default=1)
-    points = np.array([v for v in picked if len(v) == width]).reshape(-1, width)
-    if not len(points):
-        return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    indexed = permutations(nodes, points, nearest)
-    # With hardly any pivots every vector shares them all.
-    found = materialize(links(indexed, threshold, min(shared, len(points), nearest), block, max(pivots, len(points))), "links")
+    indexed = permutations(nodes, {} if exact else choose_pivots(nodes, threshold, least, block), nearest)
+    found = materialize(links(indexed, threshold, shared, block), "links")
     comps = connected(found.select(F.col("node").alias("src"), F.col("low").alias("dst")))
     weight = found.groupBy("node").agg(F.sum("weight").alias("weight"))
     known = nodes.join(weight, "node", "left").join(comps, "node", "left").select(

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import embedding_dedup, exact_dedup, line_dedup, simhash
 from tessera.llm.common import min_labels
@@ -218,6 +219,39 @@ def test_embedding_links(spark, block):
     assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_embedding_lengths_have_pivots_of_their_own(spark, exact):
+    """No links are lost beside longer or more vectors; the exact form agrees with brute force in full."""
+    rng = np.random.default_rng(16)
+    rows = []
+    for width, clusters, each in ((8, 40, 4), (16, 100, 7), (32, 3, 60), (3, 1, 2)):
+        for _ in range(clusters):
+            centre = rng.normal(size=width)
+            rows += [(len(rows) + k, (centre + rng.normal(size=width) * 0.05).tolist(), int(rng.integers(2)) if width == 16 else 0) for k in range(each)]
+    rows += [(len(rows) + k, *rows[0][1:]) for k in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("perm", F.lit("x")).withColumn("h", F.lit(1))
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, block=32, exact=exact).collect()}
+    ids, adj = plain_links(rows, 0.93)
+    want = dict(zip(ids, adj.sum(1).tolist(), strict=True))
+    short = sum(got[i]["n_links"] < want[i] for i in ids)
+    assert all(got[i]["n_links"] <= want[i] for i in ids) and short <= (0 if exact else 0.01 * len(ids))
+    assert {r["vec_id"] for r in got.values() if r["n_links"] < want[r["vec_id"]]} <= {i for i, v, _ in rows if len(v) != 8}
+    comp = classes(adj, ids)
+    assert sum(got[i]["component_id"] != comp[i] for i in ids) <= (0 if exact else 0.01 * len(ids))
+
+
+def test_embedding_pivots_grow_with_the_rows_and_stay_apart(spark):
+    rng = np.random.default_rng(17)
+    x = np.concatenate([rng.normal(size=(600, 8)), rng.normal(size=8) + rng.normal(size=(600, 8)) * 0.01])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "node long, vec array<double>").withColumn("h", F.xxhash64("vec"))
+    few = embedding_dedup.choose_pivots(nodes, 0.93, least=16, few=100, most_bytes=8 * 8 * 20)[8]
+    many = embedding_dedup.choose_pivots(nodes, 0.93, least=16, few=100)[8]
+    assert len(few) <= 20 < len(many) <= 8 * 1200 ** 0.5
+    near = many @ many.T - 2 * np.eye(len(many))
+    assert near.max() <= 2 * 0.93 ** 2 - 1 + 1e-12
+
+
 def test_embedding_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     one = embedding_dedup.near_duplicates(spark.createDataFrame([(1, None, 2)], "vec_id long, embedding array<float>, label int")).collect()
