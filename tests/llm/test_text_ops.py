@@ -1,6 +1,9 @@
 """Classifiers, tokenizers, packing and extraction on small tables."""
 
+import math
 import random
+import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -226,7 +229,6 @@ def test_licenses(spark):
 
 def test_hint_words_miss_nothing():
     """What a paragraph without hint words can share with a template stays below the confirming share."""
-    import re
     hint = re.compile(license_scan.hint_pattern())
     for phrases in license_scan.TEMPLATES.values():
         for p in phrases:
@@ -234,6 +236,77 @@ def test_hint_words_miss_nothing():
             assert sum(not hint.search(g) for g in grams) < license_scan.CONFIRM * len(grams)
 
 
+def plain_licences(text):
+    """The scan in plain code: units, probabilities and overlaps from the model's numbers."""
+    weights, bias, temperature = license_scan.model()
+    hint = re.compile(license_scan.hint_pattern())
+    lines = (text or "").split("\n")
+    hits = [k for k, x in enumerate(lines) if hint.search(x.lower())]
+    spans, k = [], 0
+    while k < len(hits):
+        j = k
+        while j + 1 < len(hits) and hits[j + 1] - hits[j] <= license_scan.GAP + 1 and all(x.strip(" ") for x in lines[hits[j] + 1:hits[j + 1]]):
+            j += 1
+        spans.append((hits[k], hits[j]))
+        k = j + 1
+    found = []
+    for a, b in [(h, h) for h in hits] + [s for s in spans if s[1] > s[0]]:
+        grams = license_scan._grams(" ".join(lines[a:b + 1]))
+        known = sum(any(weights[c].get(g) for c in weights) for g in grams)
+        z = {c: (sum(weights[c].get(g, 0.0) for g in grams) / max(1, known) ** 0.5 + bias[c]) / temperature for c in bias}
+        total = sum(math.exp(v) for v in z.values())
+        for c, phrases in license_scan.TEMPLATES.items():
+            overlap = max(len(grams & license_scan._grams(p)) / len(license_scan._grams(p)) for p in phrases)
+            if overlap >= license_scan.CONFIRM and (z[c] == max(z.values()) if a == b else z[c] > z["unknown"]):
+                found.append((a, b, c, math.exp(z[c]) / total, overlap))
+    return sorted(x for x in found if x[0] == x[1] or not any(y[0] == y[1] and y[2] == x[2] and x[0] <= y[0] <= x[1] for y in found))
+
+
+def wrapped(text, width, mark):
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def test_licenses_equal_a_plain_scan_and_wrapped_headers_are_found(spark):
+    rng = random.Random(21)
+    prose = ["the ferry left the town under a pale moon", "", "a general report on the source of the river", "no words of that kind here", "all rights and duties of the citizens"]
+    texts, want = [], []
+    for family in ("mit", "apache-2.0", "gpl", "bsd", "isc", "mpl-2.0", "unlicense"):
+        for mark, width in (("", 60), ("# ", 70), (" * ", 66), ("// ", 45)):
+            longest = max(license_scan.TEMPLATES[family], key=len)
+            texts.append("\n".join(["words before", "", wrapped(longest, width, mark), "", "words after"]))
+            want.append(family)
+    for _ in range(60):
+        parts = [rng.choice([rng.choice(prose), wrapped(rng.choice(rng.choice(list(license_scan.TEMPLATES.values()))), rng.choice([30, 60, 500]), rng.choice(["", "# "]))]) for _ in range(rng.randint(1, 8))]
+        texts.append("\n".join(parts))
+    texts += [None, "", "\n\n", "license " * 3000, "\n".join(["license"] * 3000)]
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate([*texts, texts[0]])], "doc_id long, text string, p string, line int").union(
+        spark.createDataFrame([(0, texts[0], "x", 1)], "doc_id long, text string, p string, line int"))
+    got = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    assert len(got) == len(texts) + 1
+    for k, t in enumerate(texts):
+        told, plain = got[k]["paragraphs"], plain_licences(t)
+        assert [(x["line"], x["last_line"], x["family"]) for x in told] == [x[:3] for x in plain], t
+        assert [y for x in told for y in (x["probability"], x["overlap"])] == pytest.approx([y for x in plain for y in x[3:]], abs=2e-6)
+    assert [f in got[k]["families"] for k, f in enumerate(want)] == [True] * len(want)
+    assert got[0]["families"] == ["mit"]
+
+
+def test_calibration_is_on_other_material():
+    given = {t for ts in license_scan.TEMPLATES.values() for t in ts} | set(license_scan.NOT_LICENCES)
+    held = [(c, t) for c, ts in license_scan.HELD_OUT.items() for t in ts]
+    assert not given & {t for _, t in held}
+    _, _, temperature = license_scan.model()
+    assert 0.15 < temperature < 8
+    assert np.mean([plain_top(t) == c for c, t in held]) > 0.8 and all(plain_top(t) == "unknown" for c, t in held if c == "unknown")
+
+
+def plain_top(text):
+    weights, bias, _ = license_scan.model()
+    grams = license_scan._grams(text)
+    known = sum(any(weights[c].get(g) for c in weights) for g in grams)
+    return max(bias, key=lambda c: sum(weights[c].get(g, 0.0) for g in grams) / max(1, known) ** 0.5 + bias[c])
+
+
 def test_every_template_is_its_own_family(spark):
     rows = [(f"{c}{k}", c, p) for c, ps in license_scan.TEMPLATES.items() for k, p in enumerate(ps)]
     df = spark.createDataFrame([(k, "intro words\n" + p + "\nclosing words") for k, (_, _, p) in enumerate(rows)], "doc_id long, text string")
