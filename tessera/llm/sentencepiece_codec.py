@@ -8,8 +8,9 @@ pair of tokens is the encoding of the pair's own text, so encoding is a best pat
   lattice between units is a single state, and units are encoded by the library and remembered;
 * a document above GIANT characters becomes chunks. A chunk's boundary state is the token that covers or ends at
   its edge; at a unit's edge there is only the free state. Each chunk yields its transfer matrix from states to
-  states (sparse: the pairs of weight 0), the matrices of a document are combined associatively, and every chunk
-  is then read back on its own between the two states that the product leaves.
+  states (sparse: the pairs of weight 0). Matrices are combined associatively: products of GROUP chunks each in
+  parallel tasks, then over a document's groups, then down again to the states at every chunk's edges; and every
+  chunk is read back on its own between two states.
 
 Ids equal the library's encode(text). Results for odd input: null text is empty, with no ids; spaces and line
 breaks are kept; characters outside the vocabulary become byte pieces; a text that holds U+2581 itself decodes to
@@ -213,24 +214,28 @@ def combine(a: set[tuple[State, State]], b: set[tuple[State, State]]) -> set[tup
     return {(s, u) for s, t in a for u in after.get(t, ())}
 
 
-def scan(matrices: list[set[tuple[State, State]]]) -> list[tuple[State, State]]:
-    """The states before and after each chunk on the path of weight 0: products of what follows, then forward."""
-    rest: list[set[State]] = [{FREE}]
-    tail: set[tuple[State, State]] | None = None
-    for m in reversed(matrices):
-        tail = m if tail is None else combine(m, tail)
-        rest.append({s for s, t in tail if t == FREE})
-    rest.reverse()
-    out, now = [], FREE
-    for k, m in enumerate(matrices):
-        then = min(t for s, t in m if s == now and t in rest[k + 1])
-        out.append((now, then))
-        now = then
-    return out
+def product(matrices: list[set[tuple[State, State]]]) -> set[tuple[State, State]]:
+    """The product of neighbouring matrices, in pairs, level by level."""
+    while len(matrices) > 1:
+        matrices = [combine(*matrices[k:k + 2]) if k + 1 < len(matrices) else matrices[k] for k in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def scan(matrices: list[set[tuple[State, State]]], start: State = FREE, stop: State = FREE) -> list[tuple[State, State]]:
+    """The states before and after each matrix on the path of weight 0 from start to stop."""
+    if len(matrices) == 1:
+        return [(start, stop)]
+    half = len(matrices) // 2
+    left, right = matrices[:half], matrices[half:]
+    after = {s for s, t in product(right) if t == stop}
+    middle = min(t for s, t in product(left) if s == start and t in after)
+    return scan(left, start, middle) + scan(right, middle, stop)
 
 
 _CHUNKS = "sha string, k int, left string, own string, right string, free_in boolean, free_out boolean"
 _STATE = "s0 int, s1 int, t0 int, t1 int"
+#: Chunks whose product is one task's; a document has at most as many of these groups as 2 GB of text give.
+GROUP = 64
 
 
 def _giants(giant: DataFrame, model: str, chunk: int) -> DataFrame:
@@ -253,9 +258,23 @@ def _giants(giant: DataFrame, model: str, chunk: int) -> DataFrame:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0]), *(pa.array(x, pa.int32()) for x in cols[1:])], ["sha", "k", "s0", "s1", "t0", "t1"])
 
-    def states(pdf: pd.DataFrame) -> pd.DataFrame:
-        ms = [{((r.s0, r.s1), (r.t0, r.t1)) for r in g.itertuples()} for _, g in pdf.groupby("k", sort=True)]
-        return pd.DataFrame([(pdf["sha"].iloc[0], k, *s, *t) for k, (s, t) in enumerate(scan(ms))], columns=["sha", "k", "s0", "s1", "t0", "t1"])
+    def matrices(pdf: pd.DataFrame, by: str) -> tuple[list[int], list[set]]:
+        got = [(int(k), {((r.s0, r.s1), (r.t0, r.t1)) for r in g.itertuples()}) for k, g in pdf.groupby(by, sort=True)]
+        return [k for k, _ in got], [m for _, m in got]
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = product(matrices(pdf, "k")[1])
+        return pd.DataFrame([(pdf["sha"].iloc[0], pdf["g"].iloc[0], *s, *t) for s, t in sorted(found)], columns=["sha", "g", "s0", "s1", "t0", "t1"])
+
+    def between(pdf: pd.DataFrame) -> pd.DataFrame:
+        gs, ms = matrices(pdf, "g")
+        return pd.DataFrame([(pdf["sha"].iloc[0], g, *s, *t) for g, (s, t) in zip(gs, scan(ms), strict=True)], columns=["sha", "g", "a0", "a1", "b0", "b1"])
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        ks, ms = matrices(pdf, "k")
+        r = pdf.iloc[0]
+        path = scan(ms, (int(r["a0"]), int(r["a1"])), (int(r["b0"]), int(r["b1"])))
+        return pd.DataFrame([(r["sha"], k, *s, *t) for k, (s, t) in zip(ks, path, strict=True)], columns=["sha", "k", "s0", "s1", "t0", "t1"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
@@ -266,7 +285,11 @@ def _giants(giant: DataFrame, model: str, chunk: int) -> DataFrame:
 
     n = int(giant.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = materialize(giant.dropDuplicates(["sha"]).mapInArrow(split, _CHUNKS).repartition(n, "sha", "k"), "chunks")
-    paths = chunks.mapInArrow(transfers, f"sha string, k int, {_STATE}").groupBy("sha").applyInPandas(states, f"sha string, k int, {_STATE}")
+    # Up: products of GROUP chunks each, in parallel. Over: a document's groups. Down: the states inside each group, in parallel.
+    steps = materialize(chunks.mapInArrow(transfers, f"sha string, k int, {_STATE}").withColumn("g", (F.col("k") / GROUP).cast("int")), "transfers")
+    groups = steps.groupBy("sha", "g").applyInPandas(products, f"sha string, g int, {_STATE}")
+    ends = groups.groupBy("sha").applyInPandas(between, "sha string, g int, a0 int, a1 int, b0 int, b1 int")
+    paths = steps.join(ends, ["sha", "g"]).groupBy("sha", "g").applyInPandas(inside, f"sha string, k int, {_STATE}")
     parts = chunks.join(paths, ["sha", "k"]).mapInArrow(read, "sha string, k int, ids array<int>")
     whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]))
     return parts.groupBy("sha").agg(whole.alias("ids"))

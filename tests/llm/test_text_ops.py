@@ -215,7 +215,20 @@ def test_sentencepiece_chunks_inside_units():
 def test_product_is_associative():
     a, b, c = ({((0, 0), (1, 0)), ((0, 0), (2, 1))}, {((1, 0), (3, 0)), ((2, 1), (0, 0))}, {((3, 0), (0, 0))})
     p = sentencepiece_codec.combine
-    assert p(p(a, b), c) == p(a, p(b, c))
+    assert p(p(a, b), c) == p(a, p(b, c)) == sentencepiece_codec.product([a, b, c])
+
+
+def test_giant_documents_of_many_groups_without_a_space(spark, monkeypatch):
+    """Cuts inside units, products over several groups of chunks, repeated giants."""
+    monkeypatch.setattr(sentencepiece_codec, "GROUP", 4)
+    model = tokenizer_file("piece_bpe_32k.model")
+    rng = random.Random(30)
+    words = ["the", "tion", "zq", "é", "漢", "house", "①", "ing"]
+    texts = ["".join(rng.choice(words) for _ in range(3000)), "a b " * 500 + "".join(rng.choice(words) for _ in range(2000)) + " c", "x" * 9000]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, texts[0]])], "doc_id long, text string")
+    rows = {r["doc_id"]: r["ids"] for r in sentencepiece_codec.encode(df, model, giant=500, chunk=300).collect()}
+    lib = sentencepiece_codec.codec(model).lib
+    assert rows == {k: lib.encode(t) for k, t in enumerate([*texts, texts[0]])}
 
 
 def test_licenses(spark):
