@@ -1,19 +1,31 @@
 """Main text of web pages by union-free regular-expression inference (wrappers).
 
-Each page becomes a stream of tokens: tags with their class and id words, and text slots. Equal neighbours fold
-into repeated groups, (...)+ , from the inside out. The expressions of pages of one host are then aligned one
-after the other: what only one side has turns into an optional group, (...)?, two repeated groups at one place
-are aligned inside, and texts are slots whatever they say. The outcome is the host's wrapper, a regular
-expression without unions. Its slots are judged once per host: slots of navigation, headers, footers, asides,
-adverts, notices, forms, comments, scripts and styles are out, and where wrappers know an article or a main
-block, only its slots are in. A page is read along its host's wrapper, and the slots that are in give the text.
-
-A host's pages are folded to their distinct expressions by hash-partitioned aggregates that combine before the
-shuffle, then merged in two levels (SALTS partial wrappers, then one), so no task sees all pages of a host.
+A page becomes a tree of block elements, labelled by tag and marks (class, id, role), whose inline content is runs of
+text. Neighbours that repeat fold into groups, (...)+ , and their insides are aligned. The expressions of a host's
+pages are then aligned one after the other: equal labels meet, what only one side has becomes an optional group,
+(...)?, repeated groups are aligned inside, equal strings of a slot stay template and differing ones make it a text
+slot. The outcome is the host's wrapper, a regular expression without unions, with the pages, characters, link
+characters and frequent strings of its parts. It decides which slots are text:
+
+* strings that a slot has on at least half of a host's pages (MIN_PAGES different ones at least) are template: out;
+* parts that are mostly links, several a page, are menus: out;
+* elements for navigation, headers, footers, asides, forms, scripts and styles, ARIA landmarks of these, and adverts
+  and comments that say so in a whole class word are out;
+* other class words (sidebar, tags, notice ...) are only hints: they count together with one of the first two, or,
+  outside the article, with a small share of the text;
+* where there is an article or a main block, only its slots are in, and its own strings and lists stay.
+
+What would take the greater part of a page away (a host of copies of one page) isn't applied to that page. Parts of a
+page that the wrapper doesn't hold are judged by the page alone: elements deeper than DEPTH, and optional parts that
+were seen least once a wrapper has more than PARTS.
+
+Pages of a partition are aligned there, host by host; the partial wrappers of a host are merged in a tree of groups of
+at most FAN, so no task sees all pages, or all partial wrappers, of a host.
 
 Results for odd input: null html is empty and gives no text; a page without tags is one block of text; broken
-or cut-off markup is closed at the end; a null or odd url is a host of its own, ""; repeated pages give a row
-each; an empty table gives no rows. Only page_id, url and html are read.
+or cut-off markup is closed at the end; very long and very deep pages are read whole; a null or odd url is a host of
+its own, ""; repeated pages give a row each; pages that tie in everything are judged alike; an empty table gives no
+rows. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -21,6 +33,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -31,36 +44,39 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded_batches, columns
 from tessera.session import materialize
 
-SALTS = 32
-#: Elements nested deeper than this become children of the one at this depth; their texts stay.
-DEPTH = 150
+#: Levels of elements that a wrapper holds, its most parts, parts side by side that are aligned in order, the strings that a slot remembers, partial wrappers that are merged at once.
+DEPTH, PARTS, WIDE, STRINGS, FAN = 100, 2000, 256, 64, 64
+#: Different pages of a host from which on a repeated string is template, and the share of the pages that must have it.
+MIN_PAGES, TEMPLATE = 3, 0.5
+#: Link characters among all, and links a page, of a menu; the share of a page's text below which a hint counts outside the article; what is never taken away.
+MENU_SHARE, MENU_LINKS, SMALL, MOST = 0.6, 2.5, 0.3, 0.85
 #: Bytes of wrappers that may be broadcast; above that they are joined by host.
 BROADCAST = 32 << 20
 
-# HTML element names by role.
+# HTML element names by role, and ARIA landmarks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg textarea title iframe object canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 OUT_TAGS = frozenset("nav footer header aside form head script style noscript template svg textarea title iframe object canvas button select option dialog menu figure-ad".split())
 MAIN_TAGS = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3".split())
+CONTAINERS = frozenset("div section ul ol dl table".split())
+OUT_ROLES = frozenset("navigation banner contentinfo complementary search menubar menu toolbar dialog alertdialog form".split())
 CLOSED_BY = {"p": frozenset("p div ul ol li table h1 h2 h3 h4 h5 h6 section article aside header footer nav form pre blockquote dl figure main hr".split()),
              "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
-# Fixed value: words of class and id attributes, and of roles, that mark what isn't the article.
-OUT_WORDS = frozenset("""ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion promoted popup modal overlay
-nav navbar navigation menu menubar topnav breadcrumb breadcrumbs sidebar side rail footer foot colophon header masthead topbar toolbar
-comment comments commentlist disqus reply replies respond discussion reader-comments notice notices cookie cookies consent gdpr alert newsletter
-subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination pager search searchform
-tags legal copyright complementary contentinfo""".split())
-
-# First words of a class like has-sidebar, which say something of what is beside the element; and marks whose articles aren't the page's own.
+# Whole class words of adverts and reader comments, and of containers whose articles aren't the page's own.
+PLAIN_MARKS = frozenset("ad ads advert adverts advertisement advertising sponsored comments commentlist comment-list reader-comments disqus cookie-notice cookie-banner newsletter".split())
+OWN_ARTICLES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments commentlist disqus reply replies respond newsletter related recommended".split())
+# Class words that hint at something beside the article, and first words like has- that speak of what is beside the element.
+HINTS = OWN_ARTICLES | frozenset("""banner sponsor promo popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar side rail footer header masthead toolbar
+comment reply replies respond notice notices cookie cookies consent alert subscribe subscription signup login share sharing social related recommended
+widget widgets pagination pager search tags legal copyright""".split())
 MODIFIERS = frozenset("has no not with without".split())
-OWN_ARTICLES = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted comment comments commentlist disqus reply replies
-respond discussion reader-comments newsletter related recommended recommendations widget widgets""".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<(?=[^a-zA-Z/!?])|[^<]+|<", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
-TEXT = "#"
+TEXT, GROUP = "#", "+"
 
 
 def lex(page: str) -> Iterator[tuple[str, str, str]]:
@@ -93,304 +109,457 @@ def lex(page: str) -> Iterator[tuple[str, str, str]]:
             pos = end.start() if end else n
 
 
-def tree(page: str) -> list:
-    """Nested lists [label, child, ...] with texts as strings; a label is the tag and its marks."""
-    root: list = ["", ]
-    open_: list[list] = [root]
-    names: list[str] = [""]
+class Node:
+    """A block element with its parts in order, or a run of text. chars, link_chars and links count all that is below."""
+
+    __slots__ = ("label", "tag", "parts", "text", "chars", "link_chars", "links", "path", "depth")
+
+    def __init__(self, label: str, parent: Node | None, text: str = "", link_chars: int = 0, links: int = 0):
+        self.label, self.tag = label, label.split(" ", 1)[0]
+        self.parts: list[Node] = []
+        self.text, self.chars, self.link_chars, self.links = text, len(text), link_chars, links
+        self.path = zlib.crc32(label.encode("utf-8", "surrogatepass"), parent.path if parent else 0)
+        self.depth = parent.depth + 1 if parent else 0
+
+
+def _marked(label: str, words: frozenset, parts: bool = False) -> bool:
+    """Whether a mark is one of the words, or with parts begins or ends with one before or after a hyphen."""
+    for w in label.split(" ")[1:]:
+        if w in words:
+            return True
+        if parts and "-" in w and (ends := w.split("-"))[0] not in MODIFIERS and (ends[0] in words or ends[-1] in words):
+            return True
+    return False
+
+
+def parse(page: str) -> list[Node]:
+    """The nodes of a page, parents before their children; the first is the root. Iterative: depth doesn't matter."""
+    root = Node("", None)
+    nodes = [root]
+    names: list[str] = []  # open elements, inline ones too
+    owner = [root]  # the block that content of each open element goes to
+    count: dict[str, int] = {}
+    words: list[str] = []
+    linked: list[str] = []
+    state = [0, 0]  # open links, links begun in this run
+    skip = 0  # depth of open inline elements that are out
+
+    def flush() -> None:
+        if words:
+            text = " ".join(entities.unescape("".join(words)).split())
+            if text:
+                link = " ".join(entities.unescape("".join(linked)).split())
+                run = Node(TEXT, owner[-1], text, min(len(link), len(text)), state[1])
+                owner[-1].parts.append(run)
+                nodes.append(run)
+            words.clear()
+        linked.clear()
+        state[1] = 0
+
+    def close() -> None:
+        nonlocal skip
+        name = names.pop()
+        count[name] -= 1
+        if owner[-1] is not owner[-2]:
+            flush()
+        owner.pop()
+        if name == "a":
+            state[0] -= 1
+        if skip > len(names):
+            skip = 0
+
     for kind, tag, value in lex(page):
         if kind == "text":
-            open_[-1].append(value)
+            if not skip:
+                words.append(value)
+                if state[0]:
+                    linked.append(value)
         elif kind == "open":
             # an unclosed b or i ends with its paragraph: paragraphs close over inline elements
-            while len(names) > 1:
+            while names:
                 k = len(names) - 1
-                while k > 0 and names[k] in INLINE and tag not in INLINE:
+                while k >= 0 and names[k] in INLINE and tag not in INLINE:
                     k -= 1
-                if k > 0 and tag in CLOSED_BY.get(names[k], ()):
-                    del open_[k:], names[k:]
+                if k >= 0 and tag in CLOSED_BY.get(names[k], ()):
+                    while len(names) > k:
+                        close()
                 else:
                     break
-            node = [f"{tag} {value}".strip()]
-            open_[-1].append(node)
-            if tag not in VOID and len(open_) < DEPTH:
-                open_.append(node)
+            label = f"{tag} {value}".rstrip()
+            if tag in INLINE:
+                if tag == "br":
+                    words.append(" ")
+                if tag in VOID:
+                    continue
+                if tag == "a":
+                    state[0] += 1
+                    state[1] += 1
                 names.append(tag)
-        elif tag in names:
-            k = len(names) - 1 - names[::-1].index(tag)
-            del open_[k:], names[k:]
-    return root
+                owner.append(owner[-1])
+                if not skip and value and _marked(label, PLAIN_MARKS):
+                    skip = len(names)
+            else:
+                flush()
+                node = Node(label, owner[-1])
+                owner[-1].parts.append(node)
+                nodes.append(node)
+                if tag in VOID or tag in RAW:
+                    continue
+                names.append(tag)
+                owner.append(node)
+            count[tag] = count.get(tag, 0) + 1
+        elif count.get(tag):
+            while names[-1] != tag:
+                close()
+            close()
+    while names:
+        close()
+    flush()
+    parent = {id(c): n for n in nodes for c in n.parts}
+    for n in reversed(nodes[1:]):
+        up = parent[id(n)]
+        up.chars += n.chars
+        up.link_chars += n.link_chars
+        up.links += n.links
+    return nodes
+
+
+# -- expressions: a part is [label, parts, pages, chars, link chars, links, strings]; a group has the label "+"; of a slot strings are its texts' hashes and pages
+
+def _hash(text: str) -> str:
+    raw = text.encode("utf-8", "surrogatepass")
+    return f"{zlib.crc32(raw):08x}{zlib.adler32(raw) & 0xFFFF:04x}"
+
+
+def expression(nodes: list[Node]) -> dict:
+    """A page's expression: its parts, one page, and a hash of it."""
+    root = nodes[0]
 
+    def of(node: Node) -> list:
+        if node.label == TEXT:
+            return [TEXT, [], 1, node.chars, node.link_chars, node.links, {_hash(node.text): 1}]
+        inside = [] if node.tag in OUT_TAGS or node.depth >= DEPTH else fold([of(c) for c in node.parts])
+        return [node.label, inside, 1, node.chars, node.link_chars, node.links, {}]
 
-def _fold(items: list) -> list:
-    """Neighbouring equal runs, the shortest first, become ["+", items]."""
+    return {"pages": 1, "kinds": [zlib.crc32("\n".join(n.text for n in nodes if n.label == TEXT).encode("utf-8", "surrogatepass"))], "chars": root.chars, "parts": fold([of(c) for c in root.parts])}
+
+
+def _head(part: list) -> str:
+    """What parts must have in common to be aligned: the label, or that of the first of a group."""
+    while part[0] == GROUP:
+        part = part[1][0]
+    return part[0]
+
+
+def _core(part: list) -> list:
+    return part[1] if part[0] == GROUP else [part]
+
+
+def fold(parts: list[list]) -> list[list]:
+    """Neighbours that repeat, the shortest period first, become groups; a list of over WIDE parts that still doesn't is one loose group."""
     width = 1
-    while width <= len(items) // 2 and width <= 12:
-        out, k, changed = [], 0, False
-        while k < len(items):
-            run = items[k:k + width]
-            if len(run) == width and run == items[k + width:k + 2 * width]:
-                stop = k + width
-                while items[stop:stop + width] == run:
-                    stop += width
-                body = run[0][1] if width == 1 and run[0][0] == "+" else run
-                out.append(["+", body])
-                k, changed = stop, True
+    while 2 * width <= len(parts) and (width <= 16 or len(parts) <= WIDE):
+        heads = [_head(p) for p in parts]
+        if len(set(heads)) == len(heads):
+            break
+        n = len(parts)
+        ahead = [0] * (n + 1)  # how many places from k on agree with those width later
+        for k in range(n - width - 1, -1, -1):
+            ahead[k] = ahead[k + 1] + 1 if heads[k] == heads[k + width] else 0
+        out, k = [], 0
+        while k < n:
+            if ahead[k] >= width:
+                times = ahead[k] // width + 1
+                reps = [parts[k + i * width:k + (i + 1) * width] for i in range(times)]
+                body = reps[0] if width > 1 else _core(reps[0][0])
+                for r in reps[1:]:
+                    body = merge(body, r if width > 1 else _core(r[0]), False)
+                out.append(_group(body, [p for r in reps for p in r]))
+                k += times * width
             else:
-                out.append(items[k])
+                out.append(parts[k])
                 k += 1
-        items = out
-        width = 1 if changed and width > 1 else width + 1
-    return items
-
-
-def expression(node: list) -> list:
-    """A page as [label, items]: items are ["#"], ["+", items], ["?", items] or elements [label, items] again."""
-    items: list = []
-    for child in node[1:]:
-        if isinstance(child, str):
-            if child.strip() and (not items or items[-1] != [TEXT]):
-                items.append([TEXT])
-        else:
-            items.append(expression(child))
-    return [node[0], _fold(items)]
-
-
-def _core(item: list) -> list:
-    """What a group stands for, as one item or the items of the group."""
-    return item[1] if item[0] in "+?" and item[0] else [item]
+        width = 1 if len(out) < n and width > 1 else width + 1
+        parts = out
+    return loose(parts, False)
+
+
+def _group(body: list[list], parts: list[list]) -> list:
+    return [GROUP, body, max(p[2] for p in parts), *(sum(p[i] for p in parts) for i in (3, 4, 5)), {}]
+
+
+def loose(parts: list[list], across: bool) -> list[list]:
+    """A list of over WIDE parts as (a? b? c?)+ , each head once; shorter ones as they are. Bounds the alignment's work."""
+    if len(parts) <= WIDE or len({_head(p) for p in parts}) == len(parts):
+        return parts
+    body: dict[str, list] = {}
+    for p in parts:
+        for c in _core(p):
+            h = _head(c)
+            body[h] = _both(body[h], c, across) if h in body else c
+    return [_group(list(body.values()), parts)]
+
+
+def _strings(x: dict, y: dict, across: bool) -> dict:
+    """Pages by string; the rarest give way, all counts less what the first beyond STRINGS has."""
+    if not x or not y:
+        out = dict(x or y)
+    else:
+        out = dict(x)
+        for k, v in y.items():
+            out[k] = out.get(k, 0) + v if across else max(out.get(k, 0), v)
+    if len(out) > STRINGS:
+        less = sorted(out.values(), reverse=True)[STRINGS]
+        out = {k: v - less for k, v in out.items() if v > less} if across else dict(sorted(out.items())[:STRINGS])
+    return out
 
 
-def _head(item: list) -> str:
-    """What items must have in common to be aligned: the label, or that of the first of a group."""
-    while item[0] in ("+", "?"):
-        item = item[1][0]
-    return item[0]
+def _both(x: list, y: list, across: bool) -> list:
+    """Two aligned parts as one. across: of different pages."""
+    stats = [x[2] + y[2] if across else max(x[2], y[2]), x[3] + y[3], x[4] + y[4], x[5] + y[5], _strings(x[6], y[6], across)]
+    if x[0] == GROUP or y[0] == GROUP:
+        return [GROUP, merge(_core(x), _core(y), across), *stats]
+    return [x[0], merge(x[1], y[1], across), *stats]
 
 
-def merge(a: list, b: list) -> list:
-    """The least general expression found that covers both item lists."""
-    if a == b:
-        return a
-    out: list = []
+def merge(a: list[list], b: list[list], across: bool = True) -> list[list]:
+    """The least general parts found that cover both lists."""
+    if not a or not b:
+        return a or b
     heads = [_head(x) for x in a], [_head(x) for x in b]
+    if heads[0] == heads[1]:
+        return [_both(x, y, across) for x, y in zip(a, b, strict=True)]
+    out: list = []
     for op, i, j, k, m in SequenceMatcher(None, *heads, autojunk=False).get_opcodes():
         if op == "equal":
-            out += [_merge_items(x, y) for x, y in zip(a[i:j], b[k:m], strict=True)]
+            out += [_both(x, y, across) for x, y in zip(a[i:j], b[k:m], strict=True)]
         else:
-            out += [x if x[0] == "?" else ["?", [x]] for x in (*a[i:j], *b[k:m])]
+            out += [*a[i:j], *b[k:m]]
     squeezed: list = []
-    for x in out:  # equal neighbours are one group
+    for x in out:  # neighbours with one head are a group
         if squeezed and _head(squeezed[-1]) == _head(x):
-            both = merge(_core(squeezed[-1]), _core(x))
-            squeezed[-1] = [TEXT] if _head(x) == TEXT else both[0] if len(both) == 1 and both[0][0] == "+" else ["+", both]
+            y = squeezed[-1]
+            both = _both(y, x, True)
+            both[2] = max(y[2], x[2])
+            squeezed[-1] = both if both[0] == GROUP else [GROUP, [both], *both[2:6], {}]
         else:
             squeezed.append(x)
-    return squeezed
-
-
-def _merge_items(x: list, y: list) -> list:
-    if x == y:
-        return x
-    kinds = {x[0], y[0]}
-    if kinds & {"+", "?"}:
-        kind = "+" if "+" in kinds else "?"
-        return [kind, merge(_core(x), _core(y))]
-    if x[0] == TEXT:
-        return x
-    return [x[0], merge(x[1], y[1])]
-
-
-def _out_marks(label: str) -> set[str]:
-    """The words of a label's marks that say it is out: whole ones, or the first or last part of one with hyphens."""
-    tag, *marks = label.split(" ")
-    found: set[str] = set()
-    if tag not in MAIN_TAGS and tag not in ("html", "body"):
-        for w in marks:
-            parts = w.split("-")
-            if w in OUT_WORDS:
-                found.add(w)
-            elif parts[0] not in MODIFIERS:
-                found |= OUT_WORDS & {parts[0], parts[-1]}
-    return found
-
-
-def _label_out(label: str) -> bool:
-    return label.split(" ")[0] in OUT_TAGS or bool(_out_marks(label))
-
-
-def _holds_main(items: list, articles: bool) -> bool:
-    """Whether a main block (or an article) with text is among the items or below."""
-    for x in items:
-        if x[0] == TEXT:
-            continue
-        tag = x[0].split(" ")[0]
-        if x[0] not in ("+", "?"):
-            if tag in OUT_TAGS:
-                continue
-            if (tag == "main" or articles and tag == "article") and _has_text(x[1]):
-                return True
-            articles_below = articles and not _out_marks(x[0]) & OWN_ARTICLES
-        else:
-            articles_below = articles
-        if _holds_main(x[1], articles_below):
-            return True
-    return False
+    return loose(squeezed, across)
 
 
-def rules(items: list) -> dict:
-    """What a wrapper says of its slots: whether there is a main block, and the labels that are out, by path.
-
-    A container is not out for its marks if the main block is inside.
-    """
-    out: dict = {"main": False, "out": []}
-    seen: set = set()
-
-    def walk(items: list, path: tuple, inside: bool) -> None:
-        for x in items:
-            if x[0] in ("+", "?"):
-                walk(x[1], path, inside)
-            elif x[0] != TEXT:
-                here = (*path, x[0])
-                off = inside
-                if x[0].split(" ")[0] in OUT_TAGS or (marks := _out_marks(x[0])) and not _holds_main(x[1], not marks & OWN_ARTICLES):
-                    if here not in seen:
-                        seen.add(here)
-                        out["out"].append(list(here))
-                    if not _may_hold_page(x[0]):
-                        continue
-                    off = True
-                if x[0].split(" ")[0] in MAIN_TAGS and not off and _has_text(x[1]):
-                    out["main"] = True
-                walk(x[1], here, off)
-
-    walk(items, (), False)
-    return out
+def _size(parts: list[list]) -> int:
+    return sum(1 + _size(p[1]) for p in parts)
 
 
-def _may_hold_page(label: str) -> bool:
-    """Whether what is out by this label is in after all on pages that have most of their text there: it is marked by a part of a word only."""
-    tag, *marks = label.split(" ")
-    found = _out_marks(label)
-    return tag not in OUT_TAGS and bool(found) and not found & OWN_ARTICLES and not OUT_WORDS & set(marks)
+def _without(parts: list[list], pages: int) -> list[list]:
+    """Parts seen on more than that many pages."""
+    kept = [[p[0], _without(p[1], pages), *p[2:]] for p in parts if p[2] > pages]
+    return [p for p in kept if p[0] != GROUP or p[1]]
 
 
-def _node_holds_main(node: list) -> bool:
-    """The like of _holds_main for an element of a page: its path can be another element's that is out."""
-    return node[0].split(" ", 1)[0] not in OUT_TAGS and _holds_main(expression(node)[1], not _out_marks(node[0]) & OWN_ARTICLES)
+def align(x: dict | None, y: dict) -> dict:
+    """The wrapper of what two wrappers cover."""
+    if x is None:
+        return y
+    out = {"pages": x["pages"] + y["pages"], "kinds": sorted({*x["kinds"], *y["kinds"]})[:MIN_PAGES], "chars": x["chars"] + y["chars"], "parts": merge(x["parts"], y["parts"])}
+    least = 1
+    while _size(out["parts"]) > PARTS and least < out["pages"]:
+        out["parts"] = _without(out["parts"], least)
+        least *= 2
+    return out
 
 
-def _size(node: list) -> int:
-    """Characters of text that aren't out by their tags."""
-    return sum(len(c.strip()) if isinstance(c, str) else 0 if c[0].split(" ", 1)[0] in OUT_TAGS else _size(c) for c in node[1:])
+def regex(wrapper: dict) -> str:
+    """The wrapper as a regular expression without unions: ( )+ repeats, ( )? is optional, "..." a template string, # a text slot."""
+    def of(p: list, pages: int) -> str:
+        inside = " ".join(of(c, p[2]) for c in p[1])
+        if p[0] == GROUP:
+            made = f"({inside})+"
+        elif p[0] == TEXT:
+            made = f'"{next(iter(p[6]))}"' if list(p[6].values()) == [p[2]] and p[2] > 1 else TEXT
+        else:
+            made = f"<{p[0]}>{inside}</>"
+        return made if p[2] >= pages else f"({made})?"
+    return " ".join(of(p, wrapper["pages"]) for p in wrapper["parts"])
 
 
-def _has_text(items: list) -> bool:
-    return any(x[0] == TEXT or len(x) > 1 and _has_text(x[1]) for x in items)
+class Rules:
+    """What a wrapper says of its slots, by the crc of the labels on the way to them."""
 
+    def __init__(self, wrapper: dict):
+        self.template: dict[int, set[str]] = {}
+        self.menus: set[int] = set()
+        pages = wrapper["pages"]
+        known = len(wrapper["kinds"]) >= MIN_PAGES
+        stats: dict[int, list[int]] = {}
 
-def read_page(page: str, wrapper: dict) -> str:
-    """The text of the slots that are in, block by block."""
-    dropped = {tuple(x) for x in wrapper["out"]}
-    root = tree(page)
-
-    def main_blocks(node: list, path: tuple) -> Iterator[tuple[list, tuple]]:
-        for c in node[1:]:
-            if not isinstance(c, str):
-                here = (*path, c[0])
-                if here in dropped and not _node_holds_main(c):
+        def walk(parts: list[list], path: int) -> None:
+            for p in parts:
+                if p[0] == GROUP:
+                    walk(p[1], path)
                     continue
-                if c[0].split(" ")[0] in MAIN_TAGS:
-                    yield c, here
-                else:
-                    yield from main_blocks(c, here)
+                here = zlib.crc32(p[0].encode("utf-8", "surrogatepass"), path)
+                if p[0] == TEXT:
+                    if known and (often := {k for k, v in p[6].items() if v >= TEMPLATE * pages}):
+                        self.template.setdefault(here, set()).update(often)
+                    continue
+                s = stats.setdefault(here, [0, 0, 0, 0])
+                for i in range(4):
+                    s[i] += p[2 + i]
+                walk(p[1], here)
 
-    blocks: list[str] = []
-    words: list[str] = []
+        walk(wrapper["parts"], 0)
+        plain = sum(p[3] - p[4] for p in wrapper["parts"])
+        self.known = known
+        for here, (n, chars, link_chars, links) in stats.items():
+            if links >= MENU_LINKS * n and link_chars >= MENU_SHARE * chars and 2 * (chars - link_chars) <= plain:
+                self.menus.add(here)
 
-    def flush() -> None:
-        line = " ".join(entities.unescape("".join(words)).split())
-        if line:
-            blocks.append(line)
-        words.clear()
 
-    found = list(main_blocks(root, ())) if wrapper["main"] else []
+def _roles(label: str) -> bool:
+    return not OUT_ROLES.isdisjoint(label.split(" ")[1:])
 
-    def out(node: list, here: tuple) -> bool:
-        return here in dropped and not (not found and _may_hold_page(node[0]) and 2 * _size(node) > _size(root))
 
-    def walk(node: list, path: tuple) -> None:
-        for c in node[1:]:
-            if isinstance(c, str):
-                words.append(c)
-                continue
-            tag = c[0].split(" ", 1)[0]
-            here = (*path, c[0])
-            if out(c, here):
-                if tag not in INLINE:
-                    flush()
+def read_page(nodes: list[Node], rules: Rules) -> str:
+    """The text of the slots that are in, block by block."""
+    root = nodes[0]
+
+    def main_inside(top: Node) -> list[Node]:
+        """The outermost main blocks, or else the page's own articles, that have text."""
+        found: dict[str, list[Node]] = {"main": [], "article": []}
+        todo = [(c, True) for c in reversed(top.parts)]
+        while todo:
+            x, own = todo.pop()
+            if x.label == TEXT or not x.chars or x.tag in OUT_TAGS or _roles(x.label):
                 continue
-            if tag in INLINE:
-                if tag == "br":
-                    words.append(" ")
-                walk(c, here)
-            else:
-                flush()
-                walk(c, here)
-                flush()
-
-    for node, path in found or [(root, ())]:
-        walk(node, path)
-        flush()
-    return "\n".join(blocks)
-
-
-def page_expression(page: str) -> str:
-    return json.dumps(expression(tree(page))[1], separators=(",", ":"), ensure_ascii=False)
+            own = own and not _marked(x.label, OWN_ARTICLES, True)
+            if x.tag == "main" or x.tag == "article" and own:
+                found[x.tag].append(x)
+            if x.tag != "main":
+                todo += [(c, own and x.tag != "article") for c in reversed(x.parts)]
+        return found["main"] or found["article"]
+
+    mains = main_inside(root)
+    holders = set()  # what holds a main block is never out for its marks
+    up = {id(c): n for n in nodes for c in n.parts}
+    for m in mains:
+        x = m
+        while x is not None and id(x) not in holders:
+            holders.add(id(x))
+            x = up.get(id(x))
+
+    def template(run: Node) -> bool:
+        return run.path in rules.template and _hash(run.text) in rules.template[run.path]
+
+    def all_template(node: Node) -> bool:
+        todo, any_ = [node], False
+        while todo:
+            x = todo.pop()
+            if x.label == TEXT:
+                if not template(x):
+                    return False
+                any_ = True
+            todo += x.parts
+        return any_
+
+    def out(node: Node, inside: bool) -> bool:
+        if node.tag in OUT_TAGS or _roles(node.label):
+            return not (node.tag == "header" and inside and any(c.tag in HEADINGS for c in node.parts))
+        if id(node) in holders:
+            return False
+        menu = node.path in rules.menus
+        if menu and not inside:
+            return True
+        if " " not in node.label or 2 * node.chars > root.chars and not inside:
+            return False
+        if _marked(node.label, PLAIN_MARKS):
+            return True
+        if _marked(node.label, HINTS, node.tag in CONTAINERS):
+            if menu or all_template(node):
+                return True
+            return not inside and node.chars < SMALL * root.chars and (not rules.known or _marked(node.label, HINTS) or _marked(node.label, OWN_ARTICLES, True))
+        return False
+
+    def collect(top: Node, inside: bool) -> list[tuple[str, bool]]:
+        """Runs that are in, with whether they are template."""
+        got, todo = [], list(reversed(top.parts))
+        while todo:
+            x = todo.pop()
+            if x.label == TEXT:
+                got.append((x.text, not inside and template(x)))
+            elif x.chars and not out(x, inside):
+                todo.extend(reversed(x.parts))
+        return got
+
+    if mains:
+        return "\n".join(t for m in mains for t, _ in collect(m, True))
+    got = collect(root, False)
+    if sum(len(t) for t, x in got if x) > MOST * sum(len(t) for t, _ in got):
+        return "\n".join(t for t, _ in got)
+    return "\n".join(t for t, x in got if not x)
 
 
 def fold_wrappers(exprs: list[str]) -> str:
-    """Aligns expressions one after the other, in a fixed order."""
-    out: list | None = None
+    """Aligns wrappers, given as JSON, one after the other in a fixed order."""
+    out: dict | None = None
     for e in sorted(exprs, key=lambda x: (len(x), x)):
-        items = json.loads(e)
-        out = items if out is None else merge(out, items)
-    return json.dumps(out or [], separators=(",", ":"), ensure_ascii=False)
+        out = align(out, json.loads(e))
+    return _dumps(out or {"pages": 0, "kinds": [], "chars": 0, "parts": []})
+
+
+def _dumps(wrapper: dict) -> str:
+    return json.dumps(wrapper, separators=(",", ":"), ensure_ascii=True)
 
 
 def host_of(url: F.Column) -> F.Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
 
 
-def wrappers(pages: DataFrame, salts: int = SALTS) -> DataFrame:
+def wrappers(pages: DataFrame, fan: int = FAN, hosts: int = 2000) -> DataFrame:
     """host, wrapper: the regular expression of each host as JSON. pages: url, html."""
     bounded_batches(pages.sparkSession)
     body = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[str, dict] = {}
+
+        def full() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(map(_dumps, own.values()), pa.string())], ["host", "wrapper"])
+            own.clear()
+            return made
+
         for b in batches:
-            host, page = columns(b, "host", "html")
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array([page_expression(p) for p in page], pa.string())], ["host", "expr"])
+            for host, page in zip(*columns(b, "host", "html"), strict=True):
+                own[host] = align(own.get(host), expression(parse(page)))
+                if len(own) >= hosts:
+                    yield full()
+        if own:
+            yield full()
 
-    distinct = body.mapInArrow(run, "host string, expr string").groupBy("host", "expr").agg(F.count("*").alias("pages"))
     folded = F.pandas_udf(lambda s: s.map(lambda x: fold_wrappers(list(x))), "string")
-    partial = distinct.groupBy("host", F.pmod(F.xxhash64("expr"), F.lit(salts)).alias("salt")).agg(F.collect_list("expr").alias("exprs"))
-    once = partial.select("host", folded("exprs").alias("expr"))
-    return once.groupBy("host").agg(F.collect_list("expr").alias("exprs")).select("host", folded("exprs").alias("wrapper"))
+    now = materialize(body.mapInArrow(run, "host string, wrapper string"), "partial")
+    while True:
+        counts = now.groupBy("host").agg(F.count("*").alias("n"))
+        most = counts.agg(F.max("n")).first()[0] or 0
+        if most <= 1:
+            return now
+        split = F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / fan)).cast("int")
+        grouped = now.join(counts, "host").groupBy("host", split.alias("part")).agg(F.collect_list("wrapper").alias("all"))
+        now = materialize(grouped.select("host", folded("all").alias("wrapper")), "merged")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     bounded_batches(pages.sparkSession)
     body = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    found = materialize(wrappers(body), "wrappers")
+    found = wrappers(body)
     size = found.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0))).first()[0]
     keyed = body.withColumn("host", host_of(F.col("url")))
     joined = keyed.join(F.broadcast(found) if size <= BROADCAST else found, "host", "left").select(
         "page_id", "url", F.coalesce("html", F.lit("")).alias("html"), "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict] = {}
+        known: dict[str, Rules] = {}
         for b in batches:
             ids, url, page, wrapper = columns(b, "page_id", "url", "html", "wrapper")
             text = []
@@ -398,8 +567,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 if w not in known:
                     if len(known) > 2000:
                         known.clear()
-                    known[w] = rules(json.loads(w))
-                text.append(read_page(p, known[w]))
+                    known[w] = Rules(json.loads(w))
+                text.append(read_page(parse(p), known[w]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(url, pa.string()), pa.array(text, pa.string()),
                                               pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -346,13 +346,69 @@ def test_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
-def test_wrapper_covers_its_pages():
-    pages = [html_extract.page_expression(PAGE.format(k, "<p>x</p>" * (k % 3), "")) for k in range(6)]
-    whole = html_extract.fold_wrappers(pages)
-    halves = html_extract.fold_wrappers([html_extract.fold_wrappers(pages[:3]), html_extract.fold_wrappers(pages[3:])])
+def wrapper_of(pages):
+    out = None
+    for p in pages:
+        out = html_extract.align(out, html_extract.expression(html_extract.parse(p)))
+    return out
+
+
+def rules_of(pages):
+    return html_extract.Rules(wrapper_of(pages))
+
+
+def test_wrapper_is_the_same_in_parts():
+    pages = [PAGE.format(k, "<p>x</p>" * (k % 3), "") for k in range(6)]
+    whole, halves = wrapper_of(pages), html_extract.align(wrapper_of(pages[:3]), wrapper_of(pages[3:]))
+    assert html_extract.regex(whole) == html_extract.regex(halves)
+    assert vars(html_extract.Rules(whole)) == vars(html_extract.Rules(halves))
+
+
+def test_wrapper_infers_groups_options_and_slots():
+    pages = [f"<body><h1>{k}</h1><p>Always</p>" + "<ul>" + f"<li>{k}</li>" * (k + 1) + "</ul>" + (f"<div>only {k}</div>" if k % 2 else "") + "<dl>" + "<dt>a<dd>b" * 3 + "</dl></body>" for k in range(4)]
+    always = html_extract._hash("Always")
+    made = html_extract.regex(wrapper_of(pages))
+    assert made.startswith(f'<body><h1>#</> <p>"{always}"</> <ul>') and "(<div>#</>)?" in made and "(<dt>" in made and ")+</>" in made and "(<li>" in made
+
+
+def test_neutral_class_names_are_judged_by_the_wrapper(spark):
+    """Constant strings and lists of links go on a host whose class names say nothing, whatever the tags."""
+    page = ('<html><body><div class="c1"><a href="/">Home</a> <a href="/a">About</a> <a href="/c">Contact</a></div><div><ul><li><a href="/{0}1">Story {0} one</a></li><li><a href="/{0}2">Tale {0} two</a></li>'
+            '<li><a href="/{0}3">Text {0} three</a></li></ul></div><div class="c2"><h1>Title {0}</h1><p>Body of {0} with <a href="/x">a link</a> inside.</p><p>More {0}.</p></div><div class="c3">All pages say this.</div></body></html>')
+    rows = [(k, "https://neutral.example.com/%d" % k, page.format(k)) for k in range(5)]
+    rows += [(10 + k, "https://copies.example.com/%d" % k, f"<div>Bought {k}</div><p>One article that is the same on all of these pages, word for word.</p>") for k in range(4)]
+    rows += [(20, "https://one.example.com/", "<div>Only page</div><p>of its host</p>")]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(5)] == [f"Title {k}\nBody of {k} with a link inside.\nMore {k}." for k in range(5)]
+    assert all("One article that is the same" in got[10 + k] for k in range(4))
+    assert got[20] == "Only page\nof its host"
+
+
+def test_class_words_inside_the_article_decide_nothing_alone(spark):
+    page = ('<article><h1>T {0}</h1><div class="social-history tags">History {0}</div><p class="side-effects">Effects {0}</p><section class="notice">Notice {0}</section><h2>Summary</h2>'
+            '<div class="ad">Buy {0}</div><div class="share"><a>Mail</a> <a>Post</a> <a>Print</a></div><div id="comments">Nice {0}</div><p>End {0}</p></article>')
+    rows = [(k, f"https://m.example.com/{k}", page.format(k)) for k in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"T {k}\nHistory {k}\nEffects {k}\nNotice {k}\nSummary\nEnd {k}" for k in range(4)}
+
+
+def test_depth_and_length_have_no_limit():
+    deep = "<div>" * 1500 + "<nav>MENU</nav><p>text</p><footer>F</footer>" + "</div>" * 1500
+    assert html_extract.read_page(html_extract.parse(deep), rules_of([deep])) == "text"
+    rng = random.Random(3)
+    long = "<body>" + "".join(rng.choice(["<p>a</p>", "<h2>b</h2>", "<ul><li>c</ul>", "<div>d</div>"]) for _ in range(30_000)) + "</body>"
+    w = wrapper_of([long, long + "<p>e", "<p>f" + long])
+    assert html_extract._size(w["parts"]) < html_extract.PARTS
+    assert html_extract.read_page(html_extract.parse(long), html_extract.Rules(w)).count("\n") == 29_999
+
+
+def test_wrappers_merge_in_a_tree(spark):
+    rows = [(f"https://w.example.com/{k}", f"<div>{k}</div>" + "<p>x</p>" * (k % 4) + "<span>All</span>") for k in range(60)]
+    df = spark.createDataFrame(rows, "url string, html string").repartition(30)
+    got = html_extract.wrappers(df, fan=3).collect()
+    assert len(got) == 1
     import json
-    assert html_extract.rules(json.loads(whole)) == html_extract.rules(json.loads(halves))
-    assert html_extract.fold_wrappers([whole, pages[0]]) == whole
+    assert json.loads(got[0]["wrapper"])["pages"] == 60
 
 
 def test_containers_around_the_article_stay(spark):
