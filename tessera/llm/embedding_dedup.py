@@ -16,7 +16,7 @@ never the pairs.
 
 Results for odd input: vectors that are null, zero, or hold null or non-finite components, and vectors without a
 label, link with nothing; vectors of different lengths never link; a cosine that ties with the threshold links; repeated
-vec_ids are vectors of their own; an empty table gives no rows. Only id, vector and label are read.
+vec_ids are vectors of their own; rows without a vec_id count as copies of equal vectors and link no others; an empty table gives no rows. Only id, vector and label are read.
 """
 
 from __future__ import annotations
@@ -172,7 +172,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, least: int = LE
     nodes = member.groupBy("label", "h", "vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     nodes = materialize(nodes.select("node", "label", "h", "vec", "copies"), "vectors")
     indexed = permutations(nodes, {} if exact else choose_pivots(nodes, threshold, least, block), nearest)
-    found = materialize(links(indexed, threshold, shared, block), "links")
+    found = materialize(links(indexed.where(F.col("node").isNotNull()), threshold, shared, block), "links")
     comps = connected(found.select(F.col("node").alias("src"), F.col("low").alias("dst")))
     weight = found.groupBy("node").agg(F.sum("weight").alias("weight"))
     known = nodes.join(weight, "node", "left").join(comps, "node", "left").select(

@@ -8,7 +8,7 @@ in the global order, and the runs that touch a partition's ends (two a partition
 
 Results for odd input: a null text is empty; empty texts equal one another; of equal texts the one with the
 most code points in its original, then the smallest doc_id stays; very long texts are compared in full; rows
-that repeat a doc_id give a row each; an empty table gives no rows. exact_duplicates() never reads other columns;
+that repeat a doc_id give a row each, and a null doc_id comes after all others; an empty table gives no rows. exact_duplicates() never reads other columns;
 drop_duplicates() carries whole rows through, whatever their columns are called.
 """
 
@@ -82,7 +82,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     norm = texts(docs, id_col, text_col).select("doc_id", F.length("text").alias("cp"), normalized(F.col("text")).alias("norm"))
     keyed = norm.select(F.substring(F.col("norm").cast("binary"), 1, PREFIX).alias("prefix"), F.xxhash64("norm").alias("h"), "doc_id", "cp", F.col("norm").cast("binary").alias("norm"))
-    ordered = keyed.repartitionByRange(n, "prefix", "h", "doc_id").sortWithinPartitions("prefix", "h", "norm", F.col("cp").desc(), "doc_id")
+    last = F.col("doc_id").asc_nulls_last()
+    ordered = keyed.repartitionByRange(n, "prefix", "h", last).sortWithinPartitions("prefix", "h", "norm", F.col("cp").desc(), last)
     runs = materialize(ordered.mapInArrow(_runs, RUNS), "runs")
     # At most two runs of a partition touch its ends: a bounded table.
     ends = runs.where("edge").groupBy("sha", "first_id", "first_cp", "n").agg(F.count("*").alias("rows"))
@@ -91,7 +92,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     joined = runs.join(F.broadcast(whole), "sha", "left")
     keep = F.when(F.col("edge"), F.col("whole_id")).otherwise(F.col("first_id"))
     size = F.when(F.col("edge"), F.col("whole_n")).otherwise(F.col("n"))
-    return joined.select("doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"), (keep == F.col("doc_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return joined.select("doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -251,7 +251,8 @@ def scan(docs: DataFrame, confirm: float = CONFIRM, id_col: str = "doc_id", text
     lines = F.filter("every", lambda y: y["line"] == y["last_line"])
     mine = per_doc.select("doc_id", "th", F.filter("every", lambda x: (x["line"] == x["last_line"]) | ~F.exists(
         lines, lambda y: (y["family"] == x["family"]) & (y["line"] >= x["line"]) & (y["line"] <= x["last_line"]))).alias("paragraphs"))
-    rows = body.select("doc_id", F.xxhash64("text").alias("th")).distinct().join(mine, ["doc_id", "th"], "left")
+    rows = body.select("doc_id", F.xxhash64("text").alias("th")).distinct().join(
+        mine.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "paragraphs"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     empty = F.array().cast("array<struct<line:int,last_line:int,family:string,probability:double,overlap:double>>")
     paras = F.coalesce("paragraphs", empty)
     return rows.select("doc_id", F.array_sort(F.array_distinct(F.transform(paras, lambda x: x["family"]))).alias("families"), F.size(paras).alias("n_paragraphs"), paras.alias("paragraphs"))

@@ -10,8 +10,9 @@ no hot key there; occurrences meet the repeated windows in an inner equi-join th
 Results for odd input: a null text is empty; texts of fewer than three lines have no window and stay whole;
 windows without a letter or digit (blank lines, rules) don't count; a window that repeats inside one document
 goes there too, unless it overlaps its own first occurrence, whose lines stay; rows that repeat a doc_id are
-told apart by their text, equal rows (same doc_id, same text) are one; an empty table gives no rows. Extra
-columns are never read.
+told apart by their text, equal rows (same doc_id, same text) are one; rows without a doc_id stay whole and count
+nowhere; very long texts are read whole; of windows that tie in doc_id and line the one with the smaller hash of its
+text is first; an empty table gives no rows. Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def covered(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, th, spans: for documents that lose lines, the merged [from, to) line ranges that later occurrences cover."""
-    found = materialize(windows(docs, size), "windows")
+    found = materialize(windows(docs.where(F.col("doc_id").isNotNull()), size), "windows")
     where = F.struct("doc_id", "th", "pos")
     first = found.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     later = found.join(first, ["h1", "h2"]).where(F.struct("doc_id", "th", "pos") != F.col("first"))

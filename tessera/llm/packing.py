@@ -8,7 +8,7 @@ sequence, is cut into powers of two, which need no padding. No shuffle and no st
 a lost task is simply packed again, to the same sequences.
 
 Results for odd input: a null text is empty, and an empty document is its separator alone; documents longer than
-a sequence go on in the next ones; repeated doc_ids are documents of their own; an empty table gives no rows.
+a sequence go on in the next ones; of cuts that cost the same the earliest start wins; rows that repeat or have no doc_id are documents of their own; an empty table gives no rows.
 Strings like "<|endoftext|>" in a text are added tokens with ids of their own where added is set, as for the
 tokenizer by default, and ordinary text otherwise. Only id and text are read.
 """
@@ -220,8 +220,8 @@ class Packer:
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    cols = np.array(rows, np.int64).reshape(len(rows), len(names)).T
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names)
+    cols = np.array([r[1:] for r in rows], np.int64).reshape(len(rows), len(names) - 1).T
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names)
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), locate=True)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

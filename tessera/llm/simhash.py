@@ -8,7 +8,8 @@ checked on the pairs that meet, and the full Hamming distance last.
 
 Results for odd input: null text is empty; a text without words has fingerprint zero and is linked like any
 other; equal fingerprints are one node, so thousands of copies cost one row; an empty table gives no rows;
-very long texts are hashed whole, some shingles at a time; repeated doc_ids and repeated rows give a row each.
+very long texts are hashed whole, some shingles at a time; repeated doc_ids and repeated rows give a row each; rows
+without a doc_id belong to the class of rows with their fingerprint and link no others (component_id is null if there is none).
 near_duplicates() never reads other columns; drop_similar() carries whole rows through, whatever their columns
 are called.
 """
@@ -262,7 +263,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, size: int = 4, seed: int
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
     fps = materialize(fingerprints(docs, size, seed, id_col, text_col), "fp")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    found = connected(links(nodes.withColumn("tab", F.lit(0)), distance))
+    found = connected(links(nodes.where(F.col("rep").isNotNull()).withColumn("tab", F.lit(0)), distance))
     classes = nodes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

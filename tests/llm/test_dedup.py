@@ -256,3 +256,19 @@ def test_embedding_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     one = embedding_dedup.near_duplicates(spark.createDataFrame([(1, None, 2)], "vec_id long, embedding array<float>, label int")).collect()
     assert [tuple(r) for r in one] == [(1, 0, 1, True)]
+
+
+def test_rows_without_an_id(spark):
+    """Null ids: no operator fails, and each gives its defined result."""
+    text = "some words that are told here and once more there"
+    df = spark.createDataFrame([(None, text), (2, text), (3, text + " x"), (None, "other words"), (None, None)], "doc_id long, text string")
+    near = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=str)
+    assert len(near) == 5 and (2, 2) in near and near.count((None, 2)) >= 1
+    exact = {(r["doc_id"], r["keep_id"], r["kept"], r["group_size"]) for r in exact_dedup.exact_duplicates(df).collect()}
+    assert exact == {(2, 2, True, 2), (3, 3, True, 1), (None, 2, False, 2), (None, None, True, 1)}
+    lines = "a1\nb2\nc3\nd4"
+    got = line_dedup.dedup_lines(spark.createDataFrame([(None, lines), (1, lines), (2, lines)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 0), (1, 0), (2, 4)]
+    vecs = [(None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (None, [0.0, 1.0], 1)]
+    got = {(r["vec_id"], r["component_id"], r["n_links"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(vecs, "vec_id long, embedding array<double>, label int")).collect()}
+    assert (1, 1, 2) in got and (2, 1, 2) in got and (None, 1, 2) in got
