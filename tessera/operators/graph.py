@@ -40,7 +40,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (smallest node reachable) for all nodes that have an edge to another node.
 
     Alternates the large-star and small-star steps. Minima come from aggregates that combine before the
-    shuffle, and come back by salted equi-joins that AQE can split too, so a hub with a third of all edges
+    shuffle, and come back by equi-joins in which only hubs are salted, so a hub with a third of all edges
     doesn't end in one task. Each round is written to the shared folder. Needs src and dst of one orderable type.
     """
     now = materialize(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
@@ -50,10 +50,10 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if seen[0] == 0:
             break
         sym = now.union(now.select("b", "a")).toDF("u", "v")
-        low = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        star = _with_minimum(sym.where(F.col("v") > F.col("u")), low, "u", "v").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = star.groupBy("a").agg(F.min("b").alias("m"))
-        near = _with_minimum(star, least, "a", "b")
+        low = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        star = _with_minimum(sym.where(F.col("v") > F.col("u")), low, "u", "v", 2 * seen[0]).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = star.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        near = _with_minimum(star, least, "a", "b", 2 * seen[0])
         now = materialize(near.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
                           .union(least.select("a", "m")).distinct(), "edges")
         then, seen = seen, _digest(now)
@@ -65,10 +65,21 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _with_minimum(pairs: DataFrame, low: DataFrame, key: str, other: str, salts: int = 16) -> DataFrame:
-    """pairs with the minimum m of their key. The join's own salted exchanges deal a hub's pairs to several tasks."""
-    dealt = pairs.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(salts)).cast("int"))
-    copies = low.select(key, "m", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+#: At most so many keys are hubs; a hub's pairs are dealt to SALTS tasks.
+HUBS, SALTS = 2000, 16
+
+
+def _with_minimum(pairs: DataFrame, low: DataFrame, key: str, other: str, total: int) -> DataFrame:
+    """pairs with the minimum m of their key. low: key, m, n (pairs of the key); total: the sum of n, at least.
+
+    Keys with over total / HUBS pairs are hubs, of which there can be no more than HUBS: a bounded side. Their pairs are
+    salted and their minima copied; all other keys are joined as they are.
+    """
+    hot = F.col("n") > max(16, total // HUBS)
+    hubs = low.where(hot).select(F.col(key).alias("_hub"))
+    salt = F.when(F.col("_hub").isNotNull(), F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = pairs.join(F.broadcast(hubs), F.col(key) == F.col("_hub"), "left").withColumn("_salt", salt).drop("_hub")
+    copies = low.select(key, "m", F.explode(F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0))).alias("_salt"))
     return dealt.join(copies, [key, "_salt"]).drop("_salt")
 
 
