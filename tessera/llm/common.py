@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of the contracts: `[\x20\x09-\x0D]`. bytes.split() without an argument splits at just these.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -39,6 +40,21 @@ def carried(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **m
     return docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), *[c.alias(k) for k, c in more.items()])
 
 
+def with_computed(rows: DataFrame, text_col: str, name: str, kind: T.DataType, make: Callable[[], Callable[[list[str]], pa.Array]]) -> DataFrame:
+    """rows of carried() with one more column, of the texts of a batch. make() gives each task its function.
+
+    Batches go through mapInArrow, which bounds them by bytes too; a column function's are bounded by rows alone.
+    """
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, of([x or "" for x in b.column(names.index("row")).field(text_col).to_pylist()])], [*names, name])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, kind)]))
+
+
 def text_of(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 

@@ -15,15 +15,16 @@ keep() carries whole rows through, whatever their columns are called.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import bounded_batches, carried, in_fold, text_of, texts
+from tessera.llm.common import bounded_batches, carried, columns, in_fold, texts, with_computed
 from tessera.session import materialize
 
 FEATURES = ("log_words", "word_length", "upper_words", "symbols", "marks", "repeats", "variety", "line_words", "upper", "digits", "odd_line", "sentence_ends")
@@ -69,13 +70,20 @@ def statistics(text: str) -> list[float]:
         math.log1p(4 * odd), math.log1p(ends * 20 / of)]
 
 
-def statistics_udf():
-    """A column function: a text's array of statistics."""
-    @F.arrow_udf("array<double>")
-    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _statistics_of() -> Callable[[list[str]], pa.Array]:
+    return lambda body: pa.array([statistics(t) for t in body], pa.list_(pa.float64()))
+
+
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, x: array of the statistics."""
+    of = _statistics_of()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.array([statistics(t) for t in b.to_pylist()], pa.list_(pa.float64()))
-    return made
+            ids, body = columns(b, "doc_id", "text")
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), of(body)], ["doc_id", "x"])
+
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, x array<double>")
 
 
 class Discriminant:
@@ -105,6 +113,18 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60)))
 
 
+    def column(self, x: str = "x") -> Column:
+        """score() of the array column x in SQL."""
+        if self.parts is None:
+            return F.lit(0.5)
+        logs = []
+        for mean, inv, det, prior in self.parts:
+            term = lambda i, j: f"({float(inv[i, j])!r}D)*({x}[{j}]-({float(mean[j])!r}D))"  # noqa: B023, E731
+            squares = [f"power({'+'.join(term(i, j) for j in range(i + 1))},2D)" for i in range(len(mean))]
+            logs.append(f"(({float(prior)!r}D)-0.5D*({'+'.join(squares)}+({float(det)!r}D)))")
+        return F.expr(f"1D/(1D+exp(greatest(-60D,least(60D,{logs[0]}-{logs[1]}))))")
+
+
 def fit(feats: DataFrame, labels: DataFrame, train: Column, label_col: str = "quality", shrink: float = SHRINK) -> Discriminant:
     """feats: doc_id, x. labels: doc_id and the label; train: a condition on doc_id."""
     d = len(FEATURES)
@@ -121,22 +141,13 @@ def fit(feats: DataFrame, labels: DataFrame, train: Column, label_col: str = "qu
     return Discriminant(got, shrink)
 
 
-def score_udf(model: Discriminant):
-    """A column function: the score of an array of statistics."""
-    @F.arrow_udf("double")
-    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
-            yield pa.array(model.score(np.array(b.flatten()).reshape(len(b), len(FEATURES))), pa.float64())
-    return made
-
-
 def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 4, held: int = 2, threshold: float = 0.7,
           shrink: float = SHRINK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row; learns from labels outside the held-out fold."""
     bounded_batches(docs.sparkSession)
-    feats = materialize(texts(docs, id_col, text_col).select("doc_id", statistics_udf()("text").alias("x")), "quality")
+    feats = materialize(features(docs, id_col, text_col), "quality")
     model = fit(feats, labels, ~in_fold(F.col("doc_id"), modulus, held), label_col, shrink)
-    scored = feats.select("doc_id", score_udf(model)("x").alias("score"))
+    scored = feats.select("doc_id", model.column().alias("score"))
     return scored.select("doc_id", in_fold(F.col("doc_id"), modulus, held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -147,6 +158,6 @@ def keep(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus
     The rows are written once with their statistics, so a text is read once and isn't shuffled.
     """
     bounded_batches(docs.sparkSession)
-    rows = materialize(carried(docs, id_col, x=statistics_udf()(text_of(text_col))), "quality")
+    rows = materialize(with_computed(carried(docs, id_col), text_col, "x", T.ArrayType(T.DoubleType()), _statistics_of), "quality")
     model = fit(rows.select("doc_id", "x"), labels, ~in_fold(F.col("doc_id"), modulus, held), label_col, shrink)
-    return rows.where(score_udf(model)("x") >= threshold).select("row.*")
+    return rows.where(model.column() >= threshold).select("row.*")

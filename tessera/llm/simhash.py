@@ -23,10 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import bounded_batches, carried, columns, min_labels, sorted_groups, text_of, texts
+from tessera.llm.common import bounded_batches, carried, columns, min_labels, sorted_groups, texts, with_computed
 from tessera.operators.graph import connected
-from tessera.session import materialize
+from tessera.session import materialize, once
 
 BITS = 64
 #: Rows of a bucket that one task compares with one another; larger buckets are dealt out as pairs of blocks.
@@ -263,7 +264,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, size: int = 4, seed: int
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
     fps = materialize(fingerprints(docs, size, seed, id_col, text_col), "fp")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    found = connected(links(nodes.where(F.col("rep").isNotNull()).withColumn("tab", F.lit(0)), distance))
+    found = once(lambda: connected(links(nodes.where(F.col("rep").isNotNull()).withColumn("tab", F.lit(0)), distance)), "classes")
     classes = nodes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -380,32 +381,30 @@ def similar_rows(docs: DataFrame, size: int = 5, similarity: float = 0.8, distan
     floor = similarity - SLACK * (similarity * (1 - similarity) / SKETCH) ** 0.5
     kind = pa.struct([("fp", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64())), ("same", pa.binary())])
 
-    @F.arrow_udf("fp long, sketch binary, bands array<long>, same binary")
-    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
-            out = []
-            for text in b.to_pylist():
-                ones, n = np.zeros(BITS, np.int64), 0
-                low = np.full(SKETCH, np.uint64((1 << 64) - 1))
-                hashes = [np.zeros(0, np.uint64)]
-                for h in shingle_hashes(text, size, seed):
-                    ones += set_bits(h)
-                    n += len(h)
-                    low = np.minimum(low, sketch(h, many))
-                    hashes.append(h)
-                own = np.unique(np.concatenate(hashes))
-                out.append({"fp": as_fingerprint(ones, n, "<i8"), "sketch": (low >> np.uint64(7)).astype(np.uint8).tobytes(), "bands": band_keys(low).tolist(),
-                            "same": hashlib.blake2b(own.tobytes(), digest_size=16).digest()})
-            yield pa.array(out, kind)
-
-    body = text_of(text_col)
-    rows = materialize(carried(docs, id_col, rid=F.monotonically_increasing_id(), f=features(body)), "rows")
+    def features(body: list[str]) -> pa.Array:
+        out = []
+        for text in body:
+            ones, n = np.zeros(BITS, np.int64), 0
+            low = np.full(SKETCH, np.uint64((1 << 64) - 1))
+            hashes = [np.zeros(0, np.uint64)]
+            for h in shingle_hashes(text, size, seed):
+                ones += set_bits(h)
+                n += len(h)
+                low = np.minimum(low, sketch(h, many))
+                hashes.append(h)
+            own = np.unique(np.concatenate(hashes))
+            out.append({"fp": as_fingerprint(ones, n, "<i8"), "sketch": (low >> np.uint64(7)).astype(np.uint8).tobytes(), "bands": band_keys(low),
+                        "same": hashlib.blake2b(own.tobytes(), digest_size=16).digest()})
+        return pa.array(out, kind)
+
+    made = T.StructType().add("fp", "long").add("sketch", "binary").add("bands", T.ArrayType(T.LongType())).add("same", "binary")
+    rows = materialize(with_computed(carried(docs, id_col, rid=F.monotonically_increasing_id()), text_col, "f", made, lambda: features), "rows")
     nodes = materialize(rows.groupBy("f.same").agg(F.min("rid").alias("rep"), F.min_by(F.struct("f.fp", "f.sketch", "f.bands"), "rid").alias("f")).select(
         "same", "rep", "f.fp", "f.sketch", "f.bands"), "nodes")
-    near = connected(links(nodes.withColumn("tab", F.lit(0)), distance, sketches=nodes.select("rep", "sketch", "bands"), similarity=floor))
+    near = once(lambda: connected(links(nodes.withColumn("tab", F.lit(0)), distance, sketches=nodes.select("rep", "sketch", "bands"), similarity=floor)), "near")
     text = rows.select(F.col("rid").alias("node"), F.coalesce(F.col("row").getField(text_col), F.lit("")).alias("text"))
     members = near.join(nodes.select(F.col("rep").alias("node"), "sketch"), "node").join(text, "node")
-    comps = connected(verified(members, similarity, floor, size, seed))
+    comps = once(lambda: connected(verified(members, similarity, floor, size, seed)), "classes")
     classes = nodes.join(comps, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("class"))
     return rows, rows.select("rid", "doc_id", F.col("f.same").alias("same")).join(classes, "same").select("rid", "doc_id", "class")
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, columns, in_fold, text_of, texts
+from tessera.llm.common import bounded_batches, columns, in_fold, texts
 
 SAMPLE = 4000
 #: Code points of a training bag; of a longer text the bag is a choice of sentences.
@@ -111,11 +111,11 @@ def bag(text: str, most: int = BAG_CHARS, model: Model | None = None, scores: Sc
     return "\n".join(parts[k] for k in sorted(taken))
 
 
-def train(bags: list[str], y: np.ndarray, prior: float | None = None, epochs: int = 200, rate: float = 1.0, decay: float = 1e-5, least: int = 3, bias: float = -8.0) -> Model:
+def train(bags: list[str], y: np.ndarray, prior: float | None = None, epochs: int = 200, rate: float = 1.0, decay: float = 1e-5, least: int = 3, bias: float = -8.0, start: Model | None = None) -> Model:
     """Gradient ascent with per-weight step sizes on the noisy-or likelihood of the bags.
 
     prior: the share of class 1 where the sample was taken from; without one, the sample's. A token counts once
-    in a sentence, so repeating it proves nothing. The bias starts so low that long clean documents stay clean.
+    in a sentence, so repeating it proves nothing. The bias starts so low that long clean documents stay clean. start: a model to go on from.
     """
     weights = np.zeros(BUCKETS)
     if not len(y) or y.min() == y.max():
@@ -141,6 +141,8 @@ def train(bags: list[str], y: np.ndarray, prior: float | None = None, epochs: in
     g2, gb2, b = np.full(BUCKETS, 1e-8), 1e-8, bias
     share = y.mean()
     weight = np.ones(len(y)) if prior is None else np.where(y == 1, prior / share, (1 - prior) / (1 - share))
+    if start:
+        weights, b = start.weights.copy(), start.bias
     for _ in range(epochs):
         per_word = np.bincount(owner, weights=weights[feats], minlength=len(index))
         z = b + np.bincount(sentence, weights=per_word[words], minlength=len(ends))
@@ -160,17 +162,16 @@ def train(bags: list[str], y: np.ndarray, prior: float | None = None, epochs: in
 
 def bags(docs: DataFrame, picked: DataFrame, sample: int, model: Model | None = None) -> list[tuple]:
     """(doc_id, y, bag) of the rows of docs that are picked; with a model only of the long ones. At most 2 * sample rows of BAG_CHARS."""
-    @F.arrow_udf("string")
-    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(model.weights) if model else None
         for b in batches:
-            yield pa.array([bag(t, BAG_CHARS, model, scores) for t in b.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([bag(t, BAG_CHARS, model, scores) for t in b.column(3).to_pylist()], pa.string())], ["doc_id", "y", "h", "bag"])
 
     rows = docs.join(F.broadcast(picked), "doc_id").withColumn("h", F.xxhash64("text"))
     if model:
         rows = rows.where(F.length("text") > BAG_CHARS)
     # A doc_id can be there many times: the bound holds for rows.
-    chosen = rows.select("doc_id", "y", "h", made("text").alias("bag")).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(2 * sample)
+    chosen = rows.select("doc_id", "y", "h", "text").mapInArrow(made, "doc_id long, y int, h long, bag string").orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(2 * sample)
     return sorted((r["doc_id"], r["h"], r["y"], r["bag"]) for r in chosen.collect())
 
 
@@ -188,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: i
     long = {r[:3]: r[3] for r in bags(docs, picked, sample, model)} if model.bias != UNTRAINED else {}
     if not long:
         return model
-    return train([long.get(r[:3], r[3]) for r in rows], np.array([r[2] for r in rows]), prior)
+    return train([long.get(r[:3], r[3]) for r in rows], np.array([r[2] for r in rows]), prior, epochs=60, start=model)
 
 
 def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 5, held: int = 0, threshold: float = 0.5, locate: bool = False,
@@ -227,11 +228,12 @@ def keep(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus:
     model = fit(texts(docs, id_col, text_col), labels, label_col, modulus, held, sample)
     weights = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
 
-    @F.arrow_udf("double")
-    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    rows = docs.select(F.struct("*").alias("row"))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*weights.value)
         scores = Scores(own.weights)
         for b in batches:
-            yield pa.array([own.document(t, scores) for t in b.to_pylist()], pa.float64())
+            yield b.filter(pa.array([own.document(t or "", scores) < threshold for t in b.column(0).field(text_col).to_pylist()], pa.bool_()))
 
-    return docs.where(scored(text_of(text_col)) < threshold)
+    return rows.mapInArrow(clean, rows.schema).select("row.*")
