@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,10 +48,32 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths written inside each open call of once().
+_scopes: list[list[str]] = []
+
+
+def once(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that make() returns, written; what make() wrote on the way goes from the shared folder at once."""
+    _scopes.append([])
+    try:
+        made = make()
+        spark = made.sparkSession
+        inner = _scopes.pop()
+    except BaseException:
+        _scopes.pop()
+        raise
+    out = materialize(made, name)
+    for path in inner:
+        _drop(spark, path)
+    return out
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
