@@ -51,9 +51,9 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         sym = now.union(now.select("b", "a")).toDF("u", "v")
         low = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        star = _with_minimum(sym.where(F.col("v") > F.col("u")), low, "u", "v", 2 * seen[0]).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        star = with_minimum(sym.where(F.col("v") > F.col("u")), low, "u", "v", 2 * seen[0]).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = star.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        near = _with_minimum(star, least, "a", "b", 2 * seen[0])
+        near = with_minimum(star, least, "a", "b", 2 * seen[0])
         now = materialize(near.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
                           .union(least.select("a", "m")).distinct(), "edges")
         then, seen = seen, _digest(now)
@@ -69,7 +69,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
 HUBS, SALTS = 2000, 16
 
 
-def _with_minimum(pairs: DataFrame, low: DataFrame, key: str, other: str, total: int) -> DataFrame:
+def with_minimum(pairs: DataFrame, low: DataFrame, key: str, other: str, total: int) -> DataFrame:
     """pairs with the minimum m of their key. low: key, m, n (pairs of the key); total: the sum of n, at least.
 
     Keys with over total / HUBS pairs are hubs, of which there can be no more than HUBS: a bounded side. Their pairs are
