@@ -15,19 +15,20 @@ keep() carries whole rows through, whatever their columns are called.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.llm.common import bounded_batches, carried, columns, in_fold, texts, with_computed
+from tessera.llm.common import bounded_batches, columns, in_fold, texts
 from tessera.session import materialize
 
 FEATURES = ("log_words", "word_length", "upper_words", "symbols", "marks", "repeats", "variety", "line_words", "upper", "digits", "odd_line", "sentence_ends")
+#: Labels that are broadcast at most.
+FEW = 1_000_000
 #: How far each class covariance is pulled to the pooled one.
 SHRINK = 0.3
 
@@ -70,18 +71,12 @@ def statistics(text: str) -> list[float]:
         math.log1p(4 * odd), math.log1p(ends * 20 / of)]
 
 
-def _statistics_of() -> Callable[[list[str]], pa.Array]:
-    return lambda body: pa.array([statistics(t) for t in body], pa.list_(pa.float64()))
-
-
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, x: array of the statistics."""
-    of = _statistics_of()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, body = columns(b, "doc_id", "text")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), of(body)], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([statistics(t) for t in body], pa.list_(pa.float64()))], ["doc_id", "x"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, x array<double>")
 
@@ -113,18 +108,6 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60)))
 
 
-    def column(self, x: str = "x") -> Column:
-        """score() of the array column x in SQL."""
-        if self.parts is None:
-            return F.lit(0.5)
-        logs = []
-        for mean, inv, det, prior in self.parts:
-            term = lambda i, j: f"({float(inv[i, j])!r}D)*({x}[{j}]-({float(mean[j])!r}D))"  # noqa: B023, E731
-            squares = [f"power({'+'.join(term(i, j) for j in range(i + 1))},2D)" for i in range(len(mean))]
-            logs.append(f"(({float(prior)!r}D)-0.5D*({'+'.join(squares)}+({float(det)!r}D)))")
-        return F.expr(f"1D/(1D+exp(greatest(-60D,least(60D,{logs[0]}-{logs[1]}))))")
-
-
 def fit(feats: DataFrame, labels: DataFrame, train: Column, label_col: str = "quality", shrink: float = SHRINK) -> Discriminant:
     """feats: doc_id, x. labels: doc_id and the label; train: a condition on doc_id."""
     d = len(FEATURES)
@@ -147,7 +130,14 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulu
     bounded_batches(docs.sparkSession)
     feats = materialize(features(docs, id_col, text_col), "quality")
     model = fit(feats, labels, ~in_fold(F.col("doc_id"), modulus, held), label_col, shrink)
-    scored = feats.select("doc_id", model.column().alias("score"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.array(b.column(1).flatten()).reshape(b.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], ["doc_id", "score"])
+
+    scored = feats.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", in_fold(F.col("doc_id"), modulus, held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -155,9 +145,21 @@ def keep(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus
          shrink: float = SHRINK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that score() predicts 1 for, with the columns they came with: each row by its own text, no join by id.
 
-    The rows are written once with their statistics, so a text is read once and isn't shuffled.
+    Two passes over the texts, and nothing of them is written or shuffled: one for the statistics of labelled rows, one
+    that scores and filters in place. Up to FEW labels are broadcast, so the first pass reads only their texts; above
+    that it reads all, and the statistics meet the labels in a join.
     """
     bounded_batches(docs.sparkSession)
-    rows = materialize(with_computed(carried(docs, id_col), text_col, "x", T.ArrayType(T.DoubleType()), _statistics_of), "quality")
-    model = fit(rows.select("doc_id", "x"), labels, ~in_fold(F.col("doc_id"), modulus, held), label_col, shrink)
-    return rows.where(model.column() >= threshold).select("row.*")
+    body = texts(docs, id_col, text_col)
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if ids.count() <= FEW:
+        body = body.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
+    model = fit(features(body), labels, ~in_fold(F.col("doc_id"), modulus, held), label_col, shrink)
+    rows = docs.select(F.struct("*").alias("row"))
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([statistics(t or "") for t in b.column(0).field(text_col).to_pylist()]).reshape(b.num_rows, -1)
+            yield b.filter(pa.array(model.score(x) >= threshold, pa.bool_()))
+
+    return rows.mapInArrow(good, rows.schema).select("row.*")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import bounded_batches, carried, columns, min_labels, sorted_groups, texts, with_computed
-from tessera.operators.graph import connected
+from tessera.operators.graph import connected, with_minimum
 from tessera.session import materialize, once
 
 BITS = 64
@@ -422,6 +422,6 @@ def drop_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, distan
     their size: a small list is broadcast and the texts aren't shuffled, a large one is joined.
     """
     rows, of = similar_rows(docs, size, similarity, distance, seed, id_col, text_col)
-    best = of.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best"))
-    gone = materialize(of.join(best, "class").where(F.col("rid") != F.col("best.rid")).select("rid"), "gone")
+    best = of.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m"), F.count("*").alias("n"))
+    gone = materialize(with_minimum(of, best, "class", "rid", rows.count()).where(F.col("rid") != F.col("m.rid")).select("rid"), "gone")
     return rows.join(gone, "rid", "left_anti").select("row.*")
