@@ -134,7 +134,7 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column(1).flatten()).reshape(b.num_rows, -1)
+                x = np.array(b.column(1).flatten()).reshape(b.num_rows, len(FEATURES))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
     scored = feats.mapInArrow(run, "doc_id long, score double")
@@ -159,7 +159,7 @@ def keep(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([statistics(t or "") for t in b.column(0).field(text_col).to_pylist()]).reshape(b.num_rows, -1)
+            x = np.array([statistics(t or "") for t in b.column(0).field(text_col).to_pylist()]).reshape(b.num_rows, len(FEATURES))
             yield b.filter(pa.array(model.score(x) >= threshold, pa.bool_()))
 
     return rows.mapInArrow(good, rows.schema).select("row.*")
