@@ -33,20 +33,28 @@ def norm_name(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(ascii_fold(_col(c))), "[^a-z ]+", " "), " +", " "))
 
 
-def slug(c: Column | str, default: str = "") -> Column:
-    """Lower-case letters and digits joined by single hyphens."""
-    made = F.regexp_replace(F.regexp_replace(F.lower(ascii_fold(_col(c))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.when(made == "", F.lit(default)).otherwise(made)
+def slug(c: Column | str, default: str = "unassigned") -> Column:
+    """The words of the normalised name joined by hyphens; digits and signs go. default where nothing is left."""
+    made = F.replace(norm_name(c), F.lit(" "), F.lit("-"))
+    return F.when(F.coalesce(made, F.lit("")) == "", F.lit(default)).otherwise(made)
 
 
 def person_slug(last: Column | str, first: Column | str, prefix: str = "t") -> Column:
-    return F.concat(F.lit(f"{prefix}-"), slug(F.concat_ws(" ", _col(last), _col(first))))
+    return F.concat(F.lit(f"{prefix}-"), F.replace(F.concat(norm_name(last), F.lit(" "), norm_name(first)), F.lit(" "), F.lit("-")))
+
+
+#: Words of a name in ASCII letters, apostrophes and hyphens.
+_NAME_WORD = "([A-Za-z'-]+)"
 
 
 def given_name(c: Column | str) -> Column:
-    """The first word of at least two letters, or null."""
-    words = F.regexp_extract_all(ascii_fold(_col(c)), F.lit("([A-Za-z]+)"), 1)
-    return F.try_element_at(F.filter(words, lambda x: F.length(x) >= 2), F.lit(1))
+    """The first word of two characters or more, hyphens and apostrophes inside: no initial. Empty without one."""
+    return _given(ascii_fold(_col(c)))
+
+
+def _given(folded: Column) -> Column:
+    words = F.regexp_extract_all(folded, F.lit(_NAME_WORD), 1)
+    return F.coalesce(F.try_element_at(F.filter(words, lambda x: F.length(x) >= 2), F.lit(1)), F.lit(""))
 
 
 def name_key(c: Column | str) -> Column:
@@ -56,14 +64,21 @@ def name_key(c: Column | str) -> Column:
 
 
 def names_match(a: Column | str, b: Column | str) -> Column:
-    """First and last tokens of both normalised names are equal."""
-    return F.coalesce(name_key(a) == name_key(b), F.lit(False))
+    """The first and the last word agree, initials left out. Letters outside a-z don't count; one word may be both."""
+    def ends(c: Column | str) -> Column:
+        words = F.filter(F.split(F.regexp_replace(F.lower(_col(c)), "[^a-z ]", ""), " "), lambda w: F.length(w) > 1)
+        return F.when(F.size(words) > 0, F.struct(F.get(words, F.lit(0)).alias("first"), F.element_at(words, -1).alias("last")))
+    return F.coalesce(ends(a) == ends(b), F.lit(False))
+
+
+# Degrees that a search leaves out where they follow a comma.
+DEGREES = ("PhD", "MD", "MBA", "MPH", "MS", "DPhil", "BDS", "DrPH", "ScD", "PharmD", "RN")
 
 
 def search_name(c: Column | str) -> Column:
-    """A name without parentheses and academic degrees after a comma."""
-    plain = F.regexp_replace(_col(c), r"\([^)]*\)", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r",.*$", ""), r"\s+", " "))
+    """A name without the degrees that follow a comma and without what is in parentheses. "Smith, John" stays."""
+    bare = F.regexp_replace(_col(c), rf",\s*(?:{'|'.join(DEGREES)})\b\.?", "")
+    return F.btrim(F.trim(F.regexp_replace(F.regexp_replace(bare, r"\([^)]*\)", ""), r"\s+", " ")), F.lit(","))
 
 
 def author_term(c: Column | str) -> Column:
@@ -73,24 +88,29 @@ def author_term(c: Column | str) -> Column:
     return F.when(F.size(words) == 0, "").otherwise(F.trim(F.concat_ws(" ", F.element_at(words, -1), initials)))
 
 
-def _affiliations(affiliations: list[str]) -> str:
-    return "(" + " OR ".join(f'"{a}"[Affiliation]' for a in affiliations) + ")"
+def _scoped(author: Column, affiliations: list[str]) -> Column:
+    """author AND (affiliation OR ...); the author alone where there is no affiliation."""
+    places = " OR ".join(f'"{a.strip()}"[Affiliation]' for a in affiliations if a.strip())
+    return F.concat(author, F.lit(f" AND ({places})")) if places else author
 
 
 def pubmed_query(name: Column | str, affiliations: list[str]) -> Column:
-    """Author AND (affiliation OR ...); empty for an empty name."""
+    """The author's term, scoped to the affiliations; empty for an empty name."""
     who = author_term(name)
-    return F.when(who == "", "").otherwise(F.concat(F.lit('"'), who, F.lit('"[Author] AND ' + _affiliations(affiliations))))
+    return F.when(who == "", "").otherwise(_scoped(F.concat(F.lit('"'), who, F.lit('"[Author]')), affiliations))
 
 
 def full_name_query(last: Column | str, names: Column | str, affiliations: list[str]) -> Column:
-    """Full-author terms for each given name of an array, with a wildcard variant, without case-insensitive repeats."""
-    base = F.transform(_col(names), lambda n: F.trim(F.concat(_col(last), F.lit(", "), n)))
-    kept = F.aggregate(base, F.array().cast("array<string>"), lambda acc, x: F.when(
-        F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
-    terms = F.flatten(F.transform(kept, lambda x: F.array(
-        F.concat(F.lit('"'), x, F.lit('"[Full Author Name]')), F.concat(F.lit('"'), x, F.lit('*"[Full Author Name]')))))
-    return F.when(F.size(kept) == 0, "").otherwise(F.concat(F.lit("("), F.array_join(terms, " OR "), F.lit(") AND " + _affiliations(affiliations))))
+    """Full-author terms for the given name of each element of an array (the first name, then others that a person
+    publishes under), with and without more after it; repeats in other case go; the surname alone without a given name."""
+    surname = F.array_join(F.regexp_extract_all(ascii_fold(_col(last)), F.lit(_NAME_WORD), 1), " ")
+    # The names go through the folding function as one text.
+    folded = F.split(ascii_fold(F.array_join(F.transform(_col(names), lambda n: F.regexp_replace(n, "\n", " ")), "\n")), "\n")
+    given = F.filter(F.transform(folded, _given), lambda n: n != "")
+    kept = F.aggregate(given, F.array().cast("array<string>"), lambda acc, n: F.when(F.exists(acc, lambda m: F.lower(m) == F.lower(n)), acc).otherwise(F.concat(acc, F.array(n))))
+    whole = F.when(F.size(kept) > 0, F.zip_with(F.array_repeat(surname, F.size(kept)), kept, lambda s, n: F.concat(s, F.lit(", "), n))).otherwise(F.array(surname))
+    terms = F.transform(whole, lambda n: F.concat(F.lit('"'), n, F.lit('"[Full Author Name] OR "'), n, F.lit(' *"[Full Author Name]')))
+    return _scoped(F.concat(F.lit("("), F.array_join(terms, " OR "), F.lit(")")), affiliations)
 
 
 # -- URLs and identifiers
@@ -110,10 +130,10 @@ def profile_url(base: str, host: str):
 
 
 def person_id_from_url(url: Column | str) -> Column:
-    """u-number from the profile path, else from the physicianID parameter, in lower case; null without one."""
+    """u-number from the profile path, else from the physicianID parameter, in lower case; empty without one."""
     path = F.regexp_extract(F.try_parse_url(_col(url), F.lit("PATH")), r"(?i)/mddetail/(u\d+)/?$", 1)
     query = F.regexp_extract(F.try_parse_url(_col(url), F.lit("QUERY"), F.lit("physicianID")), r"(?i)^(u\d+)$", 1)
-    return F.lower(F.coalesce(F.nullif(path, F.lit("")), F.nullif(query, F.lit(""))))
+    return F.lower(F.coalesce(F.nullif(path, F.lit("")), query, F.lit("")))
 
 
 def orcid_id(c: Column | str) -> Column:
@@ -316,4 +336,5 @@ def client_address(trusted: list[str]):
 
 
 def hash_address(c: Column | str, salt: str) -> Column:
-    return F.substring(F.sha2(F.concat(F.lit(salt), _col(c)), 256), 1, 32)
+    """Salted: the address itself is never stored."""
+    return F.substring(F.sha2(F.concat(F.lit(salt + ":"), _col(c)), 256), 1, 32)

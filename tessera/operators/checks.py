@@ -60,9 +60,13 @@ def layout_violations(points: DataFrame, bound: float = 1.001) -> DataFrame:
 
 
 def drop_guard(before: DataFrame, now: DataFrame, group: str, most: float = 0.25, least: int = 1) -> DataFrame:
-    """grp, n_before, n_now for groups (and "*", all) that shrank by more than the share or fell below the least count."""
+    """grp, n_before, n_now for groups (and "*", all rows) that shrank by more than the share or fell below the least count.
+
+    group: a column, or an array of the groups that a row is in; "*" counts a row once either way.
+    """
     def counts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(F.col(group).cast("string").alias("grp")).agg(F.count("*").alias(name)).unionByName(df.agg(F.count("*").alias(name)).select(F.lit("*").alias("grp"), name))
+        each = df.select(F.explode(group).alias("g")) if dict(df.dtypes)[group].startswith("array") else df.select(F.col(group).alias("g"))
+        return each.groupBy(F.col("g").cast("string").alias("grp")).agg(F.count("*").alias(name)).unionByName(df.agg(F.count("*").alias(name)).select(F.lit("*").alias("grp"), name))
     both = counts(before, "n_before").join(counts(now, "n_now"), "grp", "full_outer").select("grp", F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_now", F.lit(0)).alias("n_now"))
     return both.where((F.col("n_now") < F.col("n_before") * (1 - most)) | ((F.col("grp") == "*") & (F.col("n_now") < least)))
 

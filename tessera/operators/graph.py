@@ -153,21 +153,19 @@ def spiral(rank: Column, radius: Column) -> tuple[Column, Column]:
     return away * F.cos(rank * F.lit(GOLDEN)), away * F.sin(rank * F.lit(GOLDEN))
 
 
-def ring_layout(nodes: DataFrame, spread: float = 0.12) -> DataFrame:
+def ring_layout(nodes: DataFrame, ring: float = 2.6, spread: float = 0.34, digits: int = 3) -> DataFrame:
     """node, grp, x, y: groups on a ring, members of a group on a spiral by degree (highest first), then id.
 
-    nodes: node, grp, degree. Ranks and sizes need one window over the group; the group index comes from the
-    (small) table of distinct groups.
+    nodes: node, grp, degree. A group's spiral has the radius spread * sqrt(members). Ranks come from one numbering of
+    all nodes by ranges, so a group of any size is dealt to several tasks; a group's row is its first number and its index.
     """
-    groups = nodes.select("grp").distinct()
+    placed = number_rows(nodes.select("node", "grp", "degree"), "grp", F.col("degree").desc(), "node", name="_at")
+    groups = number_rows(placed.groupBy("grp").agg(F.min("_at").alias("_first")), "grp", name="g")
     n = groups.agg(F.count("*").alias("n_groups"))
-    # one row for each group, not for each node
-    index = groups.select("grp", (F.row_number().over(Window.orderBy("grp")) - 1).alias("g"))
-    w = Window.partitionBy("grp").orderBy(F.col("degree").desc(), "node")
-    ranked = nodes.withColumn("_rank", F.row_number().over(w) - 1).join(F.broadcast(index), "grp").crossJoin(F.broadcast(n))
+    ranked = placed.join(groups, "grp").crossJoin(F.broadcast(n))
     angle = F.lit(2.0) * F.pi() * F.col("g") / F.col("n_groups")
-    x, y = spiral(F.col("_rank"), F.lit(spread) / F.sqrt(F.col("n_groups")))
-    return normalize_layout(ranked.select("node", "grp", (F.cos(angle) + x).alias("x"), (F.sin(angle) + y).alias("y")))
+    x, y = spiral(F.col("_at") - F.col("_first"), F.lit(spread))
+    return normalize_layout(ranked.select("node", "grp", (F.lit(ring) * F.cos(angle) + x).alias("x"), (F.lit(ring) * F.sin(angle) + y).alias("y")), digits)
 
 
 def normalize_layout(points: DataFrame, digits: int = 3) -> DataFrame:
@@ -179,17 +177,30 @@ def normalize_layout(points: DataFrame, digits: int = 3) -> DataFrame:
 
 
 def satellites(labelled: DataFrame, smallest_main: int = 5, ring: float = 1.0, local: float = 0.05) -> DataFrame:
-    """node, label, x, y for nodes of components below smallest_main: components spaced on a ring, members around.
+    """node, label, x, y for nodes of components below smallest_main: components spaced on a ring, half a step on, members around.
 
-    labelled: node, component, label, size.
+    labelled: node, component, label, size. Components go round by label. A component has fewer than smallest_main nodes.
     """
     small = labelled.where(F.col("size") < smallest_main)
-    comps = small.select("component").distinct()
+    comps = small.groupBy("label").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     total = comps.agg(F.count("*").alias("n_comps"))
-    index = number_rows(comps, "component", name="c")
-    at = F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1
-    spot = small.withColumn("_at", at).join(index, "component").crossJoin(F.broadcast(total))
-    a = F.lit(2.0) * F.pi() * F.col("c") / F.col("n_comps")
+    spot = number_rows(comps, "label", name="c").crossJoin(F.broadcast(total)).select("label", "c", "n_comps", F.size("nodes").alias("size"), F.posexplode("nodes").alias("_at", "node"))
+    a = F.lit(2.0) * F.pi() * (F.col("c") + 0.5) / F.col("n_comps")
     b = F.lit(2.0) * F.pi() * F.col("_at") / F.col("size")
     r = F.lit(local) * F.col("size")
     return spot.select("node", "label", (F.lit(ring) * F.cos(a) + r * F.cos(b)).alias("x"), (F.lit(ring) * F.sin(a) + r * F.sin(b)).alias("y"))
+
+
+def with_satellites(labelled: DataFrame, layout: DataFrame, smallest_main: int = 5, digits: int = 3) -> DataFrame:
+    """node, label, x, y of all nodes: the layout of the large components and the satellites around it, brought into the unit box.
+
+    layout: node, x, y of the nodes of components of at least smallest_main. Without such a component it is the
+    layout of all nodes, and is returned as it is.
+    """
+    every = layout.join(labelled.select("node", "label"), "node").select("node", "label", "x", "y")
+    if labelled.where(F.col("size") >= smallest_main).isEmpty():
+        return every
+    both = every.unionByName(satellites(labelled, smallest_main))
+    scale = both.agg(F.greatest(F.max(F.abs("x")), F.max(F.abs("y"))).alias("s"))
+    put = lambda c: (F.round(F.col(c) / F.col("s"), digits) + F.lit(0.0)).alias(c)
+    return both.crossJoin(F.broadcast(scale)).select("node", "label", put("x"), put("y"))

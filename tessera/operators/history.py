@@ -7,16 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.entity import first_key_match
+from tessera.operators.entity import first_key_match, last_wins
 
 
 def merge_history(before: DataFrame, fresh: DataFrame, now: Column, key: str = "id", owner: str = "organization_id", time: str = "published_at",
-                  title: str = "title", keep_days: int | None = None, per_owner: int | None = None, owners: DataFrame | None = None) -> DataFrame:
+                  title: str = "title", keep_days: int | None = None, per_owner: int | None = None, owners: DataFrame | None = None, order: str | None = None) -> DataFrame:
     """History after a batch: a fresh row replaces the old one but keeps its first_seen_at; last_seen_at is now for
     fresh rows; rows of owners that are gone and rows older than the (inclusive) cutoff go; the newest per_owner stay.
 
-    One full outer join and one window over the owner.
+    A row's time is its own, else when it was first seen, else now. Of rows of one key in the batch the last by order (a
+    column of fresh) counts, without one that with the latest time. One full outer join and one window over the owner.
     """
+    place = F.col(order) if order else F.coalesce(F.col(time), now)
+    fresh = last_wins(fresh.withColumn("_place", place), key, "_place").drop("_place").select(*fresh.columns)
     fields = [c for c in fresh.columns if c not in (key, "first_seen_at", "last_seen_at")]
     old = before.select(F.col(key).alias("_k"), F.struct(*fields).alias("_old"), "first_seen_at", "last_seen_at")
     new = fresh.select(key, F.struct(*fields).alias("_new"))
@@ -25,10 +28,11 @@ def merge_history(before: DataFrame, fresh: DataFrame, now: Column, key: str = "
                          F.when(F.col("_new").isNotNull(), now).otherwise(F.col("last_seen_at")).alias("last_seen_at")).select(key, "_r.*", "first_seen_at", "last_seen_at")
     if owners is not None:
         rows = rows.join(owners.select(owner), owner, "left_semi").select(key, *fields, "first_seen_at", "last_seen_at")
+    at = F.coalesce(F.col(time), F.col("first_seen_at"), now)
     if keep_days is not None:
-        rows = rows.where(F.col(time) >= now - F.make_dt_interval(F.lit(keep_days)))
+        rows = rows.where(at >= now - F.make_dt_interval(F.lit(keep_days)))
     if per_owner is not None:
-        w = Window.partitionBy(owner).orderBy(F.col(time).desc(), F.col(title).desc(), key)
+        w = Window.partitionBy(owner).orderBy(at.desc(), F.coalesce(F.col(title), F.lit("")).desc(), key)
         rows = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_owner).drop("_rn")
     return rows
 

@@ -130,27 +130,34 @@ def prune_small(spark, sf_dir):
     return graph.prune_small(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node")), line_links(spark, sf_dir), 5)[1].select("src", "dst")
 
 
-@query("""WITH n AS (SELECT c_nationkey AS grp, count(*) AS k FROM customer GROUP BY 1),
-g AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS g, count(*) OVER () AS ng FROM n),
-r AS (SELECT s_suppkey AS node, s_nationkey AS grp, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) - 1 AS rk FROM supplier),
-i AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS g, count(*) OVER () AS ng FROM (SELECT DISTINCT grp FROM r)),
-x AS (SELECT node, r.grp, cos(2.0 * pi() * g / ng) + 0.12 / sqrt(ng) * sqrt(rk + 0.5) * cos(rk * CAST(2.399963229728653 AS DOUBLE)) AS x,
-             sin(2.0 * pi() * g / ng) + 0.12 / sqrt(ng) * sqrt(rk + 0.5) * sin(rk * CAST(2.399963229728653 AS DOUBLE)) AS y FROM r JOIN i ON i.grp = r.grp),
-q AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM x),
-h AS (SELECT *, greatest((hx - lx) / 2, (hy - ly) / 2, 1e-9) AS half FROM q)
-SELECT node, CAST(grp AS BIGINT) AS grp, round((x - (hx + lx) / 2) / half, 3) + 0.0 AS x, round((y - (hy + ly) / 2) / half, 3) + 0.0 AS y FROM x, h""")
+def _ring_sql(points: str) -> str:
+    """x, y of points (node, grp, degree): a ring of radius 2.6, spirals of radius 0.34 * sqrt(members), then the unit box."""
+    return f"""rr AS (SELECT node, grp, row_number() OVER (PARTITION BY grp ORDER BY degree DESC, node) - 1 AS rk, count(*) OVER (PARTITION BY grp) AS members FROM {points}),
+ri AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS g, count(*) OVER () AS ng FROM (SELECT DISTINCT grp FROM rr)),
+rx AS (SELECT node, rr.grp, cos(2 * pi() * g / ng) * 2.6 + cos(pi() * (3 - sqrt(5)) * rk) * sqrt((rk + 0.5) / members) * 0.34 * sqrt(members) AS x,
+             sin(2 * pi() * g / ng) * 2.6 + sin(pi() * (3 - sqrt(5)) * rk) * sqrt((rk + 0.5) / members) * 0.34 * sqrt(members) AS y FROM rr JOIN ri ON ri.grp = rr.grp),
+rh AS (SELECT (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my, greatest(max(x) - (min(x) + max(x)) / 2, max(y) - (min(y) + max(y)) / 2, 1e-9) AS extent FROM rx),
+lay AS (SELECT node, grp, round((x - mx) / extent, 3) + 0.0 AS x, round((y - my) / extent, 3) + 0.0 AS y FROM rx, rh)"""
+
+
+@query(f"""WITH s AS (SELECT s_suppkey AS node, s_nationkey AS grp, s_acctbal AS degree FROM supplier), {_ring_sql('s')} SELECT node, CAST(grp AS BIGINT) AS grp, x, y FROM lay""")
 def division_layout(spark, sf_dir):
     return graph.ring_layout(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("grp"), F.col("s_acctbal").alias("degree")))
 
 
-@query(f"""WITH RECURSIVE {C}, t AS (SELECT node, component, label, size FROM c JOIN k USING (component) WHERE size < 5),
-i AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS ci, count(*) OVER () AS n FROM (SELECT DISTINCT component FROM t)),
-a AS (SELECT node, label, size, row_number() OVER (PARTITION BY t.component ORDER BY node) - 1 AS ord, ci, n FROM t JOIN i ON i.component = t.component)
-SELECT node, label, round(cos(2.0 * pi() * ci / n) + 0.05 * size * cos(2.0 * pi() * ord / size), 3) + 0.0 AS x,
-       round(sin(2.0 * pi() * ci / n) + 0.05 * size * sin(2.0 * pi() * ord / size), 3) + 0.0 AS y FROM a""")
+@query(f"""WITH RECURSIVE {C}, t AS (SELECT node, label, size, row_number() OVER (PARTITION BY label ORDER BY node) - 1 AS ord FROM c JOIN k USING (component)),
+big AS (SELECT node, lang AS grp, size AS degree FROM t JOIN documents ON doc_id = node WHERE size >= 5), {_ring_sql('big')},
+sat AS (SELECT node, label, size, ord, dense_rank() OVER (ORDER BY label) - 1 AS ci FROM t WHERE size < 5),
+n AS (SELECT count(DISTINCT label) AS n FROM sat),
+u AS (SELECT node, x, y FROM lay UNION ALL
+      SELECT node, cos(2 * pi() * (ci + 0.5) / n) + 0.05 * size * cos(2 * pi() * ord / size), sin(2 * pi() * (ci + 0.5) / n) + 0.05 * size * sin(2 * pi() * ord / size) FROM sat, n),
+m AS (SELECT greatest(max(abs(x)), max(abs(y))) AS m FROM u)
+SELECT u.node, label, round(x / m, 3) + 0.0 AS x, round(y / m, 3) + 0.0 AS y FROM u JOIN t ON t.node = u.node, m""")
 def satellites(spark, sf_dir):
-    placed = graph.satellites(graph.components(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node")), line_links(spark, sf_dir)))
-    return placed.select("node", "label", (F.round("x", 3) + F.lit(0.0)).alias("x"), (F.round("y", 3) + F.lit(0.0)).alias("y"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), "lang")
+    labelled = graph.components(docs.select("node"), line_links(spark, sf_dir))
+    main = labelled.where("size >= 5").join(docs, "node").select("node", F.col("lang").alias("grp"), F.col("size").alias("degree"))
+    return graph.with_satellites(labelled, graph.ring_layout(main).select("node", "x", "y"))
 
 
 # -- views and aggregates

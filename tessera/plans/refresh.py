@@ -58,7 +58,7 @@ def refresh_targets(before: DataFrame, now: DataFrame, tracked: list[str] | None
 
 def refresh_gates(before: DataFrame, now: DataFrame, targets: DataFrame, health: DataFrame, group: str, most_failing: float = 0.1) -> None:
     """Raises where the directory shrank too much, a target's search failed, or too many others fail."""
-    checks.enforce(checks.drop_guard(before.select(F.explode(group).alias("g")), now.select(F.explode(group).alias("g")), "g"), "the directory shrank")
+    checks.enforce(checks.drop_guard(before, now, group), "the directory shrank")
     checks.enforce(views.needs_attention(health, targets), "searches of changed people failed")
     rest = now.select("id").join(targets, "id", "left_anti")
     checks.enforce(history.outage_ratio(health, rest).where(F.col("ratio") > most_failing), "a source is down")
