@@ -34,11 +34,18 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _all() -> None:
+    """The other module of queries registers its own when it is imported."""
+    from tessera.plans import catalog_more  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_ORACLES)
 
 
