@@ -12,15 +12,14 @@ def derive_edges(works: DataFrame, members: str = "person_ids", year: str = "yea
     """Undirected edges (src < dst) between members of one work, with weight, first_year and last_year.
 
     Members are cast to the element type they have, blanks and repeats go; works with fewer than two give
-    nothing. Years that are null or not positive don't count. The pairs are made inside the row by
-    higher-order functions, so the only shuffle is that of the aggregate.
+    nothing. Years that are null or not positive don't count. A work's pairs stream out of two nested explodes, member
+    by member, so no row ever holds them all, and the only shuffle is that of the aggregate.
     """
     ids = F.array_sort(F.array_distinct(F.filter(F.col(members), lambda x: x.isNotNull() & (F.trim(x.cast("string")) != ""))))
-    pairs = F.flatten(F.transform(F.col("_ids"), lambda x, i: F.transform(
-        F.slice(F.col("_ids"), i + 2, F.size("_ids")), lambda y: F.struct(x.alias("src"), y.alias("dst")))))
     good = F.when(F.col(year) > 0, F.col(year))
     return (works.select(ids.alias("_ids"), good.alias("_year")).where(F.size("_ids") > 1)
-            .select(F.explode(pairs).alias("p"), "_year").groupBy("p.src", "p.dst")
+            .select("_ids", "_year", F.posexplode("_ids").alias("_i", "src")).where(F.col("_i") + 1 < F.size("_ids"))
+            .select("src", "_year", F.explode(F.slice("_ids", F.col("_i") + 2, F.size("_ids"))).alias("dst")).groupBy("src", "dst")
             .agg(F.count("*").alias("weight"), F.min("_year").alias("first_year"), F.max("_year").alias("last_year")))
 
 

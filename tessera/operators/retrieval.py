@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_hash, query_terms
+from tessera.session import materialize
 
 K1, B = 1.2, 0.75
 BRANCH, POOL = 300, 60
@@ -44,20 +45,6 @@ def dry_run(chunks: DataFrame, previous: DataFrame) -> DataFrame:
     return now.crossJoin(gone)  # two one-row tables
 
 
-def stub_embedder(dims: int = 256) -> Callable[[list[str], str], list[list[float]]]:
-    """A deterministic stand-in: a bag of hashed tokens."""
-    def embed(batch: list[str], task: str) -> list[list[float]]:
-        out = []
-        for t in batch:
-            v = [0.0] * dims
-            v[0] = 0.001
-            for w in t.lower().split():
-                v[int(hashlib.sha1(w.encode()).hexdigest()[:8], 16) % dims] += 1.0
-            out.append(v)
-        return out
-    return embed
-
-
 def embed(chunks: DataFrame, embedder: Callable[[list[str], str], list[list[float]]], dims: int, task: str = "RETRIEVAL_DOCUMENT", batch: int = 100, text: str = "body") -> DataFrame:
     """id, vector for chunks without one; wrong dimensions are an error of the job."""
     def run(parts):
@@ -97,17 +84,36 @@ def term_frequencies(chunks: DataFrame, key: str = "id", text: str = "body") ->
     return postings(chunks, key, text, fold=False).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(chunks: DataFrame, terms: list[str], key: str = "id", text: str = "body", top: int = BRANCH, fold: bool = True) -> DataFrame:
+@dataclass
+class LexicalIndex:
+    """Stored postings (key, term, tf, length) and statistics (one row), so that a question reads only its terms' rows."""
+
+    postings: DataFrame
+    stats: DataFrame
+
+
+def lexical_index(chunks: DataFrame, key: str = "id", text: str = "body", fold: bool = True) -> LexicalIndex:
+    """Tokenises the corpus once and writes what every question needs. Rows are ordered by term, so a question's filter skips files and row groups."""
+    lists = postings(chunks, key, text, fold)
+    return LexicalIndex(materialize(lists.repartitionByRange("term", key).sortWithinPartitions("term"), "postings"), materialize(corpus_stats(chunks, text, fold), "stats"))
+
+
+def bm25(chunks: DataFrame | None, terms: list[str], key: str = "id", text: str = "body", top: int = BRANCH, fold: bool = True, index: LexicalIndex | None = None) -> DataFrame:
     """key, score: the best chunks for the distinct terms; terms in more than max(8, 0.15 n) chunks are dropped.
 
-    Only the query's postings are kept, before any shuffle; the statistics are one row.
+    With a stored index nothing is tokenised. Without one, the query's postings alone are kept, before any shuffle; the
+    statistics are one row either way.
     """
     from tessera.functions.text import fold_plural, tokens
-    wanted = F.array(*map(F.lit, sorted(set(terms)))) if terms else F.array().cast("array<string>")
-    all_terms = F.transform(tokens(text), fold_plural) if fold else tokens(text)
-    lists = chunks.select(key, all_terms.alias("_t"))
-    stats = lists.agg(F.count("*").alias("n"), F.avg(F.size("_t").cast("double")).alias("avg_length"))
-    hits = lists.select(key, F.size("_t").alias("length"), F.explode(F.filter("_t", lambda t: F.array_contains(wanted, t))).alias("term")).groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
+    if index is not None:
+        stats = index.stats
+        hits = index.postings.where(F.col("term").isin(sorted(set(terms)))).select(key, "term", "length", "tf")
+    else:
+        wanted = F.array(*map(F.lit, sorted(set(terms)))) if terms else F.array().cast("array<string>")
+        all_terms = F.transform(tokens(text), fold_plural) if fold else tokens(text)
+        lists = chunks.select(key, all_terms.alias("_t"))
+        stats = lists.agg(F.count("*").alias("n"), F.avg(F.size("_t").cast("double")).alias("avg_length"))
+        hits = lists.select(key, F.size("_t").alias("length"), F.explode(F.filter("_t", lambda t: F.array_contains(wanted, t))).alias("term")).groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     rows = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).where(F.col("df") <= F.greatest(F.lit(8.0), F.col("n") * 0.15))
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -174,13 +180,13 @@ def prompt_block(kind: str, title: Column, body: Column, limit: int = 1200) -> C
     return F.concat(F.lit(f'<{kind} title="'), attribute(title), F.lit('">\n'), sanitize(body, limit), F.lit(f"\n</{kind}>"))
 
 
-def search(chunks: DataFrame, question_terms: list[str], query: DataFrame | None = None, people: int = 5, groups: int = 3, tools: int = 3) -> dict[str, DataFrame]:
+def search(chunks: DataFrame, question_terms: list[str], query: DataFrame | None = None, people: int = 5, groups: int = 3, tools: int = 3, index: LexicalIndex | None = None) -> dict[str, DataFrame]:
     """The whole retrieval: both branches (the lexical one alone without a query vector), fusion, people with evidence,
     tools and groups. chunks: id, kind, title, body, owner_ids, group_ids and, for the dense branch, vector."""
-    branches = [bm25(chunks, question_terms)]
+    branches = [bm25(chunks, question_terms, index=index)]
     if query is not None:
         branches.append(dense(chunks.where("vector is not null"), query))
-    pool = fuse(branches).join(chunks.drop("vector") if "vector" in chunks.columns else chunks, "id").cache()
+    pool = materialize(fuse(branches).join(chunks.drop("vector") if "vector" in chunks.columns else chunks, "id"), "pool")  # at most POOL rows
     credit = pool.select("id", "kind", "score", F.explode("owner_ids").alias("owner"))
     own = credit.where("kind = 'researcher'").groupBy("owner").agg(F.max("score").alias("score"))
     who = roll_up(credit.where("kind = 'work'"), "owner", own)

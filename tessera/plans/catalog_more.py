@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import checks, entity, graph, history, views
+from tessera.operators import checks, chunks, entity, graph, history, views
 from tessera.plans import refresh
 from tessera.plans.adapters import table, works
 from tessera.plans.catalog import E, query
@@ -330,3 +330,28 @@ def nested_totals(spark, sf_dir):
 @query("SELECT event_id, CAST(round(user_id * 300000 / 1e6 + event_id * 2500000 / 1e6) AS BIGINT) AS cost FROM events")
 def micro_costs(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", limits.micro_cost("user_id", "event_id", 300_000, 2_500_000).alias("cost"))
+
+
+def _clean(x: str) -> str:
+    """sanitize() in SQL."""
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '[<>\x00-\x08\x0E-\x1F\x7F-\x9F\p{{Cf}}]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+
+
+@query(f"""SELECT 'w:' || doc_id AS id, {_clean('source')} || chr(10) || lang || ', 2024' || coalesce(chr(10) || nullif(trim(substr({_clean('text')}, 1, 480)), ''), '') || chr(10) || 'Authors: a, b, c, d, e, f' AS body FROM documents""")
+def work_documents(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    w = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("lang").alias("venue"), F.lit(2024).alias("year"), none.alias("keywords"), F.col("text").alias("abstract"),
+                                                 F.array(*map(F.lit, "abcdefgh")).alias("authors"), none.alias("person_ids"), none.alias("group_ids"))
+    return chunks.work_documents(w).select("id", "body")
+
+
+@query("""SELECT id, body FROM (SELECT 'r:' || s_suppkey AS id, s_name || chr(10) || n_name || chr(10) || 'Recent work: ' || string_agg(t, '; ' ORDER BY y DESC, t, o) AS body FROM (
+SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY y DESC, t, o) AS rn FROM (SELECT DISTINCT l_suppkey, o_orderkey AS o, year(o_orderdate) AS y, 'W' || o_orderkey AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey))
+JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE rn <= 8 GROUP BY s_suppkey, s_name, n_name)""")
+def researcher_documents(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    w = works(spark, sf_dir).select(F.col("work_id").alias("id"), F.concat(F.lit("W"), F.col("work_id").cast("string")).alias("title"), "year", none.alias("keywords"), F.col("person_ids"))
+    p = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("full_name"), F.lit("").alias("role"), F.col("n_name").alias("center"), F.lit("").alias("bio"), none.alias("expertise"), none.alias("group_ids"))
+    made = chunks.researcher_documents(p, w).where(F.col("body").contains("Recent work: "))
+    return made.select("id", F.regexp_replace("body", "\nTopics: [^\n]*", "").alias("body"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -93,16 +94,23 @@ def admission(requests: DataFrame, per_minute: int, per_day: int, daily: int, bu
 def cache_hits(requests: DataFrame, key: list[str], ttl_days: int, ts: str = "ts", order: str = "event_id") -> DataFrame:
     """event, hit: a hit finds a put of its key that hasn't expired; a miss puts, a hit doesn't renew.
 
-    A fold over each key's requests in order, in one aggregate: puts are ttl apart at least.
+    A key's requests stream through a task in order; nothing is held but the key and the time of its last put.
     """
-    ttl = ttl_days * 86400
-    items = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).cast("long").alias("e"))))
-    start = F.struct(F.lit(None).cast("long").alias("put"), F.array().cast("array<struct<event:long,hit:boolean>>").alias("out"))
+    ttl = ttl_days * 86400 * 1_000_000
+    rows = requests.select(*key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(order).cast("long").alias("event"))
+    ordered = rows.repartition(*key).sortWithinPartitions(*key, "_t", "event")
 
-    def step(acc: Column, x: Column) -> Column:
-        hit = F.coalesce(x["t"] <= acc["put"] + ttl * 1_000_000, F.lit(False))
-        return F.struct(F.when(hit, acc["put"]).otherwise(x["t"]).alias("put"), F.concat(acc["out"], F.array(F.struct(x["e"].alias("event"), hit.alias("hit")))).alias("out"))
-    return requests.groupBy(*key).agg(F.aggregate(items, start, step)["out"].alias("o")).select(*key, F.explode("o").alias("r")).select(*key, "r.event", "r.hit")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, put = None, 0
+        for pdf in parts:
+            hit = []
+            for *k, t in zip(*(pdf[c] for c in key), pdf["_t"], strict=True):
+                fresh = k == now and t <= put + ttl
+                if not fresh:
+                    now, put = k, t
+                hit.append(fresh)
+            yield pdf[[*key, "event"]].assign(hit=hit)
+    return ordered.mapInPandas(run, T.StructType([*(rows.schema[c] for c in key), T.StructField("event", T.LongType()), T.StructField("hit", T.BooleanType())]))
 
 
 def refused(fragments: Column, sentinel: str) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tests.embedding import pairs
 from tessera.operators import checks, entity, history, retrieval
 from tessera.streaming import limits
 
@@ -91,11 +92,11 @@ def test_fusion_and_roll_up(spark):
 
 def test_index_reuse(spark):
     chunks = retrieval.make_chunks({"work": spark.createDataFrame([("a", "t", "one two", ["p"], ["g"]), ("b", "t", "three", ["p"], ["g"])], "key string, title string, body string, owner_ids array<string>, group_ids array<string>")})
-    first = retrieval.build_index(chunks, spark.createDataFrame([], "id string, hash string, vector array<double>"), retrieval.stub_embedder(16), 16).cache()
+    first = retrieval.build_index(chunks, spark.createDataFrame([], "id string, hash string, vector array<double>"), pairs(16), 16).cache()
     changed = retrieval.make_chunks({"work": spark.createDataFrame([("a", "t", "one two", ["p"], ["g"]), ("b", "t", "four", ["p"], ["g"])], "key string, title string, body string, owner_ids array<string>, group_ids array<string>")})
     previous = first.select("id", "hash", "vector")
     assert tuple(retrieval.dry_run(changed, previous).first()) == (1, 1, 0)
-    again = {r["id"]: r for r in retrieval.build_index(changed, previous, retrieval.stub_embedder(16), 16).collect()}
+    again = {r["id"]: r for r in retrieval.build_index(changed, previous, pairs(16), 16).collect()}
     assert again["w:a"]["reused"] and not again["w:b"]["reused"]
     assert again["w:a"]["vector"] == first.where("id = 'w:a'").first()["vector"]
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tests.embedding import pairs
 from tessera.functions.text import person_slug
 from tessera.operators import checks, network, retrieval, views
 from tessera.plans import refresh
@@ -97,6 +98,6 @@ def test_search(spark):
     assert got["people"].first()["owner"] == "p1" and got["tools"].first()["id"] == "t:1"
     assert got["groups"].first()["grp"] in ("g1", "g3") and retrieval.answer_reason(got["pool"]).first()["confident"]
     assert tuple(retrieval.answer_reason(got["pool"].limit(0)).first()) == (False, "no_match")
-    index = chunks.join(retrieval.embed(chunks, retrieval.stub_embedder(32), 32), "id")
-    query = spark.createDataFrame([(retrieval.stub_embedder(32)(["yeast editing"], "RETRIEVAL_QUERY")[0],)], "q array<double>")
+    index = chunks.join(retrieval.embed(chunks, pairs(32), 32), "id")
+    query = spark.createDataFrame([(pairs(32)(["yeast editing"], "RETRIEVAL_QUERY")[0],)], "q array<double>")
     assert retrieval.search(index, ["yeast"], query)["people"].first()["owner"] == "p1"
