@@ -113,15 +113,14 @@ def candidates(perm: np.ndarray, pivot: int, shared: int) -> np.ndarray:
     """Pairs of rows that share at least that many pivots, none of them below pivot: those are looked at in a lower pivot's list."""
     if pivot < 0:
         return np.ones((len(perm), len(perm)), bool)
-    count = np.zeros((len(perm), len(perm)), np.int16)
-    for a in perm.T:
-        for b in perm.T:
-            same = a[:, None] == b[None, :]
-            count += same
-            below = a < pivot
-            if below.any():
-                count[below] -= (same[below] * np.int16(100))
-    return count >= shared
+    own, at = np.unique(perm, return_inverse=True)  # neighbours have few pivots between them
+    has = np.zeros((len(perm), len(own)), np.float32)
+    np.put_along_axis(has, at.reshape(perm.shape), 1.0, axis=1)
+    low = np.searchsorted(own, pivot)
+    ok = has @ has.T >= shared
+    if low and ok.any():
+        ok &= has[:, :low] @ has[:, :low].T == 0
+    return ok
 
 
 def links(indexed: DataFrame, threshold: float = 0.93, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
