@@ -66,10 +66,13 @@ def trainee_network(faculty: DataFrame, faculty_works: DataFrame, trainees: Data
     return Network(nodes, edges, views.membership_counts(people))
 
 
-def organic_layout(nodes: DataFrame, edges: DataFrame, steps: int = 200, most: int = 5000) -> DataFrame:
-    """node, x, y by a deterministic force layout: our own, for a pruned graph of at most most nodes (an error above).
+def organic_layout(nodes: DataFrame, edges: DataFrame, steps: int = 400, most: int = 5000, still: float = 1e-4) -> DataFrame:
+    """node, x, y by Fruchterman and Reingold's force layout from a golden-angle spiral of the sorted nodes, so nothing is random.
 
-    One task: all nodes repel one another, so there is nothing to deal out; the bound is checked first.
+    All pairs repel by k^2 / d and edges pull by weight * d / k, with k = 1 / sqrt(n); a step's length starts at a tenth
+    of the wider side and cools evenly over the steps, and the layout ends early when it stands still. One task: all
+    nodes repel one another, so there is nothing to deal out; it is meant for a pruned graph and takes at most most
+    nodes, which is checked first.
     """
     if nodes.limit(most + 1).count() > most:
         raise checks.ContractError(f"the organic layout takes at most {most} nodes")
@@ -79,19 +82,23 @@ def organic_layout(nodes: DataFrame, edges: DataFrame, steps: int = 200, most: i
         at = {n: k for k, n in enumerate(ids)}
         links = pdf[pdf["dst"].notna()]
         n = len(ids)
-        i, j, w = links["src"].map(at).to_numpy(int), links["dst"].map(at).to_numpy(int), links["weight"].to_numpy(float)
+        pull = np.zeros((n, n))
+        i, j = links["src"].map(at).to_numpy(int), links["dst"].map(at).to_numpy(int)
+        pull[i, j] = pull[j, i] = links["weight"].to_numpy(float)
         k = np.arange(n)
         xy = np.stack([np.cos(k * graph.GOLDEN), np.sin(k * graph.GOLDEN)], 1) * np.sqrt((k + 0.5) / max(n, 1))[:, None]
-        ideal = 1.0 / np.sqrt(max(n, 1))
-        for step in range(steps):
-            d = xy[:, None] - xy[None]
-            dist = np.maximum(np.sqrt((d ** 2).sum(2)), 1e-3)
-            move = (d / dist[..., None] * (ideal ** 2 / dist)[..., None]).sum(1)
-            pull = (xy[i] - xy[j]) * (np.sqrt(((xy[i] - xy[j]) ** 2).sum(1)) * np.sqrt(w) / ideal)[:, None]
-            np.add.at(move, i, -pull)
-            np.add.at(move, j, pull)
-            length = np.maximum(np.sqrt((move ** 2).sum(1, keepdims=True)), 1e-9)
-            xy = xy + move / length * np.minimum(length, 0.1 * (1 - step / steps))
+        ideal = 1 / np.sqrt(max(n, 1))
+        reach = 0.1 * np.ptp(xy, axis=0).max() if n else 0.0
+        cool = reach / (steps + 1)
+        for _ in range(steps if n > 1 else 0):
+            away = xy[:, None] - xy[None]
+            dist = np.maximum(np.sqrt((away ** 2).sum(2)), 0.01)
+            force = (away * (ideal ** 2 / dist ** 2 - pull * dist / ideal)[..., None]).sum(1)
+            step = force * (reach / np.maximum(np.sqrt((force ** 2).sum(1)), 0.01))[:, None]
+            xy = xy + step
+            reach -= cool
+            if np.sqrt((step ** 2).sum()) / n < still:
+                break
         return pd.DataFrame({"node": ids, "x": xy[:, 0], "y": xy[:, 1]})
     kind = dict(nodes.dtypes)["node"]
     rows = nodes.select(F.col("node").alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(0).cast("long").alias("weight")).unionByName(edges.select("src", "dst", F.col("weight").cast("long").alias("weight")))
