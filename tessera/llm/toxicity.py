@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,7 +122,7 @@ def train(bags: list[str], y: np.ndarray, prior: float | None = None, epochs: in
     if not len(y) or y.min() == y.max():
         return Model(weights, UNTRAINED)
     index: dict[str, int] = {}
-    words, ends, docs = [], [], []
+    words, ends, docs = array("i"), array("i"), array("i")
     for k, text in enumerate(bags):
         for s in _SENTENCE.findall(text) or [""]:
             words.extend([index.setdefault(w, len(index)) for w in dict.fromkeys(_WORD.findall(s.lower()))])
@@ -129,11 +130,13 @@ def train(bags: list[str], y: np.ndarray, prior: float | None = None, epochs: in
             docs.append(k)
     if not index:
         return Model(weights, UNTRAINED)
-    words, ends, docs = np.array(words, np.int64), np.array(ends), np.array(docs)
+    words, ends, docs = (np.frombuffer(x, np.int32) for x in (words, ends, docs))
     sentence = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    lists = [buckets(w) for w in index]
-    size = np.array([len(x) for x in lists])
-    feats, owner = np.concatenate([np.array(x, np.int64) for x in lists]), np.repeat(np.arange(len(lists)), size)
+    feats, size = array("i"), array("i")
+    for w in index:
+        feats.extend(own := buckets(w))
+        size.append(len(own))
+    feats, owner = np.frombuffer(feats, np.int32), np.repeat(np.arange(len(size)), size)
     # A feature of few bags says nothing yet.
     pairs = np.unique(docs[sentence] * np.int64(len(index)) + words)
     df = np.bincount(feats, weights=np.bincount(pairs % len(index), minlength=len(index))[owner], minlength=BUCKETS)
@@ -160,19 +163,29 @@ def train(bags: list[str], y: np.ndarray, prior: float | None = None, epochs: in
     return Model(weights, float(b))
 
 
-def bags(docs: DataFrame, picked: DataFrame, sample: int, model: Model | None = None) -> list[tuple]:
-    """(doc_id, y, bag) of the rows of docs that are picked; with a model only of the long ones. At most 2 * sample rows of BAG_CHARS."""
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = Scores(model.weights) if model else None
+def trained(docs: DataFrame, picked: DataFrame, prior: float, sample: int, before: Model | None = None) -> tuple[Model, int]:
+    """A model of the rows of docs that are picked, fitted in one task on at most 2 * sample bags, and how many of them are long.
+
+    The driver gets the weights alone. before: a model that chooses the sentences of long rows and is gone on from.
+    """
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = Scores(before.weights) if before else None
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([bag(t, BAG_CHARS, model, scores) for t in b.column(3).to_pylist()], pa.string())], ["doc_id", "y", "h", "bag"])
+            text = b.column(3).to_pylist()
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([bag(t, BAG_CHARS, before, scores) for t in text], pa.string()), pa.array([len(t) > BAG_CHARS for t in text], pa.bool_())],
+                                             ["doc_id", "y", "h", "bag", "long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        got = train([r[3] for r in rows], np.array([r[2] for r in rows]), prior, 60 if before else 200, start=before)
+        yield pa.RecordBatch.from_arrays([pa.array([got.weights.astype("<f4").tobytes()], pa.binary()), pa.array([got.bias], pa.float64()), pa.array([sum(r[4] for r in rows)], pa.int64())],
+                                         ["weights", "bias", "long"])
 
-    rows = docs.join(F.broadcast(picked), "doc_id").withColumn("h", F.xxhash64("text"))
-    if model:
-        rows = rows.where(F.length("text") > BAG_CHARS)
+    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "y", F.xxhash64("text").alias("h"), "text").mapInArrow(chosen, "doc_id long, y int, h long, bag string, long boolean")
     # A doc_id can be there many times: the bound holds for rows.
-    chosen = rows.select("doc_id", "y", "h", "text").mapInArrow(made, "doc_id long, y int, h long, bag string").orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(2 * sample)
-    return sorted((r["doc_id"], r["h"], r["y"], r["bag"]) for r in chosen.collect())
+    some = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(2 * sample).select("doc_id", "h", "y", "bag", "long")
+    r = some.mapInArrow(run, "weights binary, bias double, long long").collect()  # one row
+    return (Model(np.frombuffer(r[0]["weights"], "<f4").astype(float), r[0]["bias"]), r[0]["long"]) if r else (Model(np.zeros(BUCKETS), UNTRAINED), 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 5, held: int = 0, sample: int = SAMPLE) -> Model:
@@ -184,12 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: i
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     # At most 2 * sample rows of two numbers: a bounded side.
     picked = known.where("y = 1").orderBy(*order).limit(sample).unionByName(known.where("y = 0").orderBy(*order).limit(sample))
-    rows = bags(docs, picked, sample)
-    model = train([r[3] for r in rows], np.array([r[2] for r in rows]), prior)
-    long = {r[:3]: r[3] for r in bags(docs, picked, sample, model)} if model.bias != UNTRAINED else {}
-    if not long:
-        return model
-    return train([long.get(r[:3], r[3]) for r in rows], np.array([r[2] for r in rows]), prior, epochs=60, start=model)
+    model, long = trained(docs, picked, prior, sample)
+    return trained(docs, picked, prior, sample, model)[0] if long and model.bias != UNTRAINED else model
 
 
 def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 5, held: int = 0, threshold: float = 0.5, locate: bool = False,
@@ -198,7 +207,7 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus:
     bounded_batches(docs.sparkSession)
     body = texts(docs, id_col, text_col)
     model = fit(body, labels, label_col, modulus, held, sample)
-    weights = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
+    weights = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))  # 1 MB
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +235,7 @@ def keep(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus:
     """The rows of docs that score() predicts 0 for, with the columns they came with: filtered in place, each row by its own text."""
     bounded_batches(docs.sparkSession)
     model = fit(texts(docs, id_col, text_col), labels, label_col, modulus, held, sample)
-    weights = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
+    weights = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))  # 1 MB
 
     rows = docs.select(F.struct("*").alias("row"))
 
