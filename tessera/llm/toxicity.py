@@ -112,11 +112,11 @@ def bag(text: str, most: int = BAG_CHARS, model: Model | None = None, scores: Sc
     return "\n".join(parts[k] for k in sorted(taken))
 
 
-def train(bags: list[str], y: np.ndarray, prior: float | None = None, epochs: int = 200, rate: float = 1.0, decay: float = 1e-5, least: int = 3, bias: float = -8.0, start: Model | None = None) -> Model:
+def train(bags: list[str], y: np.ndarray, prior: float | None = None, epochs: int = 200, rate: float = 1.0, decay: float = 1e-5, least: int = 3, bias: float = -8.0) -> Model:
     """Gradient ascent with per-weight step sizes on the noisy-or likelihood of the bags.
 
     prior: the share of class 1 where the sample was taken from; without one, the sample's. A token counts once
-    in a sentence, so repeating it proves nothing. The bias starts so low that long clean documents stay clean. start: a model to go on from.
+    in a sentence, so repeating it proves nothing. The bias starts so low that long clean documents stay clean.
     """
     weights = np.zeros(BUCKETS)
     if not len(y) or y.min() == y.max():
@@ -144,8 +144,6 @@ def train(bags: list[str], y: np.ndarray, prior: float | None = None, epochs: in
     g2, gb2, b = np.full(BUCKETS, 1e-8), 1e-8, bias
     share = y.mean()
     weight = np.ones(len(y)) if prior is None else np.where(y == 1, prior / share, (1 - prior) / (1 - share))
-    if start:
-        weights, b = start.weights.copy(), start.bias
     for _ in range(epochs):
         per_word = np.bincount(owner, weights=weights[feats], minlength=len(index))
         z = b + np.bincount(sentence, weights=per_word[words], minlength=len(ends))
@@ -166,7 +164,7 @@ def train(bags: list[str], y: np.ndarray, prior: float | None = None, epochs: in
 def trained(docs: DataFrame, picked: DataFrame, prior: float, sample: int, before: Model | None = None) -> tuple[Model, int]:
     """A model of the rows of docs that are picked, fitted in one task on at most 2 * sample bags, and how many of them are long.
 
-    The driver gets the weights alone. before: a model that chooses the sentences of long rows and is gone on from.
+    The driver gets the weights alone. before: a model that chooses the sentences of long rows.
     """
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(before.weights) if before else None
@@ -177,7 +175,7 @@ def trained(docs: DataFrame, picked: DataFrame, prior: float, sample: int, befor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        got = train([r[3] for r in rows], np.array([r[2] for r in rows]), prior, 60 if before else 200, start=before)
+        got = train([r[3] for r in rows], np.array([r[2] for r in rows]), prior)
         yield pa.RecordBatch.from_arrays([pa.array([got.weights.astype("<f4").tobytes()], pa.binary()), pa.array([got.bias], pa.float64()), pa.array([sum(r[4] for r in rows)], pa.int64())],
                                          ["weights", "bias", "long"])
 
