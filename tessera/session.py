@@ -45,13 +45,18 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     Every later use reads the files, so an executor that is lost costs only the tasks that it was running,
     and plans that grow in a loop stay short. Files go when the driver ends.
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new place under the shared folder, not made yet; what is written there goes when the driver ends."""
+    path = f"{scratch_root(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].append(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 #: Paths written inside each open call of once().
