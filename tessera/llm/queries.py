@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import embedding_dedup, exact_dedup, html_extract, license_scan, line_dedup, packing, quality, sentencepiece_codec, simhash, toxicity
+from tessera.llm import (
+    change_points, embedding_dedup, exact_dedup, html_extract, license_scan, line_dedup, packing, quality, sentencepiece_codec, simhash, token_alignment, token_files, toxicity)
 from tessera.llm.common import table
 
 
@@ -58,10 +59,23 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return change_points.change_points(table(spark, sf_dir, "sale_lines"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digest(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_simhash_near_dedup, op2_toxicity, op3_sentencepiece, op4_license_scan, op5_exact_dedup, op6_embedding_near_dedup, op7_packing, op8_quality, op9_line_dedup, op10_html_extraction)}
+        op1_simhash_near_dedup, op2_toxicity, op3_sentencepiece, op4_license_scan, op5_exact_dedup, op6_embedding_near_dedup, op7_packing, op8_quality, op9_line_dedup, op10_html_extraction,
+        op11_change_points, op12_token_alignment, op13_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+    return {"op5_exact_dedup": exact_dedup.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op11_change_points": change_points.ORACLE}
