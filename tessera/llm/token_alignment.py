@@ -22,6 +22,7 @@ count each; a null doc_id is kept as null; an empty table gives no rows. Only id
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -38,9 +39,10 @@ from tessera.llm.sentencepiece_codec import MARK, Codec
 from tessera.llm.sentencepiece_codec import codec as piece_codec
 from tessera.session import materialize
 
-#: Characters of a block's documents, tokens that are aligned at once and links that are expanded at once.
-BLOCK = 1 << 22
+#: Characters of a block's documents, characters of units that are aligned at once, links that are expanded at once, and characters that are encoded at once.
+BLOCK = 1 << 23
 SLICE = 1 << 18
+STRETCH = 20_000
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 #: A row for each block: see Block.row().
 BLOCKS = (
@@ -117,14 +119,40 @@ class Tables:
             self.length_a[k] = len(raw)
         self.length_b = np.array([len(x) for x in b.piece_bytes], np.int64)
 
-    def ids(self, unit: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """A's ids of space+unit and B's of unit; None if the bytes of either differ from space+unit."""
-        want = (" " + unit).encode()
-        a, b = self.a.encode(" " + unit), self.b.encode(unit)
+    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """A's ids of space+text and B's of text; None if the bytes of either differ from space+text."""
+        want = (" " + text).encode()
+        a, b = np.array(self.a.bpe.encode_ordinary(" " + text), np.int64), np.array(self.b.lib.encode(text), np.int64)
         if int(self.length_a[a].sum()) != len(want) or b"".join(map(self.b.piece_bytes.__getitem__, b.tolist())) != want:
             return None
         return a, b
 
+    def units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bool]]:
+        """Ids of A and B of all units in a row, how many there are up to each unit's end, and which units are given back.
+
+        Units without white space at their ends are joined by single spaces and encoded together, STRETCH characters at a time.
+        """
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        ok: list[bool] = []
+        past = itertools.accumulate(len(u) + 1 for u in units)
+        for (whole, _), run in itertools.groupby(units, lambda u: (u == u.strip(), next(past) // STRETCH)):
+            run = list(run)
+            got = self.ids(" ".join(run)) if whole else None
+            if got is not None:
+                ends = np.cumsum([len(u.encode()) + 1 for u in run])
+                found.append((*got, *(np.searchsorted(np.cumsum(n[x]), ends) + 1 for n, x in zip((self.length_a, self.length_b), got, strict=True))))
+                ok += [True] * len(run)
+                continue
+            for u in run:
+                got = self.ids(u)
+                ok.append(got is not None)
+                x, y = got or (np.zeros(0, np.int64),) * 2
+                found.append((x, y, np.array([len(x)]), np.array([len(y)])))
+        ids_a, ids_b, past_a, past_b = zip(*found, strict=True)
+        before_a, before_b = (np.cumsum([0, *map(len, x)]) for x in (ids_a, ids_b))
+        return (np.concatenate(ids_a), np.concatenate(ids_b), np.concatenate([p + k for p, k in zip(past_a, before_a, strict=False)]),
+                np.concatenate([p + k for p, k in zip(past_b, before_b, strict=False)]), ok)
+
 
 _tables: dict[tuple[str, str], Tables] = {}
 
@@ -145,18 +173,15 @@ class Units:
         self.text: list[str] = []  # a unit's groups as the digest writes them
         self.counts: list[tuple[int, int, int, int]] = []  # tokens of A, of B, groups, links
         self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting: list[str] = []
         self.size = 0
 
     def number(self, unit: str) -> int:
         k = self.known.get(unit)
         if k is None:
-            k = self.known[unit] = len(self.ok)
-            got = self.of.ids(unit)
-            self.ok.append(got is not None)
-            none = np.zeros(0, "<i4")
-            self.waiting.append(got or (none, none))
-            self.size += len(self.waiting[-1][0])
+            k = self.known[unit] = len(self.known)
+            self.waiting.append(unit)
+            self.size += len(unit) + 1
             if self.size >= SLICE:
                 self.align()
         return k
@@ -165,8 +190,7 @@ class Units:
         if not self.waiting:
             return
         first = len(self.text)
-        ids_a, ids_b = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
-        past_a, past_b = (np.cumsum([len(x) for x in s]) for s in zip(*self.waiting, strict=True))
+        ids_a, ids_b, past_a, past_b, ok = self.of.units(self.waiting)
         group_a, group_b = closed(np.cumsum(self.of.length_a[ids_a]), np.cumsum(self.of.length_b[ids_b]))
         # A unit's end is an end of both, so its last group is the one that closes there.
         past = np.searchsorted(group_a, past_a, "right")
@@ -182,6 +206,7 @@ class Units:
         for high in past.tolist():
             self.text.append(written[low] if high - low == 1 else ";".join(written[low:high]))
             low = high
+        self.ok += ok
         self.counts += zip(np.diff(past_a, prepend=0).tolist(), np.diff(past_b, prepend=0).tolist(), n_groups.tolist(), links.tolist(), strict=True)
         own, pair, n = linked(ids_a, ids_b, group_a, group_b, np.repeat(np.arange(len(past)), n_groups))
         self.pairs.append((own + first, pair, n))
@@ -204,8 +229,6 @@ class Block:
         if text and MARK not in text:
             known, number = self.units.known, self.units.number
             at = [known[u] if u in known else number(u) for u in units_of(text)]
-            if not all(map(self.units.ok.__getitem__, at)):
-                at = []
         self.docs.append(at)
 
     def row(self) -> pa.RecordBatch:
@@ -213,7 +236,10 @@ class Block:
         u.align()
         sums = np.array(u.counts, np.int64).reshape(-1, 4)
         totals, shas, doc_at, unit, times = [], [], [0], [], []
+        broken = not all(u.ok)
         for at in self.docs:
+            if broken and not all(map(u.ok.__getitem__, at)):
+                at = []
             where = np.array(at, np.int64)
             totals.append(sums[where].sum(axis=0))
             shas.append(hashlib.sha256(";".join(map(u.text.__getitem__, at)).encode()).hexdigest() if at else "")
