@@ -23,10 +23,11 @@ id and text are read.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches, columns, texts
-from tessera.llm.packing import Encoder
 from tessera.session import materialize, scratch_folder
 
 MAGIC = b"TESSERA\x01"
@@ -44,8 +44,9 @@ TRAILER = struct.Struct("<7Q8s")
 END = 2
 #: Ids of a block: a multiple of eight, so that every full block ends at a byte.
 BLOCK = 4096
-#: Blocks that a scan reads at once.
+#: Blocks that a scan reads at once, and characters of new words that are encoded at once.
 READ = 64
+STRETCH = 20_000
 MANIFEST = "partition int, shard string, documents long, ids long, bytes long, first_doc long, last_doc long"
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -75,22 +76,61 @@ def unpack_bits(raw: bytes, n: int, width: int, first: int = 0) -> np.ndarray:
     return (words[bit >> 3] >> (bit & 7).astype(np.uint64) & np.uint64((1 << width) - 1)).astype("<u4")
 
 
-class LibraryEncoder(Encoder):
-    """The cache of words, filled by the tokenizers library; added tokens in a text get their own ids."""
+class LibraryEncoder:
+    """Ids by the tokenizers library, through a cache of words: a space before another character always begins a new token.
 
-    def __init__(self, path: str):
+    The words that a batch of texts has and the cache hasn't are joined by spaces and encoded together; the tokens' byte
+    ends tell them apart. Added tokens in a text get their own ids.
+    """
+
+    def __init__(self, path: str, most: int = 1_000_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task is Spark's unit of parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # encode_added() has taken them out of what comes here
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
-        super().__init__(path)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.bytes = np.zeros(self.vocabulary, np.int64)
+        for piece, k in self.library.get_vocab(with_added_tokens=False).items():
+            self.bytes[k] = len(piece)  # the vocabulary writes each byte as one character
+        self.most = most
+        self.words: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.plain(text), "<u4") if "  " in text else super().encode(text)
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()  # no offsets
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Puts space+word into the cache for all words."""
+        held: list[str] = []
+        size = 0
+        for w in words:
+            if not w or w != w.strip():
+                self.words[w] = self.plain(" " + w)
+                continue
+            held.append(w)
+            size += len(w) + 1
+            if size >= STRETCH:
+                self.put(held)
+                held, size = [], 0
+        if held:
+            self.put(held)
+
+    def put(self, words: list[str]) -> None:
+        raw = self.plain(" " + " ".join(words))
+        at = 4 * (np.searchsorted(np.cumsum(self.bytes[np.frombuffer(raw, "<u4")]), np.cumsum([len(w.encode()) + 1 for w in words])) + 1)
+        low = 0
+        for w, high in zip(words, at.tolist(), strict=True):
+            self.words[w] = raw[low:high]
+            low = high
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        split = [None if "  " in t or any(x in t for x in self.added) else t.split(" ") for t in texts]
+        if len(self.words) > self.most:
+            self.words.clear()
+        known = self.words
+        self.learn({w: None for parts in split if parts for w in parts[1:] if w not in known})
+        for t, parts in zip(texts, split, strict=True):
+            yield np.frombuffer(self.plain(t) if parts is None else self.plain(parts[0]) + b"".join(map(known.__getitem__, parts[1:])), "<u4")
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -209,15 +249,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END, block: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = None
         for b in batches:
-            for doc_id, text in zip(*columns(b, "doc_id", "text"), strict=True):
+            ids, contents = columns(b, "doc_id", "text")
+            tokens = encoder(tokenizer)
+            for doc_id, of in zip(ids, tokens.encode(contents), strict=True):
                 if shard is None:
-                    tokens = encoder(tokenizer)
                     part = TaskContext.get().partitionId()
                     name = f"part-{part:07d}-{uuid.uuid4().hex}.ids"
                     store, root = pafs.FileSystem.from_uri(folder)
                     store.create_dir(root, recursive=True)
                     shard = ShardWriter(store.open_output_stream(f"{root}/{name}"), tokens.vocabulary, block)
-                shard.add(doc_id, np.append(tokens.encode_added(text), np.uint32(end)))
+                shard.add(doc_id, np.append(of, np.uint32(end)))
         if shard is not None:
             size = shard.close()
             row = (part, name, len(shard.docs), shard.starts[-1], size, shard.docs[0], shard.docs[-1])
