@@ -40,8 +40,8 @@ from tessera.llm.sentencepiece_codec import codec as piece_codec
 from tessera.session import materialize
 
 #: Characters of a block's documents, characters of units that are aligned at once, links that are expanded at once, and characters that are encoded at once.
-BLOCK = 1 << 23
-SLICE = 1 << 18
+BLOCK = 1 << 21
+SLICE = 1 << 17
 STRETCH = 20_000
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 #: A row for each block: see Block.row().
@@ -171,7 +171,7 @@ class Units:
         self.known: dict[str, int] = {}
         self.ok: list[bool] = []
         self.text: list[str] = []  # a unit's groups as the digest writes them
-        self.counts: list[tuple[int, int, int, int]] = []  # tokens of A, of B, groups, links
+        self.counts: list[np.ndarray] = [np.zeros((0, 4), np.int64)]  # tokens of A, of B, groups, links
         self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.waiting: list[str] = []
         self.size = 0
@@ -207,7 +207,7 @@ class Units:
             self.text.append(written[low] if high - low == 1 else ";".join(written[low:high]))
             low = high
         self.ok += ok
-        self.counts += zip(np.diff(past_a, prepend=0).tolist(), np.diff(past_b, prepend=0).tolist(), n_groups.tolist(), links.tolist(), strict=True)
+        self.counts.append(np.stack([np.diff(past_a, prepend=0), np.diff(past_b, prepend=0), n_groups, links], axis=1))
         own, pair, n = linked(ids_a, ids_b, group_a, group_b, np.repeat(np.arange(len(past)), n_groups))
         self.pairs.append((own + first, pair, n))
         self.waiting, self.size = [], 0
@@ -219,7 +219,7 @@ class Block:
     def __init__(self, number: int, of: Tables):
         self.number, self.units = number, Units(of)
         self.ids: list[int | None] = []
-        self.docs: list[list[int]] = []
+        self.docs: list[np.ndarray] = []
         self.size = 0
 
     def add(self, doc_id: int | None, text: str) -> None:
@@ -229,21 +229,20 @@ class Block:
         if text and MARK not in text:
             known, number = self.units.known, self.units.number
             at = [known[u] if u in known else number(u) for u in units_of(text)]
-        self.docs.append(at)
+        self.docs.append(np.array(at, np.int32))
 
     def row(self) -> pa.RecordBatch:
         u = self.units
         u.align()
-        sums = np.array(u.counts, np.int64).reshape(-1, 4)
+        sums = np.concatenate(u.counts)
         totals, shas, doc_at, unit, times = [], [], [0], [], []
         broken = not all(u.ok)
         for at in self.docs:
-            if broken and not all(map(u.ok.__getitem__, at)):
-                at = []
-            where = np.array(at, np.int64)
-            totals.append(sums[where].sum(axis=0))
-            shas.append(hashlib.sha256(";".join(map(u.text.__getitem__, at)).encode()).hexdigest() if at else "")
-            k, n = np.unique(where, return_counts=True)
+            if broken and not all(map(u.ok.__getitem__, at.tolist())):
+                at = at[:0]
+            totals.append(sums[at].sum(axis=0))
+            shas.append(hashlib.sha256(";".join(map(u.text.__getitem__, at.tolist())).encode()).hexdigest() if len(at) else "")
+            k, n = np.unique(at, return_counts=True)
             unit.append(k)
             times.append(n)
             doc_at.append(doc_at[-1] + len(k))
