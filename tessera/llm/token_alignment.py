@@ -47,7 +47,10 @@ DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 #: A row for each block: see Block.row().
 BLOCKS = (
     "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, "
-    "doc_at array<int>, unit array<int>, times array<int>, unit_at array<int>, pair array<int>, multiple array<long>, a array<int>, b array<int>, docs array<int>")
+    "doc_at binary, unit binary, times binary, unit_at binary, pair binary, multiple binary, a array<int>, b array<int>, docs array<int>")
+#: What the second pass reads of a block, and its columns that are numpy arrays of 32-bit integers (multiple: 64 bits) as bytes.
+KEPT = [c.split()[0] for c in BLOCKS.split(", ") if c.split()[0] not in ("a", "b", "docs")]
+RAW = {"doc_at": "<i4", "unit": "<i4", "times": "<i4", "unit_at": "<i4", "pair": "<i4", "multiple": "<i8"}
 GROUPS = "doc_id long, groups array<struct<first:long,past:long,a:array<int>,b:array<int>>>"
 #: Places where a unit may begin: single spaces between other characters. ODD: the text has spaces of another kind.
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
@@ -252,12 +255,13 @@ class Block:
         unit_at = np.searchsorted(own, np.arange(len(u.text) + 1))
         holding = self.holding(np.array(doc_at), unit, unit_at, place, len(different))
         totals = np.array(totals, np.int64).reshape(-1, 4)
-        lists = [
-            pa.array(self.ids, pa.int64()), *(pa.array(totals[:, k]) for k in range(4)), pa.array(shas, pa.string()), pa.array(np.array(doc_at, np.int32)), pa.array(unit.astype(np.int32)),
-            pa.array(times.astype(np.int32)), pa.array(unit_at.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(multiple),
-            pa.array((different >> 32).astype(np.int32)), pa.array((different & 0xFFFFFFFF).astype(np.int32)), pa.array(holding.astype(np.int32))]
+        raw = {"doc_at": np.array(doc_at), "unit": unit, "times": times, "unit_at": unit_at, "pair": place, "multiple": multiple}
+        ids32 = [pa.array(x.astype(np.int32)) for x in (different >> 32, different & 0xFFFFFFFF, holding)]
+        lists = [pa.array(self.ids, pa.int64()), *(pa.array(totals[:, k]) for k in range(4)), pa.array(shas, pa.string())]
+        as_list = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         return pa.RecordBatch.from_arrays(
-            [pa.array([self.number], pa.int64()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)], [c.split()[0] for c in BLOCKS.split(", ")])
+            [pa.array([self.number], pa.int64()), *map(as_list, lists), *(pa.array([raw[k].astype(kind).tobytes()], pa.binary()) for k, kind in RAW.items()), *map(as_list, ids32)],
+            [c.split()[0] for c in BLOCKS.split(", ")])
 
     @staticmethod
     def holding(doc_at: np.ndarray, unit: np.ndarray, unit_at: np.ndarray, place: np.ndarray, pairs: int) -> np.ndarray:
@@ -315,7 +319,7 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = {k: batch.column(batch.schema.get_field_index(k)) for k in batch.schema.names}
         for r in range(batch.num_rows):
             of = {k: c[r].values for k, c in got.items() if pa.types.is_list(c.type)}
-            x = {k: of[k].to_numpy(zero_copy_only=False) for k in ("doc_at", "unit", "times", "unit_at", "pair", "multiple")}
+            x = {k: np.frombuffer(got[k][r].as_buffer(), kind) for k, kind in RAW.items()}
             n, best = (of["seen"].field(k).to_numpy(zero_copy_only=False).astype(np.int64) if of.get("seen") is not None else np.zeros(0, np.int64) for k in ("n", "best"))
             values = [summed(summed(x["multiple"] * w[x["pair"]], x["unit_at"])[x["unit"]] * x["times"], x["doc_at"]) for w in (best, n)]
             yield pa.RecordBatch.from_arrays([of["doc_id"], of["n_a"], of["n_b"], of["n_groups"], of["n_links"], *(pa.array(v, pa.int64()) for v in values), of["sha"]], names)
@@ -326,7 +330,7 @@ def digest(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: st
     blocks = materialize(blocks_of(docs, a, b, id_col, text_col, size), "aligned")
     entries = blocks.select("block", F.posexplode(F.arrays_zip("a", "b"))).select("block", F.col("pos"), F.col("col.a").alias("a"), F.col("col.b").alias("b"))
     seen = entries.join(pair_counts(blocks), ["a", "b"]).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "best"))).alias("seen"))
-    return blocks.select("block", *[c.split()[0] for c in BLOCKS.split(", ")[1:-3]]).join(seen, "block", "left").mapInArrow(_scored, DIGEST)
+    return blocks.select(*KEPT).join(seen, "block", "left").mapInArrow(_scored, DIGEST)
 
 
 def groups(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
