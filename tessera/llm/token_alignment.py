@@ -9,10 +9,10 @@ end whatever stands around it: the intervals of a text are those of its units, t
 task aligns each different unit of a block once, and a document is its units' groups in order. (A unit can be a whole
 text: one without spaces, say.)
 
-Corpus counts. A block is BLOCK characters of whole documents (one at least). It becomes one row: its documents' units,
+Corpus counts. A block is BLOCK characters of whole documents (one at least). It becomes some rows: its documents' units,
 its units' pairs and, for each different pair of ids, how many of its documents hold it linked. Those dictionaries are
-exploded and summed by pair, joined back by pair, and gathered again by block, so the second pass meets a dictionary of
-its own block and never the corpus's. The highest count of each A id is broadcast: a row for each id of A's vocabulary.
+exploded and summed by pair, joined back by pair, and met by block again (a cogroup), so the second pass meets a
+dictionary of its own block and never the corpus's. The highest count of each A id is broadcast: a row for each id of A's vocabulary.
 
 Results for odd input: texts that are null, empty or not given back by the joined bytes of either tokenizer (as with
 U+2581 in them) have no tokens; special tokens in a text are plain text; rows that repeat are documents of their own and
@@ -44,13 +44,15 @@ BLOCK = 1 << 21
 SLICE = 1 << 17
 STRETCH = 20_000
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-#: A row for each block: see Block.row().
+#: Some rows for each block, none of them large: parts of its units (with the dictionary in the first one), then of its
+#: documents. Integers are the bytes of numpy arrays, see RAW; the dictionary's are arrays, to be exploded.
 BLOCKS = (
-    "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, "
-    "doc_at binary, unit binary, times binary, unit_at binary, pair binary, multiple binary, a array<int>, b array<int>, docs array<int>")
-#: What the second pass reads of a block, and its columns that are numpy arrays of 32-bit integers (multiple: 64 bits) as bytes.
+    "block long, part int, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, "
+    "doc_n binary, unit binary, times binary, unit_n binary, pair binary, multiple binary, a array<int>, b array<int>, docs array<int>")
 KEPT = [c.split()[0] for c in BLOCKS.split(", ") if c.split()[0] not in ("a", "b", "docs")]
-RAW = {"doc_at": "<i4", "unit": "<i4", "times": "<i4", "unit_at": "<i4", "pair": "<i4", "multiple": "<i8"}
+RAW = {"doc_n": "<i4", "unit": "<i4", "times": "<i4", "unit_n": "<i4", "pair": "<i4", "multiple": "<i8"}
+#: Entries of a row.
+PART = 1 << 14
 GROUPS = "doc_id long, groups array<struct<first:long,past:long,a:array<int>,b:array<int>>>"
 #: Places where a unit may begin: single spaces between other characters. ODD: the text has spaces of another kind.
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
@@ -216,8 +218,15 @@ class Units:
         self.waiting, self.size = [], 0
 
 
+def _parts(n: np.ndarray, entries: int = PART) -> np.ndarray:
+    """Where to cut items of so many entries each into parts of about so many entries; one part at least."""
+    upto = np.cumsum(n + 1)
+    cuts = np.searchsorted(upto, np.arange(entries, upto[-1] if len(n) else 0, entries)) + 1
+    return np.unique(np.r_[0, cuts[cuts < len(n)], len(n)]) if len(n) else np.array([0, 0])
+
+
 class Block:
-    """Documents of one partition, up to BLOCK characters, as one row of BLOCKS."""
+    """Documents of one partition, up to BLOCK characters, as rows of BLOCKS."""
 
     def __init__(self, number: int, of: Tables):
         self.number, self.units = number, Units(of)
@@ -234,11 +243,11 @@ class Block:
             at = [known[u] if u in known else number(u) for u in units_of(text)]
         self.docs.append(np.array(at, np.int32))
 
-    def row(self) -> pa.RecordBatch:
+    def rows(self) -> pa.RecordBatch:
         u = self.units
         u.align()
         sums = np.concatenate(u.counts)
-        totals, shas, doc_at, unit, times = [], [], [0], [], []
+        totals, shas, unit, times = [], [], [], []
         broken = not all(u.ok)
         for at in self.docs:
             if broken and not all(map(u.ok.__getitem__, at.tolist())):
@@ -248,20 +257,31 @@ class Block:
             k, n = np.unique(at, return_counts=True)
             unit.append(k)
             times.append(n)
-            doc_at.append(doc_at[-1] + len(k))
+        doc_n = np.array([len(k) for k in unit])
         unit, times = np.concatenate(unit), np.concatenate(times)
         own, pair, multiple = (np.concatenate(x) for x in zip(*u.pairs, strict=True)) if u.pairs else (np.zeros(0, np.int64),) * 3
         different, place = np.unique(pair, return_inverse=True)
-        unit_at = np.searchsorted(own, np.arange(len(u.text) + 1))
-        holding = self.holding(np.array(doc_at), unit, unit_at, place, len(different))
+        unit_n = np.bincount(own, minlength=len(u.text))
+        holding = self.holding(np.r_[0, np.cumsum(doc_n)], unit, np.r_[0, np.cumsum(unit_n)], place, len(different))
         totals = np.array(totals, np.int64).reshape(-1, 4)
-        raw = {"doc_at": np.array(doc_at), "unit": unit, "times": times, "unit_at": unit_at, "pair": place, "multiple": multiple}
-        ids32 = [pa.array(x.astype(np.int32)) for x in (different >> 32, different & 0xFFFFFFFF, holding)]
-        lists = [pa.array(self.ids, pa.int64()), *(pa.array(totals[:, k]) for k in range(4)), pa.array(shas, pa.string())]
-        as_list = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([self.number], pa.int64()), *map(as_list, lists), *(pa.array([raw[k].astype(kind).tobytes()], pa.binary()) for k, kind in RAW.items()), *map(as_list, ids32)],
-            [c.split()[0] for c in BLOCKS.split(", ")])
+        # Rows: the units' parts have no documents, the documents' parts no units.
+        units_to, docs_to = _parts(unit_n), _parts(doc_n)
+        units_to, docs_to = np.r_[units_to, np.repeat(units_to[-1], len(docs_to) - 1)], np.r_[np.repeat(0, len(units_to) - 1), docs_to]
+        rows = len(docs_to) - 1
+
+        def pieces(x: np.ndarray, kind: str, to: np.ndarray) -> pa.Array:
+            return pa.array([x[p:q].astype(kind).tobytes() for p, q in zip(to, to[1:], strict=False)], pa.binary())
+
+        def lists(x: pa.Array, to: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(to, pa.int32()), x)
+
+        to = {"doc_n": docs_to, "unit_n": units_to} | {k: np.r_[0, np.cumsum(doc_n)][docs_to] for k in ("unit", "times")} | {k: np.r_[0, np.cumsum(unit_n)][units_to] for k in ("pair", "multiple")}
+        raw = {"doc_n": doc_n, "unit": unit, "times": times, "unit_n": unit_n, "pair": place, "multiple": multiple}
+        dictionary = np.r_[0, np.repeat(len(different), rows)]
+        return pa.RecordBatch.from_arrays([
+            pa.array([self.number] * rows, pa.int64()), pa.array(range(rows), pa.int32()), lists(pa.array(self.ids, pa.int64()), docs_to), *(lists(pa.array(totals[:, k]), docs_to) for k in range(4)),
+            lists(pa.array(shas, pa.string()), docs_to), *(pieces(raw[k], kind, to[k]) for k, kind in RAW.items()),
+            *(lists(pa.array(x.astype(np.int32)), dictionary) for x in (different >> 32, different & 0xFFFFFFFF, holding))], [c.split()[0] for c in BLOCKS.split(", ")])
 
     @staticmethod
     def holding(doc_at: np.ndarray, unit: np.ndarray, unit_at: np.ndarray, place: np.ndarray, pairs: int) -> np.ndarray:
@@ -293,11 +313,11 @@ def blocks_of(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col:
             for doc_id, text in zip(*columns(batch, "doc_id", "text"), strict=True):
                 block.add(doc_id, text)
                 if block.size >= size:
-                    yield block.row()
+                    yield block.rows()
                     number += 1
                     block = Block(number, of)
         if block.ids:
-            yield block.row()
+            yield block.rows()
 
     return texts(docs, id_col, text_col).mapInArrow(run, BLOCKS)
 
@@ -309,28 +329,26 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(highest), "a").select("a", "b", "n", (F.col("n") == F.col("top")).alias("best"))
 
 
-def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in DIGEST.split(", ")]
+def _scored(rows: pa.Table, seen: pa.Table) -> pa.Table:
+    """DIGEST of a block's documents. rows: its parts; seen: n and best of its dictionary's pairs."""
 
-    def summed(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return np.diff(np.r_[0, np.cumsum(x)][at])
+    def summed(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.diff(np.r_[0, np.cumsum(x)][np.cumsum(n)], prepend=0)
 
-    for batch in batches:
-        got = {k: batch.column(batch.schema.get_field_index(k)) for k in batch.schema.names}
-        for r in range(batch.num_rows):
-            of = {k: c[r].values for k, c in got.items() if pa.types.is_list(c.type)}
-            x = {k: np.frombuffer(got[k][r].as_buffer(), kind) for k, kind in RAW.items()}
-            n, best = (of["seen"].field(k).to_numpy(zero_copy_only=False).astype(np.int64) if of.get("seen") is not None else np.zeros(0, np.int64) for k in ("n", "best"))
-            values = [summed(summed(x["multiple"] * w[x["pair"]], x["unit_at"])[x["unit"]] * x["times"], x["doc_at"]) for w in (best, n)]
-            yield pa.RecordBatch.from_arrays([of["doc_id"], of["n_a"], of["n_b"], of["n_groups"], of["n_links"], *(pa.array(v, pa.int64()) for v in values), of["sha"]], names)
+    rows, seen = rows.sort_by("part").combine_chunks(), seen.sort_by("pos")
+    x = {k: np.frombuffer(b"".join(rows.column(k).to_pylist()), kind) for k, kind in RAW.items()}
+    n, best = (seen.column(k).to_numpy().astype(np.int64) for k in ("n", "best"))
+    n_best, count_sum = (pa.array(summed(summed(x["multiple"] * w[x["pair"]], x["unit_n"])[x["unit"]] * x["times"], x["doc_n"]), pa.int64()) for w in (best, n))
+    flat = {k: rows.column(k).combine_chunks().flatten() for k in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "sha")}
+    return pa.table([*(flat[k] for k in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), n_best, count_sum, flat["sha"]], [c.split()[0] for c in DIGEST.split(", ")])
 
 
 def digest(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK) -> DataFrame:
     """DIGEST of every document: its tokens, groups and links, and how its links fare in the whole corpus."""
     blocks = materialize(blocks_of(docs, a, b, id_col, text_col, size), "aligned")
     entries = blocks.select("block", F.posexplode(F.arrays_zip("a", "b"))).select("block", F.col("pos"), F.col("col.a").alias("a"), F.col("col.b").alias("b"))
-    seen = entries.join(pair_counts(blocks), ["a", "b"]).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "best"))).alias("seen"))
-    return blocks.select(*KEPT).join(seen, "block", "left").mapInArrow(_scored, DIGEST)
+    seen = entries.join(pair_counts(blocks), ["a", "b"]).select(F.col("block").alias("of"), "pos", "n", "best")
+    return blocks.select(*KEPT).groupBy("block").cogroup(seen.groupBy("of")).applyInArrow(_scored, DIGEST)
 
 
 def groups(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
