@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +46,7 @@ SLICE = 1 << 17
 STRETCH = 20_000
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 #: Some rows for each block, none of them large: parts of its units (with the dictionary in the first one), then of its
-#: documents. Integers are the bytes of numpy arrays, see RAW; the dictionary's are arrays, to be exploded.
+#: documents. Integers are the deflated bytes of numpy arrays, see RAW; the dictionary's are arrays, to be exploded.
 BLOCKS = (
     "block long, part int, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, "
     "doc_n binary, unit binary, times binary, unit_n binary, pair binary, multiple binary, a array<int>, b array<int>, docs array<int>")
@@ -270,7 +271,7 @@ class Block:
         rows = len(docs_to) - 1
 
         def pieces(x: np.ndarray, kind: str, to: np.ndarray) -> pa.Array:
-            return pa.array([x[p:q].astype(kind).tobytes() for p, q in zip(to, to[1:], strict=False)], pa.binary())
+            return pa.array([zlib.compress(x[p:q].astype(kind).tobytes(), 1) for p, q in zip(to, to[1:], strict=False)], pa.binary())
 
         def lists(x: pa.Array, to: np.ndarray) -> pa.Array:
             return pa.ListArray.from_arrays(pa.array(to, pa.int32()), x)
@@ -336,7 +337,7 @@ def _scored(rows: pa.Table, seen: pa.Table) -> pa.Table:
         return np.diff(np.r_[0, np.cumsum(x)][np.cumsum(n)], prepend=0)
 
     rows, seen = rows.sort_by("part").combine_chunks(), seen.sort_by("pos")
-    x = {k: np.frombuffer(b"".join(rows.column(k).to_pylist()), kind) for k, kind in RAW.items()}
+    x = {k: np.frombuffer(b"".join(map(zlib.decompress, rows.column(k).to_pylist())), kind) for k, kind in RAW.items()}
     n, best = (seen.column(k).to_numpy().astype(np.int64) for k in ("n", "best"))
     n_best, count_sum = (pa.array(summed(summed(x["multiple"] * w[x["pair"]], x["unit_n"])[x["unit"]] * x["times"], x["doc_n"]), pa.int64()) for w in (best, n))
     flat = {k: rows.column(k).combine_chunks().flatten() for k in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "sha")}
