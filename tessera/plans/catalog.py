@@ -523,7 +523,15 @@ def cumulative_spend(spark, sf_dir):
     return limits.cumulative_spend(e, "cost", 60_000_000_000).select("event_id", "spent", "denied")
 
 
-@query()
+@query("""
+WITH r AS (SELECT event_id, user_id, ts, CAST(round(value * 1e6) AS BIGINT) AS cost FROM events WHERE ts IS NOT NULL),
+m AS (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) AS nth FROM r),
+d AS (SELECT *, sum(CASE WHEN nth <= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS today FROM m),
+o AS (SELECT *, CASE WHEN nth > 5 THEN 'ip_minute' WHEN today > 3 THEN 'ip_day' ELSE 'admit' END AS own FROM d),
+a AS (SELECT *, coalesce(sum(CASE WHEN own = 'admit' THEN 1 ELSE 0 END) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS admitted FROM o),
+p AS (SELECT *, coalesce(sum(CASE WHEN own = 'admit' AND admitted < 300 THEN greatest(coalesce(cost, 0), 0) ELSE 0 END) OVER (PARTITION BY date_trunc('month', ts) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM a)
+SELECT CAST(event_id AS BIGINT) AS event, CASE WHEN spent >= 200000000000 THEN 'month_budget' WHEN admitted >= 300 THEN 'global_day' ELSE own END AS decision FROM p
+""")
 def admission_sequence(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("cost", F.round(F.col("value") * 1e6).cast("long"))
     return limits.admission(e, 5, 3, 300, 200_000_000_000)
