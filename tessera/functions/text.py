@@ -232,10 +232,11 @@ def query_terms(c: Column | str) -> Column:
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
 
 
-def sanitize(c: Column | str, limit: int = 2000) -> Column:
-    """No tags, angle brackets, control or format characters; single spaces; at most limit characters."""
+def sanitize(c: Column | str, limit: int | None = 2000) -> Column:
+    """No tags, angle brackets, control or format characters; single spaces; at most limit characters (None: all)."""
     plain = F.regexp_replace(F.regexp_replace(_col(c), "<[^>]*>", " "), r"[<>]|[\p{Cc}\p{Cf}&&[^\s]]", "")
-    return F.left(F.trim(F.regexp_replace(plain, r"\s+", " ")), F.lit(limit))
+    clean = F.trim(F.regexp_replace(plain, r"\s+", " "))
+    return clean if limit is None else F.left(clean, F.lit(limit))
 
 
 def attribute(c: Column | str, limit: int = 200) -> Column:

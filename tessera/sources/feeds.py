@@ -18,7 +18,7 @@ RECORD = ["title", "abstract", "published_at", "authors", "doi", "pmid", "arxiv_
 
 
 def _text(c: Column) -> Column:
-    return F.coalesce(sanitize(c, 4000), F.lit(""))
+    return F.coalesce(sanitize(c, None), F.lit(""))
 
 
 def _date(year: Column, month: Column | None = None, day: Column | None = None) -> Column:

@@ -122,12 +122,13 @@ def refused(fragments: Column, sentinel: str) -> Column:
 
 
 def held_prefix(fragments: Column, sentinel: str) -> Column:
-    """How many leading fragments must be held back: while what has come, without leading white space, can be or is the sentinel's start."""
+    """How many leading fragments must be held back: while what has come could still become the sentinel. answers.shown()
+    says what a reader sees of an answer, refusals and leading white space included."""
     start = F.struct(F.lit("").alias("seen"), F.lit(0).alias("n"), F.lit(False).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         seen = F.concat(acc["seen"], x)
-        maybe = ~acc["out"] & F.startswith(F.lit(sentinel), F.substring(F.regexp_replace(seen, r"(?U)^\s+", ""), 1, len(sentinel)))
+        maybe = ~acc["out"] & F.startswith(F.lit(sentinel), seen)
         return F.struct(seen.alias("seen"), (acc["n"] + F.when(maybe, 1).otherwise(0)).alias("n"), (acc["out"] | ~maybe).alias("out"))
     return F.aggregate(fragments, start, step)["n"]
 

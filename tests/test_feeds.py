@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 """Parsers of the publication services' answers and of feeds."""
 
 import json
@@ -56,3 +58,9 @@ def test_arxiv_and_feeds(spark):
     rss = "<rss version='2.0'><channel><title>News</title><item><title>One</title><link>https://n.example.org/1</link><pubDate>Mon, 01 Jan 2024</pubDate><description>a &lt;b&gt;c&lt;/b&gt;</description></item><item><title>Two</title></item></channel></rss>"
     items = rows(feeds.feed_items(answers(spark, rss, atom, "<broken"), keep=["person"]))
     assert [(r["title"], r["url"], r["summary"], r["person"]) for r in items] == [("Dew point", "http://arxiv.org/abs/1902.00077v2", "Wet & cold", "p1"), ("One", "https://n.example.org/1", "a c", "p0"), ("Two", None, "", "p0")]
+
+
+def test_long_texts_stay_whole(spark):
+    from tessera.sources.feeds import _text
+
+    assert len(spark.range(1).select(_text(F.repeat(F.lit("word "), 2000)).alias("t")).first().t) == 9999
