@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,32 @@ def failing(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     return rows.select(F.col(key).cast("string").alias("key"), F.explode(checks).alias("rule"))
 
 
+def gated(rows: DataFrame, key: str, rules: dict[str, Column], refs: dict[str, tuple[str, DataFrame, str]] | None = None) -> tuple[DataFrame, Observation]:
+    """rows as they are, and an observation that fills while an action runs over them: broken_rules() reads it.
+
+    rules: conditions that must hold; null fails. refs: {rule: (column, dimension, its key)}, values (nulls are none) that
+    the dimension must have. The dimension's distinct keys meet the rows in a left join of the same plan, so writing
+    the rows is the only job. Metrics come from the tasks that write: a retried stage before them counts nothing twice.
+    """
+    bad = {name: ~F.coalesce(ok, F.lit(False)) for name, ok in rules.items()}
+    out = rows
+    for k, (name, (column, dimension, dim_key)) in enumerate((refs or {}).items()):
+        keys = dimension.select(F.col(dim_key).alias(f"_ref{k}"), F.lit(True).alias(f"_known{k}")).distinct()
+        out = out.join(keys, F.col(column) == F.col(f"_ref{k}"), "left")
+        bad[name] = F.col(column).isNotNull() & F.col(f"_known{k}").isNull()
+    seen = Observation()
+    metrics = [F.count("*").alias("rows")]
+    for k, (name, broken) in enumerate(bad.items()):
+        metrics += [F.count_if(broken).alias(f"n{k}:{name}"), F.min(F.when(broken, F.col(key).cast("string"))).alias(f"k{k}:{name}")]
+    return out.observe(seen, *metrics).select(*[F.col(f"`{c}`") for c in rows.columns]), seen
+
+
+def broken_rules(seen: Observation) -> dict[str, tuple[int, str | None]]:
+    """{rule: (rows that break it, the smallest key of these)} of a finished action."""
+    got = seen.get
+    return {name[name.index(":") + 1:]: (n, got["k" + name[1:]]) for name, n in got.items() if name[0] == "n" and ":" in name and n}
+
+
 def repeated(rows: DataFrame, *keys: Column | str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 

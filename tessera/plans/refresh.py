@@ -64,10 +64,10 @@ def refresh_gates(before: DataFrame, now: DataFrame, targets: DataFrame, health:
     checks.enforce(history.outage_ratio(health, rest).where(F.col("ratio") > most_failing), "a source is down")
 
 
-def refresh(root: str, before: DataFrame, now: DataFrame, health: DataFrame, documents: dict[str, DataFrame], contracts: dict, group: str = "division_ids") -> str:
-    """Gates first, then everything is staged, checked and published at once; returns the batch's path."""
+def refresh(root: str, before: DataFrame, now: DataFrame, health: DataFrame, documents: dict[str, DataFrame], contracts: dict, group: str = "division_ids", gates: dict | None = None) -> str:
+    """Gates on the change first, then everything is staged, checked (rules of rows while they are written) and published at once; returns the batch's path."""
     refresh_gates(before, now, refresh_targets(before, now), health, group)
-    return sinks.staged_commit(root, {"people": now, **documents}, contracts)
+    return sinks.staged_commit(root, {"people": now, **documents}, contracts, gates)
 
 
 def trainee_directory(roster: DataFrame, faculty: DataFrame, person_id: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.checks import ContractError
+from tessera.operators.checks import ContractError, broken_rules, gated
 
 
 def _fs(spark: SparkSession, path: str):
@@ -36,19 +36,33 @@ def publish(df: DataFrame, canonical: str, mirror: str) -> None:
         write_snapshot(df.sparkSession.read.parquet(canonical), mirror)
 
 
-def staged_commit(root: str, tables: dict[str, DataFrame], checks: dict[str, Callable[[dict[str, DataFrame]], DataFrame]]) -> str:
-    """Writes all tables to a new batch folder, runs the violation queries on what was written, and only then points
-    _current at it. Returns the batch's path; a broken check leaves _current as it was."""
+def staged_commit(root: str, tables: dict[str, DataFrame], checks: dict[str, Callable[[dict[str, DataFrame]], DataFrame]], gates: dict[str, tuple] | None = None) -> str:
+    """Writes all tables to a new batch folder, with the gates of each (key, rules, refs as of checks.gated) counted by
+    the job that writes it, then runs the violation queries on what was written, and only then points _current at it.
+    Returns the batch's path; a broken gate or check leaves _current as it was and the batch goes.
+
+    Rows' own rules and references belong into gates, which read nothing again. Checks are for what takes a shuffle of
+    its own, as repeated keys: they read the columns they need of the written table.
+    """
     spark = next(iter(tables.values())).sparkSession
     batch = f"{root}/batch-{uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.parquet(f"{batch}/{name}")
-    written = {name: spark.read.parquet(f"{batch}/{name}") for name in tables}
-    for name, check in checks.items():
-        if rows := check(written).limit(3).collect():
-            fs, p, _ = _fs(spark, batch)
-            fs.delete(p, True)
-            raise ContractError(f"{name}: {rows}")
+    try:
+        for name, df in tables.items():
+            if name in (gates or {}):
+                df, seen = gated(df, *gates[name])
+                df.write.parquet(f"{batch}/{name}")
+                if broken := broken_rules(seen):
+                    raise ContractError(f"{name}: {broken}")
+            else:
+                df.write.parquet(f"{batch}/{name}")
+        written = {name: spark.read.parquet(f"{batch}/{name}") for name in tables}
+        for name, check in checks.items():
+            if rows := check(written).limit(3).collect():
+                raise ContractError(f"{name}: {rows}")
+    except BaseException:
+        fs, p, _ = _fs(spark, batch)
+        fs.delete(p, True)
+        raise
     write_snapshot(spark.range(1).select(F.lit(batch).alias("batch")), f"{root}/_current")
     return batch
 

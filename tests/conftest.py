@@ -1,10 +1,12 @@
 import os
+import tempfile
 
 import pytest
 
 from tessera.session import local_session
 
 os.environ.setdefault("TZ", "UTC")
+os.environ["TESSERA_TEST_SOURCES"] = tempfile.mkdtemp(prefix="tessera-sources-")  # before the JVM starts, so that workers have it
 
 
 @pytest.fixture(scope="session")
