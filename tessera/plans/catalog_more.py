@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import checks, chunks, entity, graph, history, views
+from tessera.operators import checks, chunks, entity, graph, history, search_many, views
 from tessera.plans import refresh
 from tessera.plans.adapters import table, works
 from tessera.plans.catalog import E, query
@@ -355,3 +355,26 @@ def researcher_documents(spark, sf_dir):
         F.col("s_suppkey").alias("id"), F.col("s_name").alias("full_name"), F.lit("").alias("role"), F.col("n_name").alias("center"), F.lit("").alias("bio"), none.alias("expertise"), none.alias("group_ids"))
     made = chunks.researcher_documents(p, w).where(F.col("body").contains("Recent work: "))
     return made.select("id", F.regexp_replace("body", "\nTopics: [^\n]*", "").alias("body"))
+
+
+# -- many questions at once
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*') AS ts FROM documents), st AS (SELECT count(*) AS n, avg(CAST(len(ts) AS DOUBLE)) AS al FROM t),
+p AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS l, unnest(ts) AS term FROM t) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*')) AS term FROM benchmark),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al))) AS score FROM q JOIN p USING (term) JOIN df USING (term), st WHERE df <= greatest(8.0, n * 0.15) GROUP BY ALL)
+SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
+def bm25_questions(spark, sf_dir):
+    index = search_many.block_index(table(spark, sf_dir, "documents"), "doc_id", "text", fold=False)
+    asked = table(spark, sf_dir, "benchmark").select("item_id", T.tokens("text").alias("terms"))
+    return search_many.bm25_many(index, asked, "doc_id", "item_id", 10).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: greatest(-127, least(127, round(127 * x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))))) AS q FROM embeddings)
+SELECT question, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, vec_id) AS rank FROM
+(SELECT a.vec_id AS question, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a, v b WHERE a.vec_id % 20 = 0)) WHERE rank <= 10""")
+def dense_questions(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", T.quantize("embedding").alias("vector"))
+    asked = v.where("vec_id % 20 = 0").toDF("question", "q")
+    return search_many.dense_many(v, asked, 64, "vec_id", top=10)
