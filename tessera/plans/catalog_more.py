@@ -79,10 +79,10 @@ def identifiers(spark, sf_dir):
 
 
 @query(r"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'doi:10.1/' || source || CASE WHEN doc_id % 2 = 0 THEN '|pmid:' || doc_id ELSE '' END WHEN doc_id % 2 = 0 THEN 'pmid:' || doc_id
-ELSE 'title:' || trim(regexp_replace(lower(substr(text, 1, 60)), '[^\p{L}\p{N}]+', ' ', 'g')) END AS keys FROM documents""")
+ELSE 'title:' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) END AS keys FROM documents""")
 def work_identity_keys(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("doi:10.1/"), F.upper("source"))).otherwise("").alias("doi"),
-                                                 F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).alias("pmid"), F.lit("").alias("arxiv_id"), F.substring("text", 1, 60).alias("title"))
+                                                 F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).alias("pmid"), F.lit("").alias("arxiv_id"), F.col("text").alias("title"))
     return d.select("doc_id", F.array_join(T.work_keys(), "|").alias("keys"))
 
 
@@ -96,9 +96,9 @@ def work_kinds(spark, sf_dir):
     return o.select("o_orderkey", T.preprint_server("venue").alias("server"), T.work_type("kind", "venue").alias("kind"))
 
 
-@query(r"""SELECT conv_id, turn, substr(trim(regexp_replace(regexp_replace(regexp_replace('<p>' || text || '</p> <', '<[^>]*>', ' ', 'g'), '[<>]', '', 'g'), '\s+', ' ', 'g')), 1, 80) AS said FROM conversations""")
+@query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace('<p>' || text || '</p> <', '<[^>]*>', ' ', 'g'), '[<>]', '', 'g'), '\s+', ' ', 'g')) AS said FROM conversations""")
 def sanitized(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.sanitize(F.concat(F.lit("<p>"), "text", F.lit("</p> <")), 80).alias("said"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.sanitize(F.concat(F.lit("<p>"), "text", F.lit("</p> <")), None).alias("said"))
 
 
 @query(f"""WITH {E}, d AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node), m AS (SELECT min(n) AS lo, max(n) AS hi FROM d)
@@ -284,9 +284,9 @@ def collapsed_people(spark, sf_dir):
     return entity.collapse_people(t, f).withColumn("groups", F.array_join("groups", ","))
 
 
-@query("SELECT doc_id, ordinal, word AS item FROM (SELECT doc_id, unnest(string_split(substr(text, 1, 80), ' ')) AS word, unnest(range(1, len(string_split(substr(text, 1, 80), ' ')) + 1)) AS ordinal FROM documents)")
+@query("SELECT doc_id, ordinal, word AS item FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(1, len(string_split(text, ' ')) + 1)) AS ordinal FROM documents)")
 def ordinals(spark, sf_dir):
-    return entity.ordinals(table(spark, sf_dir, "documents").select("doc_id", F.split(F.substring("text", 1, 80), " ").alias("w")), "doc_id", "w")
+    return entity.ordinals(table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w")), "doc_id", "w")
 
 
 @query("""SELECT l_orderkey AS work_id, array_to_string(list(DISTINCT s_name ORDER BY s_name), ' ') AS people FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1""")
@@ -378,3 +378,77 @@ def dense_questions(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", T.quantize("embedding").alias("vector"))
     asked = v.where("vec_id % 20 = 0").toDF("question", "q")
     return search_many.dense_many(v, asked, 64, "vec_id", top=10)
+
+
+# -- single rules on the shop's tables and the pages
+
+@query("""SELECT client_id, name, city FROM clients WHERE coalesce(city, '') <> ''""")
+def contact_needed(spark, sf_dir):
+    """With no address set, whoever has a query is held back."""
+    return checks.needs_contact(table(spark, sf_dir, "clients").withColumn("pubmed_query", F.col("city")), " ").select("client_id", "name", "city")
+
+
+@query("""SELECT sale_id, status FROM sales s WHERE status IN ('held', 'open') AND EXISTS (SELECT 1 FROM clients c WHERE c.client_id = s.client_id AND c.source = 'web')""")
+def attention_rows(spark, sf_dir):
+    targets = table(spark, sf_dir, "clients").where("source = 'web'")
+    return views.needs_attention(table(spark, sf_dir, "sales"), targets, ("held", "open"), "client_id").select("sale_id", "status")
+
+
+@query("""SELECT client_id, source FROM clients WHERE trim(email) <> '' OR trim(city) <> ''""")
+def citable_rows(spark, sf_dir):
+    return views.citable(table(spark, sf_dir, "clients"), ("email", "city")).select("client_id", "source")
+
+
+@query("""SELECT client_id, source, coalesce(n_name, 'Unknown') AS label FROM clients LEFT JOIN nation ON n_nationkey = nation_id""")
+def labelled_rows(spark, sf_dir):
+    return views.with_label(table(spark, sf_dir, "clients"), "nation_id", table(spark, sf_dir, "nation"), "n_nationkey", "n_name").select("client_id", "source", "label")
+
+
+@query("""SELECT page_id, coalesce(regexp_matches(url, '^https://[A-Za-z0-9.-]+([/?#].*)?$'), false) AS https, coalesce(regexp_matches(replace(url, '.', '-'), '^[a-z0-9]+(-[a-z0-9]+)*$'), false) AS slug,
+coalesce(nullif(trim(url), ''), 'none') AS url FROM pages""")
+def page_forms(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.is_https("url").alias("https"), T.is_slug(F.replace("url", F.lit("."), F.lit("-"))).alias("slug"), F.coalesce(T.non_blank("url"), F.lit("none")).alias("url"))
+
+
+@query("""SELECT page_id, 'https://p.test/x/' || page_id || CASE WHEN page_id % 3 = 0 THEN '?v=' || page_id ELSE '' END AS link FROM pages WHERE page_id % 2 = 0
+UNION ALL SELECT page_id, '' FROM pages WHERE page_id % 2 = 1""")
+def profile_links(spark, sf_dir):
+    """Paths against a base, with parameters and fragments; another host's are none."""
+    p, k = table(spark, sf_dir, "pages"), F.col("page_id").cast("string")
+    own = F.concat(F.lit("../x/"), k, F.lit(";s=1"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("?v="), k)).otherwise(""), F.lit("#top"))
+    return p.select("page_id", T.profile_url("https://p.test/y/z", "p.test")(F.when(F.col("page_id") % 2 == 0, own).otherwise(F.concat(F.lit("https://q.test/"), k))).alias("link"))
+
+
+@query("""SELECT conv_id, turn, 'delta' AS event, text AS said FROM conversations""")
+def event_frames(spark, sf_dir):
+    """Each turn as a frame of a stream and back."""
+    c = table(spark, sf_dir, "conversations")
+    frames = c.select("conv_id", "turn", F.explode(T.parse_sse(F.concat(T.sse_frame("delta", F.struct("text")), F.lit("event: rest")))).alias("f"))
+    return frames.select("conv_id", "turn", "f.event", F.from_json("f.data", "text string").getField("text").alias("said"))
+
+
+@query(r"""SELECT client_id, source, array_to_string(list_filter(w, lambda x, i: x <> '' AND NOT list_contains(w[1:i - 1], x)), '|') AS ids FROM
+(SELECT client_id, source, regexp_split_to_array(lower(concat_ws(', ', name, source, name)), '[\s,]+') AS w FROM clients)""")
+def id_lists(spark, sf_dir):
+    return table(spark, sf_dir, "clients").select("client_id", "source", F.array_join(T.parse_ids(F.concat_ws(", ", "name", "source", "name")), "|").alias("ids"))
+
+
+@query("""SELECT click_id, CASE click_id % 3 WHEN 0 THEN 'https://s.test/@' || click_id WHEN 1 THEN 'https://s.test/' || click_id ELSE '' END AS link,
+CASE WHEN click_id % 2 = 0 THEN lpad(CAST(click_id % 10000 AS VARCHAR), 4, '0') || '-0002-0003-004X' END AS orcid FROM clicks""")
+def handles(spark, sf_dir):
+    k = F.col("click_id").cast("string")
+    c = table(spark, sf_dir, "clicks")
+    handle = F.when(F.col("click_id") % 3 == 0, F.concat(F.lit("https://s.test/@"), k)).when(F.col("click_id") % 3 == 1, F.concat(F.lit(" @"), k)).otherwise(" ")
+    page = F.when(F.col("click_id") % 2 == 0, F.concat(F.lit("https://orcid.org/"), F.lpad((F.col("click_id") % 10000).cast("string"), 4, "0"), F.lit("-0002-0003-004x"))).otherwise("none")
+    return c.select("click_id", T.expand_handle(handle, "https://s.test/").alias("link"), T.orcid_id(page).alias("orcid"))
+
+
+@query("""SELECT CASE click_id % 4 WHEN 0 THEN '10.0.0.' || client_id % 250 WHEN 1 THEN '2001:db8::' || click_id % 9 ELSE '203.0.113.' || client_id % 250 END AS address, count(*) AS n FROM
+(SELECT click_id, CAST(client_id AS BIGINT) AS client_id FROM clicks WHERE client_id IS NOT NULL) GROUP BY 1""")
+def client_addresses(spark, sf_dir):
+    """Clicks by the first hop outside the trusted networks; chains of trusted hops alone give their first."""
+    c = table(spark, sf_dir, "clicks").where("client_id is not null").withColumn("k", (F.col("client_id").cast("long") % 250).cast("string"))
+    chain = (F.when(F.col("click_id") % 4 == 0, F.concat(F.lit("10.0.0."), "k", F.lit(", 10.9.9.9")))
+             .when(F.col("click_id") % 4 == 1, F.concat(F.lit("1.2.3.4, 2001:db8::"), (F.col("click_id") % 9).cast("string"), F.lit(", fd00::1")))
+             .otherwise(F.concat(F.lit("203.0.113."), "k", F.lit(" 10.1.1.1"))))
+    return c.select(T.client_address(["10.0.0.0/8", "fd00::/8"])(chain).alias("address")).groupBy("address").agg(F.count("*").alias("n"))
