@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is logistic in hashed word and word-prefix features, each counted once; the
-document's probability is the noisy-or 1 - prod(1 - p). Only documents are labelled: the likelihood of the bag
+A document is a bag of sentences. A sentence's score is logistic in hashed word and word-prefix features. Each different
+word of the sentence counts once, in training and in scoring, whatever stands around it; the document's probability is the noisy-or 1 - prod(1 - p). Only documents are labelled: the likelihood of the bag
 labels trains the sentence model, which then locates the offending sentences.
 
 The model is fitted on a bounded sample of labelled rows: at most SAMPLE rows of each class, taken by hash of the
@@ -49,17 +49,16 @@ def buckets(word: str) -> list[int]:
 
 
 class Scores(dict):
-    """Token to the sum of its features' weights; forgets all when it has grown large."""
+    """Word to the sum of its features' weights; forgets all when it has grown large."""
 
     def __init__(self, weights: np.ndarray, most: int = 300_000):
         super().__init__()
         self.weights, self.most = weights, most
 
-    def __missing__(self, token: str) -> float:
+    def __missing__(self, word: str) -> float:
         if len(self) > self.most:
             self.clear()
-        at = [b for w in _WORD.findall(token) for b in buckets(w)]
-        value = self[token] = float(self.weights[at].sum()) if at else 0.0
+        value = self[word] = float(self.weights[buckets(word)].sum())
         return value
 
 
@@ -68,7 +67,7 @@ class Model:
         self.weights, self.bias = weights, bias
 
     def logit(self, sentence: str, scores: Scores) -> float:
-        return self.bias + sum(map(scores.__getitem__, set(sentence.lower().split())))
+        return self.bias + sum(map(scores.__getitem__, dict.fromkeys(_WORD.findall(sentence.lower()))))
 
     def sentences(self, text: str, scores: Scores) -> tuple[list[tuple[int, int]], np.ndarray]:
         """Spans of the sentences and their logits."""

@@ -135,9 +135,8 @@ def test_toxicity_stage_is_the_noisy_or_of_its_sentences(stages, spark, folder):
         rest = 1.0
         for s in re.split(r"[.!?\n]+", text):
             z = bias
-            for token in {t for t in s.lower().split()}:
-                for word in re.findall(r"\w+", token):
-                    z += w[zlib.crc32(b"w" + word.encode()) % len(w)] + sum(w[zlib.crc32(b"p" + word[:k].encode()) % len(w)] for k in (4, 5, 6) if len(word) > k)
+            for word in set(re.findall(r"\w+", s.lower())):
+                z += w[zlib.crc32(b"w" + word.encode()) % len(w)] + sum(w[zlib.crc32(b"p" + word[:k].encode()) % len(w)] for k in (4, 5, 6) if len(word) > k)
             if s:
                 rest *= 1 - 1 / (1 + math.exp(-z))
         return 1 - rest < 0.5
@@ -146,6 +145,15 @@ def test_toxicity_stage_is_the_noisy_or_of_its_sentences(stages, spark, folder):
     assert sum("vilest" in (r["text"] or "") for r in before.collect()) > 20
 
 
+def test_a_word_counts_once_whatever_stands_around_it():
+    weights = np.zeros(toxicity.BUCKETS)
+    weights[zlib.crc32(b"wbad") % toxicity.BUCKETS] = 2.0
+    model = toxicity.Model(weights, -5.0)
+    for text in ("bad bad", 'bad "bad (bad) Bad,', "bad-bad-bad", "a bad: b bad; c"):
+        assert model.logit(text, toxicity.Scores(weights)) == -3.0
+    assert model.logit("badly", toxicity.Scores(weights)) == model.logit("...", toxicity.Scores(weights)) == -5.0
+
+
 def test_exact_stage_keeps_one_row_of_each_text(stages):
     _, before, after = stages[2]
     groups = {}
