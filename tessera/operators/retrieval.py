@@ -65,12 +65,15 @@ def build_index(chunks: DataFrame, previous: DataFrame, embedder, dims: int) ->
     return held.join(fresh, "id", "left").withColumn("vector", F.coalesce("vector", "_v")).drop("_v")
 
 
-def postings(chunks: DataFrame, key: str = "id", text: str = "body", fold: bool = True) -> DataFrame:
-    """key, term, tf, length."""
+def postings(chunks: DataFrame, key: str = "id", text: str = "body", fold: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """key, term, tf, length; with only (column term), of these terms."""
     from tessera.functions.text import fold_plural, tokens
     terms = F.transform(tokens(text), fold_plural) if fold else tokens(text)
     lists = chunks.select(key, terms.alias("_t")).withColumn("length", F.size("_t").cast("long"))
-    return lists.select(key, "length", F.explode("_t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    each = lists.select(key, "length", F.explode("_t").alias("term"))
+    if only is not None:
+        each = each.join(only.select("term").distinct(), "term", "left_semi")
+    return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def corpus_stats(chunks: DataFrame, text: str = "body", fold: bool = True) -> DataFrame:

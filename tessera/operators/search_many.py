@@ -30,12 +30,12 @@ class BlockIndex:
     stats: DataFrame
 
 
-def block_index(chunks: DataFrame, key: str = "id", text: str = "body", fold: bool = True, size: int = 64) -> BlockIndex:
-    """Tokenises the corpus once. A block is some size chunks, by a hash of the key; terms in more than max(8, 0.15 n) chunks
+def block_index(chunks: DataFrame, key: str = "id", text: str = "body", fold: bool = True, size: int = 64, only: DataFrame | None = None) -> BlockIndex:
+    """Tokenises the corpus once. only (column term): an index for these terms' questions alone, whose other postings go before any shuffle. A block is some size chunks, by a hash of the key; terms in more than max(8, 0.15 n) chunks
     are dropped here, as they would be from every question. Null texts have no terms but count in n."""
     stats = materialize(corpus_stats(chunks, text, fold), "stats")
     n = stats.first()["n"]
-    lists = postings(chunks, key, text, fold).crossJoin(F.broadcast(stats))  # a row
+    lists = postings(chunks, key, text, fold, only).crossJoin(F.broadcast(stats))  # a row
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     block = F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // size))))
     held = materialize(lists.select(block.alias("block"), "term", key, impact.alias("impact")), "postings")

@@ -366,8 +366,8 @@ df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al))) AS score FROM q JOIN p USING (term) JOIN df USING (term), st WHERE df <= greatest(8.0, n * 0.15) GROUP BY ALL)
 SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def bm25_questions(spark, sf_dir):
-    index = search_many.block_index(table(spark, sf_dir, "documents"), "doc_id", "text", fold=False)
     asked = table(spark, sf_dir, "benchmark").select("item_id", T.tokens("text").alias("terms"))
+    index = search_many.block_index(table(spark, sf_dir, "documents"), "doc_id", "text", fold=False, only=asked.select(F.explode("terms").alias("term")))
     return search_many.bm25_many(index, asked, "doc_id", "item_id", 10).withColumn("score", F.round("score", 6))
 
 

@@ -13,8 +13,8 @@ def test_bm25_of_many_questions_is_that_of_each(spark, sf):
     words = [r["term"] for r in retrieval.term_frequencies(docs, "doc_id", "text").orderBy(F.desc("df"), "term").collect()]
     ask = [("rare", words[-3:]), ("mixed", [words[len(words) // 50], words[-1], words[-1]]), ("all", words[::40]), ("none", ["nosuchword"]), ("empty", []), ("null", None)]
     questions = spark.createDataFrame(ask, "question string, terms array<string>")
-    for size, top in ((4, 3), (64, 300)):
-        index = search_many.block_index(docs, "doc_id", "text", fold=False, size=size)
+    for size, top, only in ((4, 3, None), (64, 300, questions.select(F.explode("terms").alias("term")))):
+        index = search_many.block_index(docs, "doc_id", "text", fold=False, size=size, only=only)
         got = {}
         for r in search_many.bm25_many(index, questions, "doc_id", top=top, seeds=2).orderBy("question", "rank").collect():
             got.setdefault(r["question"], []).append((r["doc_id"], round(r["score"], 6)))
