@@ -293,7 +293,8 @@ def l2_normalize(v: Column | str) -> Column:
     """Unit vector; a zero vector stays zero."""
     x = _col(v)
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, a: s + a.cast("double") * a.cast("double")))
-    return F.transform(x, lambda a: F.when(norm == 0, F.lit(0.0)).otherwise(a.cast("double") / norm))
+    # The norm as a variable of an outer lambda: inside the inner one it would be summed again for each component.
+    return F.element_at(F.transform(F.array(norm), lambda n: F.transform(x, lambda a: F.when(n == 0, F.lit(0.0)).otherwise(a.cast("double") / n))), 1)
 
 
 def quantize(v: Column | str, scale: int = 127) -> Column:

@@ -9,6 +9,7 @@ from tessera.operators import checks, chunks, entity, graph, history, search_man
 from tessera.plans import refresh
 from tessera.plans.adapters import table, works
 from tessera.plans.catalog import E, query
+from tessera.session import materialize
 from tessera.streaming import limits
 
 NORM = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z ]+', ' ', 'g'), ' +', ' ', 'g'))"
@@ -375,7 +376,7 @@ def bm25_questions(spark, sf_dir):
 SELECT question, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, vec_id) AS rank FROM
 (SELECT a.vec_id AS question, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a, v b WHERE a.vec_id % 20 = 0)) WHERE rank <= 10""")
 def dense_questions(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("vec_id", T.quantize("embedding").alias("vector"))
+    v = materialize(table(spark, sf_dir, "embeddings").select("vec_id", T.quantize("embedding").alias("vector")), "int8")
     asked = v.where("vec_id % 20 = 0").toDF("question", "q")
     return search_many.dense_many(v, asked, 64, "vec_id", top=10)
 
