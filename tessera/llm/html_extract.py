@@ -13,11 +13,17 @@ characters and frequent strings of its parts. It decides which slots are text:
   and comments that say so in a whole class word are out;
 * other class words (sidebar, tags, notice ...) are only hints: they count together with one of the first two, or,
   outside the article, with a small share of the text;
-* where there is an article or a main block, only its slots are in, and its own strings and lists stay.
-
-What would take the greater part of a page away (a host of copies of one page) isn't applied to that page. Parts of a
-page that the wrapper doesn't hold are judged by the page alone: elements deeper than DEPTH, and optional parts that
-were seen least once a wrapper has more than PARTS.
+* headings of template that lead to text that varies, and unmarked paragraphs of template between such text, stay: they
+  are an article's own ("Abstract", "Method"); so does a list of varying links beside varying text: its references;
+* where there is an article or a main block, only its slots are in. There an element of its own (a container, or one
+  with marks) whose strings are all template is a notice, and one whose links are, a menu: out. All else stays. Of
+  several articles those that begin with a link of their whole first run are teasers of other pages: out beside
+  one that doesn't.
+
+What would take the greater part of a page away (a host of copies of one page) isn't applied to that page. Elements
+deeper than DEPTH stand in the wrapper beside their holder instead of in it. Optional parts that were seen least, once
+a wrapper has more than PARTS, are judged by the page alone. Numbers in ids, and of three and more digits in class
+words, are one mark.
 
 Pages of a partition are aligned there, host by host; the partial wrappers of a host are merged in a tree of groups of
 at most FAN, so no task sees all pages, or all partial wrappers, of a host.
@@ -44,7 +50,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded_batches, columns
 from tessera.session import materialize
 
-#: Levels of elements that a wrapper holds, its most parts, parts side by side that are aligned in order, the strings that a slot remembers, partial wrappers that are merged at once.
+#: Levels of elements that a wrapper nests, its most parts, parts side by side that are aligned in order, the strings that a slot remembers, partial wrappers that are merged at once.
 DEPTH, PARTS, WIDE, STRINGS, FAN = 100, 2000, 256, 64, 64
 #: Different pages of a host from which on a repeated string is template, and the share of the pages that must have it.
 MIN_PAGES, TEMPLATE = 3, 0.5
@@ -60,7 +66,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 OUT_TAGS = frozenset("nav footer header aside form head script style noscript template svg textarea title iframe object canvas button select option dialog menu figure-ad".split())
 MAIN_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3".split())
+TITLES = frozenset("h1 h2 h3 h4 h5 h6 dt th caption figcaption legend summary".split())
 CONTAINERS = frozenset("div section ul ol dl table".split())
+LISTS = frozenset("ul ol dl".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search menubar menu toolbar dialog alertdialog form".split())
 CLOSED_BY = {"p": frozenset("p div ul ol li table h1 h2 h3 h4 h5 h6 section article aside header footer nav form pre blockquote dl figure main hr".split()),
              "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
@@ -101,9 +109,9 @@ def lex(page: str) -> Iterator[tuple[str, str, str]]:
         marks = []
         if "=" in piece:
             for k, a, b, c in _ATTR.findall(piece):
-                if k.lower() in ("class", "id", "role"):
-                    marks += re.split(r"[\s_]+", (a or b or c).lower())
-        yield "open", tag, " ".join(sorted({re.sub(r"\d+", "0", w) for w in marks if w}))
+                if (k := k.lower()) in ("class", "id", "role"):
+                    marks += re.split(r"[\s_]+", re.sub(r"\d{3,}" if k == "class" else r"\d+", "0", (a or b or c).lower()))
+        yield "open", tag, " ".join(sorted({w for w in marks if w}))
         if tag in RAW and not piece.endswith("/>"):
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
             pos = end.start() if end else n
@@ -112,14 +120,15 @@ def lex(page: str) -> Iterator[tuple[str, str, str]]:
 class Node:
     """A block element with its parts in order, or a run of text. chars, link_chars and links count all that is below."""
 
-    __slots__ = ("label", "tag", "parts", "text", "chars", "link_chars", "links", "path", "depth")
+    __slots__ = ("label", "tag", "parts", "text", "chars", "link_chars", "links", "path", "base", "depth")
 
     def __init__(self, label: str, parent: Node | None, text: str = "", link_chars: int = 0, links: int = 0):
         self.label, self.tag = label, label.split(" ", 1)[0]
         self.parts: list[Node] = []
         self.text, self.chars, self.link_chars, self.links = text, len(text), link_chars, links
-        self.path = zlib.crc32(label.encode("utf-8", "surrogatepass"), parent.path if parent else 0)
+        self.path = zlib.crc32(label.encode("utf-8", "surrogatepass"), parent.base if parent else 0)
         self.depth = parent.depth + 1 if parent else 0
+        self.base = parent.base if parent and self.depth >= DEPTH else self.path  # what paths below go on from
 
 
 def _marked(label: str, words: frozenset, parts: bool = False) -> bool:
@@ -238,9 +247,21 @@ def expression(nodes: list[Node]) -> dict:
     def of(node: Node) -> list:
         if node.label == TEXT:
             return [TEXT, [], 1, node.chars, node.link_chars, node.links, {_hash(node.text): 1}]
-        inside = [] if node.tag in OUT_TAGS or node.depth >= DEPTH else fold([of(c) for c in node.parts])
+        inside = [] if node.tag in OUT_TAGS or node.depth >= DEPTH else fold([of(c) for c in level(node)])
         return [node.label, inside, 1, node.chars, node.link_chars, node.links, {}]
 
+    def level(node: Node) -> list[Node]:
+        """The parts of a node; from DEPTH on with all that is below them, in page order."""
+        if node.depth + 1 < DEPTH:
+            return node.parts
+        out, todo = [], list(reversed(node.parts))
+        while todo:
+            x = todo.pop()
+            out.append(x)
+            if x.tag not in OUT_TAGS:
+                todo.extend(reversed(x.parts))
+        return out
+
     return {"pages": 1, "kinds": [zlib.crc32("\n".join(n.text for n in nodes if n.label == TEXT).encode("utf-8", "surrogatepass"))], "chars": root.chars, "parts": fold([of(c) for c in root.parts])}
 
 
@@ -420,6 +441,17 @@ def _roles(label: str) -> bool:
     return not OUT_ROLES.isdisjoint(label.split(" ")[1:])
 
 
+def _teaser(article: Node) -> bool:
+    """Whether the first run is a link from end to end."""
+    todo = [article]
+    while todo:
+        x = todo.pop()
+        if x.label == TEXT:
+            return x.link_chars >= x.chars
+        todo.extend(c for c in reversed(x.parts) if c.chars and c.tag not in OUT_TAGS)
+    return False
+
+
 def read_page(nodes: list[Node], rules: Rules) -> str:
     """The text of the slots that are in, block by block."""
     root = nodes[0]
@@ -440,6 +472,8 @@ def read_page(nodes: list[Node], rules: Rules) -> str:
         return found["main"] or found["article"]
 
     mains = main_inside(root)
+    if len(mains) > 1 and not all(teasers := [_teaser(m) for m in mains]):
+        mains = [m for m, other in zip(mains, teasers, strict=True) if not other]
     holders = set()  # what holds a main block is never out for its marks
     up = {id(c): n for n in nodes for c in n.parts}
     for m in mains:
@@ -448,19 +482,59 @@ def read_page(nodes: list[Node], rules: Rules) -> str:
             holders.add(id(x))
             x = up.get(id(x))
 
-    def template(run: Node) -> bool:
-        return run.path in rules.template and _hash(run.text) in rules.template[run.path]
+    fixed = {id(n) for n in nodes if n.label == TEXT and n.path in rules.template and _hash(n.text) in rules.template[n.path]}
+    # Of each node: runs that vary, their characters outside links, and template runs outside titles.
+    varying, plain, notices = ({id(n): 0 for n in nodes} for _ in range(3))
+    for n in reversed(nodes[1:]):
+        me, above = id(n), id(up[id(n)])
+        if n.label == TEXT:
+            varying[me], plain[me], notices[me] = int(me not in fixed), 0 if me in fixed else n.chars - n.link_chars, int(me in fixed)
+        elif n.tag in OUT_TAGS:
+            continue
+        varying[above] += varying[me]
+        plain[above] += plain[me]
+        notices[above] += 0 if n.tag in TITLES else notices[me]
+    around: dict[int, tuple[set[int], set[int], set[int]]] = {}
+
+    def beside(holder: Node) -> tuple[set[int], set[int], set[int]]:
+        """Parts of a node before which text varies, after which it does, and titles that lead to such text."""
+        if id(holder) not in around:
+            before, after, leads = set(), set(), set()
+            seen = False
+            for c in holder.parts:
+                if seen:
+                    before.add(id(c))
+                seen = seen or plain[id(c)] > 0 and c.tag not in TITLES
+            seen, open_to = False, [False] * 10
+            for c in reversed(holder.parts):
+                if seen:
+                    after.add(id(c))
+                if c.tag in TITLES:
+                    rank = int(c.tag[1]) if c.tag[0] == "h" else 7
+                    if open_to[rank]:
+                        leads.add(id(c))
+                    open_to[rank:] = [False] * (10 - rank)  # what follows this title is hidden from lower ones before it
+                elif plain[id(c)]:
+                    seen, open_to = True, [True] * 10
+            around[id(holder)] = before, after, leads
+        return around[id(holder)]
+
+    def own(run: Node) -> bool:
+        """Whether a template run is the article's: a title that leads to varying text, or an unmarked paragraph inside such text."""
+        block = up[id(run)]
+        holder = up.get(id(block))
+        if holder is None:
+            return False
+        before, after, leads = beside(holder)
+        return id(block) in leads if block.tag in TITLES else " " not in block.label and block.tag not in CONTAINERS and id(block) in before and id(block) in after
 
-    def all_template(node: Node) -> bool:
-        todo, any_ = [node], False
-        while todo:
-            x = todo.pop()
-            if x.label == TEXT:
-                if not template(x):
-                    return False
-                any_ = True
-            todo += x.parts
-        return any_
+    def references(node: Node) -> bool:
+        """An unmarked list of varying links after varying text of the same block."""
+        return node.tag in LISTS and " " not in node.label and varying[id(node)] > 0 and id(node) in beside(up[id(node)])[0]
+
+    def notice(node: Node) -> bool:
+        """An element of its own, of template alone, that isn't only titles."""
+        return not varying[id(node)] and notices[id(node)] > 0 and node.tag not in TITLES and (node.tag in CONTAINERS or " " in node.label)
 
     def out(node: Node, inside: bool) -> bool:
         if node.tag in OUT_TAGS or _roles(node.label):
@@ -475,25 +549,27 @@ def read_page(nodes: list[Node], rules: Rules) -> str:
         if _marked(node.label, PLAIN_MARKS):
             return True
         if _marked(node.label, HINTS, node.tag in CONTAINERS):
-            if menu or all_template(node):
+            if menu or not varying[id(node)]:
                 return True
             return not inside and node.chars < SMALL * root.chars and (not rules.known or _marked(node.label, HINTS) or _marked(node.label, OWN_ARTICLES, True))
         return False
 
     def collect(top: Node, inside: bool) -> list[tuple[str, bool]]:
         """Runs that are in, with whether they are template."""
-        got, todo = [], list(reversed(top.parts))
+        got: list[tuple[str, bool]] = []
+        todo = [(c, False, False) for c in reversed(top.parts)]
         while todo:
-            x = todo.pop()
+            x, listed, noticed = todo.pop()
             if x.label == TEXT:
-                got.append((x.text, not inside and template(x)))
-            elif x.chars and not out(x, inside):
-                todo.extend(reversed(x.parts))
+                got.append((x.text, noticed if inside else id(x) in fixed and not own(x)))
+            elif x.chars:
+                listed = listed or not inside and references(x)
+                if not out(x, inside or listed):
+                    noticed = noticed or inside and id(x) not in holders and notice(x)
+                    todo.extend((c, listed, noticed) for c in reversed(x.parts))
         return got
 
-    if mains:
-        return "\n".join(t for m in mains for t, _ in collect(m, True))
-    got = collect(root, False)
+    got = [x for m in mains or [root] for x in collect(m, bool(mains))]
     if sum(len(t) for t, x in got if x) > MOST * sum(len(t) for t, _ in got):
         return "\n".join(t for t, _ in got)
     return "\n".join(t for t, x in got if not x)

@@ -421,3 +421,70 @@ def test_containers_around_the_article_stay(spark):
     rows = [(10 * k + n, f"https://k{k}.example.com/{n}", "<html><body>" + html.format(10 * k + n) + "</body></html>") for k, html in enumerate(kinds) for n in range(3)]
     got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"First words of {i}.\nAnd more of {i}." for i, _, _ in rows}
+
+
+def texts_of_host(pages: list[str]) -> list[str]:
+    rules = rules_of(pages)
+    return [html_extract.read_page(html_extract.parse(p), rules) for p in pages]
+
+
+WORDS = "amber birch cedar delta ember fjord grove haven inlet juniper kelp lagoon".split()
+
+
+def prose(k: int, salt: int) -> str:
+    return " ".join(WORDS[(k * 7 + salt * 5 + j * (k + salt + 1)) % 12] + str(k) for j in range(9)) + "."
+
+
+def test_template_inside_an_article_is_out():
+    """Notices and menus that every page of a host has go, also inside the article and without telling names."""
+    box = "<div class='xa'>Subscribe now to our letter.</div><ul><li><a href=/a>One</a><li><a href=/b>Two</a><li><a href=/c>Three</a><li><a href=/d>Four</a></ul>"
+    for tag in ("article", "main", "div"):
+        pages = [f"<body><{tag}><h1>Title {k}</h1><p>{prose(k, 1)}</p>{box}<p>{prose(k, 2)}</p></{tag}></body>" for k in range(8)]
+        assert texts_of_host(pages) == [f"Title {k}\n{prose(k, 1)}\n{prose(k, 2)}" for k in range(8)]
+    alone = html_extract.Rules(html_extract.align(None, html_extract.expression([html_extract.Node("", None)])))
+    assert "Subscribe" in html_extract.read_page(html_extract.parse("<body><article>" + box + "<p>x y z</p></article>"), alone)  # the wrapper tells, not the page
+
+
+def test_recurring_headings_paragraphs_and_references_stay():
+    for tag in ("article", "div"):
+        pages = [f"<body><p class=n>Site of all</p><{tag}><h1>T{k}</h1><h2>Abstract</h2><p>{prose(k, 1)}</p><p>We thank the editors.</p><h2>Method</h2><h3>Data</h3><p>{prose(k, 2)}</p>"
+                 f"<h2>References</h2><p>{prose(k, 3)}</p><ol>{''.join(f'<li><a href=/{k}{j}>Work {k} of {j}</a>' for j in range(5))}</ol></{tag}><div><h3>More</h3><ul><li><a href=/x>X</a><li><a href=/y>Y</a><li><a href=/z>Z</a></ul></div></body>"
+                 for k in range(8)]
+        want = ["\n".join([f"T{k}", "Abstract", prose(k, 1), "We thank the editors.", "Method", "Data", prose(k, 2), "References", prose(k, 3), *(f"Work {k} of {j}" for j in range(5))]) for k in range(8)]
+        assert texts_of_host(pages) == want
+
+
+def test_headings_that_lead_to_no_text_of_the_page_are_out():
+    pages = [f"<body><div><h2>Topic {k}</h2><p>{prose(k, 1)}</p><h2>Stay in touch</h2><p>Write to us.</p></div></body>" for k in range(6)]
+    assert texts_of_host(pages) == [f"Topic {k}\n{prose(k, 1)}" for k in range(6)]
+
+
+@pytest.mark.parametrize("deep", [20, 99, 100, 101, 120, 700])
+def test_depth_does_not_matter(deep):
+    pages = [f"<body><div><p>{prose(k, 1)}</p></div>{'<div>' * deep}<b>Notice of the house</b><p>{prose(k, 4)}</p>{'</div>' * deep}</body>" for k in range(5)]
+    assert texts_of_host(pages) == [f"{prose(k, 1)}\n{prose(k, 4)}" for k in range(5)]
+
+
+def test_digits_of_class_words_tell_slots_apart():
+    pages = [f"<body><div class=c7><a href=/1>Home</a><a href=/2>News</a><a href=/3>Shop</a></div><div class=c9>All of us say so.</div><div id=post-{k} class='post-{k + 12345}'><p>{prose(k, 1)}</p></div></body>" for k in range(6)]
+    assert texts_of_host(pages) == [prose(k, 1) for k in range(6)]
+    assert html_extract.regex(wrapper_of(pages)).count("<div post-0>") == 1  # numbers of pages are one mark, so their slots meet
+
+
+def test_teasers_of_other_pages_are_out():
+    card = "<article><h3><a href=/n{0}>Next: story {0}</a></h3><p>Teaser of {0}.</p></article>"
+    pages = [f"<body><article><h1>Story {k}</h1><p>{prose(k, 1)}</p></article>{card.format(k + 1)}</body>" for k in range(5)]
+    assert texts_of_host(pages) == [f"Story {k}\n{prose(k, 1)}" for k in range(5)]
+    listing = "<body>" + card.format(1) + card.format(2) + "</body>"
+    assert html_extract.read_page(html_extract.parse(listing), rules_of([listing])).count("Teaser") == 2  # a page of teasers is theirs
+
+
+def test_copies_of_one_page_and_odd_ids(spark):
+    page = "<body><article><div class=body><p>The same page, many times.</p><p>It stays.</p></div></article></body>"
+    other = "<body><article><div class=body><p>{0} is alone.</p></div></article></body>"
+    rows = [(None if k % 3 == 0 else 5, "https://c.example.com/p", page if k < 8 else other.format(k)) for k in range(12)] + [(5, None, None), (None, None, "")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    want = [(i, u, "" if not h else "The same page, many times.\nIt stays." if k < 8 else f"{k} is alone.") for k, (i, u, h) in enumerate(rows)]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "", x[2])
+    assert sorted(((r["page_id"], r["url"], r["text"]) for r in got), key=key) == sorted(want, key=key)
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
