@@ -6,7 +6,9 @@ multinomial logistic regression over its distinct word 1- to 3-grams. The classe
 "unknown"; a temperature and the bias of "unknown", calibrated on material apart from the training texts, turn
 logits into probabilities, and a unit without a known gram has the bias alone, which is unknown. What the
 classifier names (a line: its best class; a paragraph: each family above "unknown") is confirmed by template
-comparison: the share of the grams of the family's best template that the unit contains.
+comparison: the share of the grams of the family's best template that the unit contains; templates of at most
+SHORT grams, like "MIT License", must stand there whole. The operands of a licence expression ("MIT OR Apache-2.0", or
+what follows "SPDX-License-Identifier:") are units of their own, without their versions, so each of them is named.
 
 Training is small and local to the driver: the templates below, cut and mixed with filler in fixed ways. Hint words
 are those without which less than the confirming share of any template is left, so the filter misses nothing that
@@ -36,8 +38,9 @@ TEMPLATES = {
             "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom "
             "the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
             "Released under the MIT License.", "Licensed under the MIT license", "SPDX-License-Identifier: MIT",
-            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+            "MIT License"),
+    "apache-2.0": ("Apache License", "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0",
                    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
                    "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
                    "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
@@ -47,29 +50,67 @@ TEMPLATES = {
             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 "
             "of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
             "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-            "licensed under the GNU Lesser General Public License", "GNU Affero General Public License version 3"),
+            "licensed under the GNU Lesser General Public License", "GNU Affero General Public License version 3",
+            "GNU General Public License", "GNU Lesser General Public License", "GNU Affero General Public License", "GNU Library General Public License"),
     "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
             "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the "
             "above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
             "following disclaimer in the documentation and/or other materials provided with the distribution.",
-            "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"),
+            "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "BSD 2-Clause License", "BSD License"),
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission "
-            "notice appear in all copies.", "SPDX-License-Identifier: ISC"),
+            "notice appear in all copies.", "SPDX-License-Identifier: ISC", "ISC License"),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-                "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
+                "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License"),
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "cc0": ("CC0 1.0 Universal Public Domain Dedication", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     "unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source "
                   "code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "SPDX-License-Identifier: Unlicense"),
+    "zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+             "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+             "zlib License"),
+    "boost": ("Distributed under the Boost Software License, Version 1.0.", "Boost Software License",
+              "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software"),
+    "epl": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution", "Eclipse Public License"),
+    "cddl": ("The contents of this file are subject to the terms of the Common Development and Distribution License", "Common Development and Distribution License"),
+    "eupl": ("Licensed under the EUPL, Version 1.2 or later", "European Union Public Licence"),
+    "artistic": ("Artistic License 2.0", "The Artistic License"),
+    "ofl": ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "SIL Open Font License"),
+    "psf": ("Python Software Foundation License", "PSF License Agreement"),
+    "ms-pl": ("Microsoft Public License",),
+    "postgresql": ("PostgreSQL License",),
+    "ncsa": ("University of Illinois/NCSA Open Source License",),
+    "0bsd": ("BSD Zero Clause License",),
+    "wtfpl": ("Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",),
+    "gfdl": ("GNU Free Documentation License", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License"),
+    "odbl": ("Open Database License", "This database is made available under the Open Database License"),
+    "upl": ("The Universal Permissive License",),
+    "cecill": ("This software is governed by the CeCILL license under French law and abiding by the rules of distribution of free software.", "CeCILL License"),
+    "mulan": ("Mulan Permissive Software License",),
+    "busl": ("Business Source License",),
+    "sspl": ("Server Side Public License",),
+    "elastic": ("Elastic License 2.0",),
+    "cc-by-nd": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    "cc-by-nc-sa": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    "cc-by-nc-nd": ("Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     "proprietary": ("All rights reserved.", "Copyright (c) 2020 Example Corp. All rights reserved.", "Unauthorized copying of this file is strictly prohibited. Proprietary and confidential."),
 }
+# Standard identifiers of the families, without their versions.
+IDENTIFIERS = {
+    "mit": ("MIT", "MIT-0"), "apache-2.0": ("Apache",), "gpl": ("GPL", "LGPL", "AGPL"), "bsd": ("BSD-2-Clause", "BSD-3-Clause"), "isc": ("ISC",), "mpl-2.0": ("MPL",), "cc-by": ("CC-BY",), "cc-by-sa": ("CC-BY-SA",),
+    "cc-by-nc": ("CC-BY-NC",), "cc0": ("CC0",), "unlicense": ("Unlicense",), "zlib": ("Zlib",), "boost": ("BSL",), "epl": ("EPL",), "cddl": ("CDDL",), "eupl": ("EUPL",), "artistic": ("Artistic",), "ofl": ("OFL",),
+    "psf": ("PSF", "Python"), "ms-pl": ("MS-PL",), "postgresql": ("PostgreSQL",), "ncsa": ("NCSA",), "0bsd": ("0BSD",), "wtfpl": ("WTFPL",), "gfdl": ("GFDL",), "odbl": ("ODbL",), "upl": ("UPL",), "cecill": ("CECILL",),
+    "mulan": ("MulanPSL",), "busl": ("BUSL",), "sspl": ("SSPL",), "elastic": ("Elastic",), "cc-by-nd": ("CC-BY-ND",), "cc-by-nc-sa": ("CC-BY-NC-SA",), "cc-by-nc-nd": ("CC-BY-NC-ND",),
+}
 # Sentences with words of licences that aren't one.
 NOT_LICENCES = ("she has a driving license and a fishing license", "he was granted a licence to practise medicine", "the terms and conditions of the contract are met",
                 "all rights and duties of the citizens", "free software is a matter of liberty", "the general public was not admitted to the work", "permission to enter was not granted",
                 "version 3 of the public file", "use in source and binary forms", "the apache helicopter", "he studied at mit in cambridge", "gnu and lion", "subject to the terms of the lease",
-                "the author of this work", "creative people in common rooms", "the tables were reserved for the guests", "we met by the university library")
+                "the author of this work", "creative people in common rooms", "the tables were reserved for the guests", "we met by the university library",
+                "an eclipse of the sun in public view", "the boost in software sales", "the server side of the counter", "an elastic band and a zip", "the open database of birds", "a business source close to the board",
+                "the european union and the public", "development and distribution of the product", "the artistic director of the house", "a python in the zoo", "her license expired in may", "the license of the pub",
+                "the office of software licenses", "fonts and database tables")
 # Notices and sentences in other words than the templates, for calibration alone.
 HELD_OUT = {
     "mit": ("This project is made available under the terms of the MIT license, see LICENSE.", "MIT licensed, see the file COPYING for the full text", "Code in this folder: MIT License (c) the contributors"),
@@ -79,6 +120,9 @@ HELD_OUT = {
     "isc": ("Permission to use, copy and distribute this software for any purpose with or without fee is granted",), "mpl-2.0": ("Files here are under the Mozilla Public License, v. 2.0",),
     "cc-by": ("Text is available under the Creative Commons Attribution 4.0 International License", "Content: CC BY 4.0."), "cc-by-sa": ("Text is available under the Creative Commons Attribution-ShareAlike 4.0 licence",),
     "cc-by-nc": ("Figures are licensed CC BY-NC 4.0 only",), "cc0": ("Dedicated to the public domain, CC0 1.0 Universal",), "unlicense": ("free and unencumbered software, released into the public domain",),
+    "zlib": ("The code is under the zlib license, see zlib.h",), "boost": ("Use of this header is subject to the Boost Software License 1.0",), "epl": ("Contributed under the Eclipse Public License 1.0",),
+    "artistic": ("You may use it under the Artistic License",), "ofl": ("The fonts come under the SIL Open Font License",), "psf": ("Taken from Python under the PSF License Agreement",), "busl": ("Business Source License 1.1",),
+    "gfdl": ("The manual has the GNU Free Documentation License, version 1.3",), "cc-by-nc-sa": ("Slides: licensed under CC BY-NC-SA 4.0",),
     "proprietary": ("Copyright 2019 the publisher, all rights reserved", "Proprietary and confidential, do not copy"),
     "unknown": ("the council granted the company a license to operate the ferry", "all conditions for the use of the hall are listed below", "his rights were reserved for a later hearing",
                 "she holds permission to use the library at any time", "the public works department published its general report", "a copy of the letter was distributed to the members",
@@ -90,8 +134,27 @@ WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 GRAMS = 3
 #: Lines without a hint word that may stand between two lines of a paragraph.
 GAP = 2
-#: A prediction is confirmed if this share of a template's grams stands in the paragraph.
-CONFIRM = 0.6
+#: A prediction is confirmed if this share of a template's grams stands in the paragraph; all of them in templates of at most SHORT.
+CONFIRM, SHORT = 0.6, 3
+VERSION = r"(?:-v?\d+(?:\.\d+)*)?(?:-only|-or-later|-Universal)?\+?"
+TAG = "SPDX-License-Identifier: "
+
+
+def _phrases() -> dict[str, tuple[str, ...]]:
+    """The templates of each family with those of its identifiers."""
+    return {c: tuple(dict.fromkeys((*ps, *(TAG + i for i in IDENTIFIERS.get(c, ()))))) for c, ps in TEMPLATES.items()}
+
+
+def known_identifier() -> str:
+    """A pattern of one standard identifier with its version; group 1 is without."""
+    names = sorted((re.escape(i) for ids in IDENTIFIERS.values() for i in ids), key=lambda x: (-len(x), x))
+    return rf"(?<![\w.+-])({'|'.join(names)}){VERSION}(?![\w+-]|\.\w)"
+
+
+def expression_pattern() -> str:
+    """Two known identifiers at least, joined by OR or AND, for texts as they are."""
+    one = rf"\(*{known_identifier()}(?: WITH [\w.-]+)?\)*"
+    return rf"{one}(?:\s+(?:OR|AND)\s+{one})+"
 
 
 def _grams(text: str) -> set[str]:
@@ -107,7 +170,7 @@ def model(steps: int = 300, rate: float = 0.5, l2: float = 1e-3) -> tuple[dict[s
     """
     filler = [f"zz{k}q" for k in range(40)]
     rows: list[tuple[set[str], str]] = []
-    for family, phrases in TEMPLATES.items():
+    for family, phrases in _phrases().items():
         for k, p in enumerate(phrases):
             words = p.split()
             versions = [p, " ".join(filler[k:k + 6] + words), " ".join(words + filler[k + 3:k + 11])]
@@ -164,7 +227,7 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, list[str], list[tuple[str,
     """gram, w (a weight for each class, then a 1 for each template that holds it): as long as the fixed templates; classes; template families and sizes."""
     weights, bias, temperature = model()
     classes = list(bias)
-    templates = [(c, _grams(p)) for c, ps in TEMPLATES.items() for p in ps]
+    templates = [(c, _grams(p)) for c, ps in _phrases().items() for p in ps]
     grams = sorted({g for c in weights.values() for g in c} | {g for _, gs in templates for g in gs})
     rows = [{"gram": g, "w": [weights[c].get(g, 0.0) for c in classes] + [float(g in gs) for _, gs in templates]} for g in grams]
     return _literal(spark, rows, "gram:string,w:array<double>"), classes, [(c, len(gs)) for c, gs in templates], bias, temperature
@@ -185,7 +248,7 @@ def hint_pattern(confirm: float = CONFIRM) -> str:
         return re.search(f"(?<![a-z0-9]){re.escape(word)}", gram) is not None
 
     words: set[str] = set()
-    for grams in sorted((_grams(p) for phrases in TEMPLATES.values() for p in phrases), key=lambda g: (len(g), min(g))):
+    for grams in sorted((_grams(p) for phrases in _phrases().values() for p in phrases), key=lambda g: (len(g), min(g))):
         left = {g for g in grams if not any(holds(g, w) for w in words)}
         order = [g for g in grams if " " not in g]
         while len(left) >= confirm * len(grams):  # long words first, then those in most grams
@@ -206,9 +269,11 @@ def _runs(n: int) -> F.Column:
 
 
 def units(body: DataFrame, hint: str, gap: int = GAP) -> DataFrame:
-    """rid (a number for the row), doc_id, th (hash of the text), line, last_line, p: the lines with a hint word, and paragraphs of more than one line."""
-    held = body.where(F.lower("text").rlike(hint)).select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("l"))
-    hits = held.withColumn("hits", F.filter(F.transform("l", lambda x, i: F.when(F.lower(x).rlike(hint), i)), lambda i: i.isNotNull()))
+    """rid (a number for the row), doc_id, th (hash of the text), line, last_line, part, p: the lines with a hint word or an expression, paragraphs of more than one line (part 0), and the operands of a line's expressions (part 1 and on)."""
+    joined = expression_pattern()
+    told = lambda x: F.lower(x).rlike(hint) | x.rlike(joined)
+    held = body.where(told(F.col("text"))).select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("l"))
+    hits = held.withColumn("hits", F.filter(F.transform("l", lambda x, i: F.when(told(x), i)), lambda i: i.isNotNull()))
 
     def new(k: F.Column) -> F.Column:
         before, now = F.get("hits", k - 1), F.get("hits", k)
@@ -217,8 +282,14 @@ def units(body: DataFrame, hint: str, gap: int = GAP) -> DataFrame:
 
     spans = F.arrays_zip(F.filter("hits", lambda h, k: new(k)).alias("s"), F.filter("hits", lambda h, k: F.when(k == F.size("hits") - 1, True).otherwise(new(k + 1))).alias("e"))
     made = F.concat(F.transform("hits", lambda h: F.struct(h.alias("s"), h.alias("e"))), F.filter(spans, lambda x: x["e"] > x["s"]))
-    return hits.withColumn("u", F.explode(made)).select(
+    whole = hits.withColumn("u", F.explode(made)).select(
         "rid", "doc_id", "th", F.col("u.s").alias("line"), F.col("u.e").alias("last_line"), F.array_join(F.slice("l", F.col("u.s") + 1, F.col("u.e") - F.col("u.s") + 1), " ").alias("p"))
+    # operands of "A OR B" and of what follows the tag, on a line
+    after = F.regexp_extract_all("p", F.lit(rf"(?i:SPDX-License-Identifier:?)\s*(\(*[\w.+-]+\)*(?:\s+(?i:OR|AND|WITH)\s+\(*[\w.+-]+\)*)*)"), 1)
+    bare = F.regexp_extract_all("p", F.lit(f"({joined})"), 1)
+    operands = F.regexp_extract_all(F.array_join(F.concat(after, bare), " ; "), F.lit(known_identifier()), 1)
+    own = F.when(F.col("line") == F.col("last_line"), F.transform(F.array_distinct(operands), lambda x: F.concat(F.lit(TAG), x))).otherwise(F.array().cast("array<string>"))
+    return whole.select("rid", "doc_id", "th", "line", "last_line", F.posexplode(F.concat(F.array("p"), own)).alias("part", "p"))
 
 
 def scan(docs: DataFrame, confirm: float = CONFIRM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,14 +301,14 @@ def scan(docs: DataFrame, confirm: float = CONFIRM, id_col: str = "doc_id", text
     body = texts(docs, id_col, text_col)
     table, classes, templates, bias, temperature = _tables(spark)
     tokens = F.regexp_extract_all(F.lower("p"), F.lit(f"({WORD})"), 1)
-    key = ["rid", "doc_id", "th", "line", "last_line"]
+    key = ["rid", "doc_id", "th", "line", "last_line", "part"]
     grams = units(body, hint_pattern(confirm)).select(*key, tokens.alias("tok")).select(*key, F.explode(F.array_distinct(F.concat(*[_runs(n) for n in range(1, GRAMS + 1)]))).alias("gram"))
     n = len(classes)
     sums = grams.join(F.broadcast(table), "gram").groupBy(*key).agg(F.sum(F.when(F.exists(F.slice("w", 1, n), lambda x: x != 0), 1).otherwise(0)).alias("known"),
                                                                      *[F.sum(F.col("w")[j]).alias(f"z{j}") for j in range(n + len(templates))])
     root = F.sqrt(F.greatest(F.col("known"), F.lit(1)).cast("double"))
     z = [(F.col(f"z{j}") / root + F.lit(bias[c])) / F.lit(temperature) for j, c in enumerate(classes)]
-    share = {c: F.greatest(F.lit(0.0), *[F.col(f"z{n + k}") / size for k, (f, size) in enumerate(templates) if f == c]) for c in classes if c != UNKNOWN}
+    share = {c: F.greatest(F.lit(0.0), *[F.when(F.col(f"z{n + k}") >= (size if size <= SHORT else 0), F.col(f"z{n + k}") / size).otherwise(0.0) for k, (f, size) in enumerate(templates) if f == c]) for c in classes if c != UNKNOWN}
     scored = sums.select(*key, F.array(*z).alias("z"), F.array(*share.values()).alias("share"))
     top = F.array_max("z")
     whole = F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - top))
@@ -245,7 +316,11 @@ def scan(docs: DataFrame, confirm: float = CONFIRM, id_col: str = "doc_id", text
         "line", "last_line", c.alias("family"), F.round(F.exp(F.get("z", i) - top) / whole, 6).alias("probability"), F.round(F.get("share", i), 6).alias("overlap"),
         (F.get("share", i) >= confirm).alias("sure"), F.when(F.col("line") == F.col("last_line"), i == F.array_position("z", top).cast("int") - 1).otherwise(F.get("z", i) > F.get("z", F.lit(n - 1))).alias("told")))
     found = scored.select("rid", "doc_id", "th", F.explode(F.filter(named, lambda x: x["sure"] & x["told"])).alias("x"))
-    per_row = found.groupBy("rid", "doc_id", "th").agg(F.array_sort(F.collect_list(F.col("x").dropFields("sure", "told"))).alias("every"))
+    every = found.groupBy("rid", "doc_id", "th").agg(F.array_sort(F.collect_list(F.col("x").dropFields("sure", "told"))).alias("every"))
+    # a family that a line and its operands name is told once, with the best figures: the last of neighbours
+    following = lambda i, k: F.get("every", i + 1).getField(k)
+    once = F.filter("every", lambda x, i: ~F.coalesce((following(i, "line") == x["line"]) & (following(i, "last_line") == x["last_line"]) & (following(i, "family") == x["family"]), F.lit(False)))
+    per_row = every.withColumn("every", once)
     per_doc = per_row.groupBy("doc_id", "th").agg(F.max("every").alias("every"))  # equal rows have equal lists
     # Of a family on lines and in the paragraph around them, the lines are told.
     lines = F.filter("every", lambda y: y["line"] == y["last_line"])

@@ -249,12 +249,35 @@ def test_hint_words_miss_nothing():
             assert sum(not hint.search(g) for g in grams) < license_scan.CONFIRM * len(grams)
 
 
+def plain_operands(line):
+    """Names without version in expressions on a line, by splitting at blanks."""
+    names = {i for ids in license_scan.IDENTIFIERS.values() for i in ids}
+
+    def bare(word):
+        word = word.strip("()")
+        fits = [n for n in names if word.startswith(n) and re.fullmatch(r"(-v?\d+(\.\d+)*)?(-only|-or-later|-Universal)?\+?", word[len(n):])]
+        return max(fits, key=len, default=None)
+
+    words, found = line.split(), []
+    for k, w in enumerate(words):
+        tag = w.lower().rstrip(":") == "spdx-license-identifier"
+        if tag or bare(w):
+            at = k + 1 if tag else k
+            run = words[at:at + 1]
+            while at + 2 < len(words) and words[at + 1] in ("OR", "AND", "WITH"):
+                run.append(words[at + 2])
+                at += 2
+            if tag or sum(bare(x) is not None for x in run) > 1:
+                found += [bare(x) for x in run if bare(x)]
+    return list(dict.fromkeys(found))
+
+
 def plain_licences(text):
     """The scan in plain code: units, probabilities and overlaps from the model's numbers."""
     weights, bias, temperature = license_scan.model()
     hint = re.compile(license_scan.hint_pattern())
     lines = (text or "").split("\n")
-    hits = [k for k, x in enumerate(lines) if hint.search(x.lower())]
+    hits = [k for k, x in enumerate(lines) if hint.search(x.lower()) or plain_operands(x)]
     spans, k = [], 0
     while k < len(hits):
         j = k
@@ -262,16 +285,23 @@ def plain_licences(text):
             j += 1
         spans.append((hits[k], hits[j]))
         k = j + 1
-    found = []
-    for a, b in [(h, h) for h in hits] + [s for s in spans if s[1] > s[0]]:
-        grams = license_scan._grams(" ".join(lines[a:b + 1]))
+    units = [(a, b, " ".join(lines[a:b + 1])) for a, b in [(h, h) for h in hits] + [s for s in spans if s[1] > s[0]]]
+    units += [(h, h, "SPDX-License-Identifier: " + name) for h in hits for name in plain_operands(lines[h])]
+    best = {}
+    for a, b, unit in units:
+        grams = license_scan._grams(unit)
         known = sum(any(weights[c].get(g) for c in weights) for g in grams)
         z = {c: (sum(weights[c].get(g, 0.0) for g in grams) / max(1, known) ** 0.5 + bias[c]) / temperature for c in bias}
         total = sum(math.exp(v) for v in z.values())
         for c, phrases in license_scan.TEMPLATES.items():
-            overlap = max(len(grams & license_scan._grams(p)) / len(license_scan._grams(p)) for p in phrases)
+            overlap = 0.0
+            for p in [*phrases, *("SPDX-License-Identifier: " + i for i in license_scan.IDENTIFIERS.get(c, ()))]:
+                template = license_scan._grams(p)
+                if len(template) > 3 or template <= grams:
+                    overlap = max(overlap, len(grams & template) / len(template))
             if overlap >= license_scan.CONFIRM and (z[c] == max(z.values()) if a == b else z[c] > z["unknown"]):
-                found.append((a, b, c, math.exp(z[c]) / total, overlap))
+                best[a, b, c] = max(best.get((a, b, c), (0.0, 0.0)), (math.exp(z[c]) / total, overlap))
+    found = [(*k, *v) for k, v in best.items()]
     return sorted(x for x in found if x[0] == x[1] or not any(y[0] == y[1] and y[2] == x[2] and x[0] <= y[0] <= x[1] for y in found))
 
 
@@ -288,8 +318,10 @@ def test_licenses_equal_a_plain_scan_and_wrapped_headers_are_found(spark):
             longest = max(license_scan.TEMPLATES[family], key=len)
             texts.append("\n".join(["words before", "", wrapped(longest, width, mark), "", "words after"]))
             want.append(family)
+    expressions = ["MIT OR Apache-2.0", "# SPDX-License-Identifier: (MIT OR GPL-2.0-or-later) AND BSL-1.0", "SPDX-License-Identifier: EPL-2.0 WITH no-exception-1.0", "either MIT OR neither", "under ISC AND Zlib here",
+                   "SPDX-License-Identifier: CC-BY-NC-SA-4.0", "MIT-0 OR MITRE-2", "GPL-3.0+ OR LGPL-2.1-only OR MPL-2.0"]
     for _ in range(60):
-        parts = [rng.choice([rng.choice(prose), wrapped(rng.choice(rng.choice(list(license_scan.TEMPLATES.values()))), rng.choice([30, 60, 500]), rng.choice(["", "# "]))]) for _ in range(rng.randint(1, 8))]
+        parts = [rng.choice([rng.choice(prose), rng.choice(expressions), wrapped(rng.choice(rng.choice(list(license_scan.TEMPLATES.values()))), rng.choice([30, 60, 500]), rng.choice(["", "# "]))]) for _ in range(rng.randint(1, 8))]
         texts.append("\n".join(parts))
     texts += [None, "", "\n\n", "license " * 3000, "\n".join(["license"] * 3000)]
     df = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate([*texts, texts[0]])], "doc_id long, text string, p string, line int").union(
@@ -301,7 +333,7 @@ def test_licenses_equal_a_plain_scan_and_wrapped_headers_are_found(spark):
         assert [(x["line"], x["last_line"], x["family"]) for x in told] == [x[:3] for x in plain], t
         assert [y for x in told for y in (x["probability"], x["overlap"])] == pytest.approx([y for x in plain for y in x[3:]], abs=2e-6)
     assert [f in got[k]["families"] for k, f in enumerate(want)] == [True] * len(want)
-    assert got[0]["families"] == ["mit"]
+    assert [got[k]["families"] for k in range(len(want))] == [[f] for f in want]
 
 
 def test_calibration_is_on_other_material():
@@ -320,6 +352,24 @@ def plain_top(text):
     return max(bias, key=lambda c: sum(weights[c].get(g, 0.0) for g in grams) / max(1, known) ** 0.5 + bias[c])
 
 
+def test_titles_identifiers_and_expressions(spark):
+    want = {"The MIT License (MIT)": ["mit"], "Apache License\nVersion 2.0, January 2004": ["apache-2.0"], "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999": ["gpl"],
+            "SPDX-License-Identifier: GPL-2.0-only": ["gpl"], "BSD 2-Clause License": ["bsd"], "zlib License": ["zlib"], "Eclipse Public License - v 2.0": ["epl"], "Boost Software License - Version 1.0": ["boost"],
+            "Business Source License 1.1": ["busl"], "MIT OR Apache-2.0": ["apache-2.0", "mit"], "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSL-1.0": ["apache-2.0", "boost", "mit"],
+            "license: MIT OR GPL-3.0+": ["gpl", "mit"], "He studied at MIT OR at Yale": [], "she has a driving license from MIT": [], "SPDX-License-Identifier: NOASSERTION": []}
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(want)], "doc_id long, text string")
+    got = {r["doc_id"]: r["families"] for r in license_scan.scan(df).collect()}
+    assert [got[k] for k in range(len(want))] == list(want.values())
+    assert len(license_scan.TEMPLATES) >= 25 and set(license_scan.IDENTIFIERS) <= set(license_scan.TEMPLATES)
+
+
+def test_every_identifier_is_its_own_family(spark):
+    rows = [(c, f"SPDX-License-Identifier: {i}-2.0") for c, ids in license_scan.IDENTIFIERS.items() for i in ids]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["families"] for r in license_scan.scan(df).collect()}
+    assert [got[k] for k in range(len(rows))] == [[c] for c, _ in rows]
+
+
 def test_every_template_is_its_own_family(spark):
     rows = [(f"{c}{k}", c, p) for c, ps in license_scan.TEMPLATES.items() for k, p in enumerate(ps)]
     df = spark.createDataFrame([(k, "intro words\n" + p + "\nclosing words") for k, (_, _, p) in enumerate(rows)], "doc_id long, text string")
