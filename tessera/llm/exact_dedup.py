@@ -8,7 +8,7 @@ in the global order, and the runs that touch a partition's ends (two a partition
 
 Results for odd input: a null text is empty; empty texts equal one another; of equal texts the one with the
 most code points in its original, then the smallest doc_id stays; very long texts are compared in full; rows
-that repeat a doc_id give a row each, and a null doc_id comes after all others; an empty table gives no rows. exact_duplicates() never reads other columns;
+that repeat a doc_id give a row each, of which one at most is kept: of a group the first in the sort; a null doc_id comes after all others; an empty table gives no rows. exact_duplicates() never reads other columns;
 drop_duplicates() carries whole rows through, whatever their columns are called.
 """
 
@@ -27,7 +27,7 @@ from tessera.session import materialize
 
 #: Bytes of a text that a splitter may hold.
 PREFIX = 24
-RUNS = "doc_id long, sha string, first_id long, first_cp long, n long, edge boolean"
+RUNS = "doc_id long, sha string, first_id long, first_cp long, n long, edge boolean, head boolean"
 
 
 def normalized(text: Column) -> Column:
@@ -49,11 +49,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close(edge: bool) -> None:
         sha = hashlib.sha256(last).hexdigest()
         n = len(ids)
-        for col, value in zip(out, (ids, [sha] * n, [ids[0]] * n, [head] * n, [n] * n, [edge] * n), strict=True):
+        for col, value in zip(out, (ids, [sha] * n, [ids[0]] * n, [head] * n, [n] * n, [edge] * n, [True] + [False] * (n - 1)), strict=True):
             col.extend(value)
 
     def full() -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
         batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
         for c in out:
             c.clear()
@@ -92,7 +92,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     joined = runs.join(F.broadcast(whole), "sha", "left")
     keep = F.when(F.col("edge"), F.col("whole_id")).otherwise(F.col("first_id"))
     size = F.when(F.col("edge"), F.col("whole_n")).otherwise(F.col("n"))
-    return joined.select("doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    # Rows of one text and doc_id have one range key, so one partition: the first of its run is the only one to stay.
+    kept = F.col("head") & keep.eqNullSafe(F.col("doc_id"))
+    return joined.select("doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

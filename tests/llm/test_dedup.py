@@ -152,6 +152,14 @@ def test_exact_groups(spark):
         assert r["text_sha256"] == hashlib.sha256(norm[r["doc_id"]].encode()).hexdigest()
 
 
+def test_exact_keeps_one_row_of_a_group_whose_ids_repeat(spark):
+    rows = [(1, "a b"), (1, "a b"), (2, "ab"), (1, "ab"), (None, "x"), (None, "x"), (None, " x"), (4, "y"), (4, "z")] + [(7, "w w")] * 300 + [(k, "ww") for k in range(8, 900)]
+    got = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    kept = sorted(((r["doc_id"], r["keep_id"], r["group_size"]) for r in got if r["kept"]), key=str)
+    assert kept == sorted([(1, 1, 4), (None, None, 3), (4, 4, 1), (4, 4, 1), (7, 7, 1192)], key=str)
+
+
 def test_exact_drop_keeps_columns_and_repeated_rows_once(spark):
     df = spark.createDataFrame([(1, "a b", "en"), (1, "a b", "en"), (2, "ab", "de"), (3, None, None)], "doc_id long, text string, lang string")
     assert sorted(map(tuple, exact_dedup.drop_duplicates(df).collect()), key=str) == [(1, "a b", "en"), (3, None, None)]
