@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import dealt, materialize
 
 
-def derive_edges(works: DataFrame, members: str = "person_ids", year: str = "year") -> DataFrame:
+def derive_edges(works: DataFrame, members: str = "person_ids", year: str = "year", tasks: int | None = None) -> DataFrame:
     """Undirected edges (src < dst) between members of one work, with weight, first_year and last_year.
 
     Members are cast to the element type they have, blanks and repeats go; works with fewer than two give
     nothing. Years that are null or not positive don't count. A work's pairs stream out of two nested explodes, member
-    by member, so no row ever holds them all, and the only shuffle is that of the aggregate.
+    by member, so no row ever holds them all, and the only shuffle is that of the aggregate. With tasks (session.tasks_for)
+    it has so many: the pairs go as they are, since a table of partial sums before the shuffle grows with a task's share.
     """
     ids = F.array_sort(F.array_distinct(F.filter(F.col(members), lambda x: x.isNotNull() & (F.trim(x.cast("string")) != ""))))
     good = F.when(F.col(year) > 0, F.col(year))
-    return (works.select(ids.alias("_ids"), good.alias("_year")).where(F.size("_ids") > 1)
-            .select("_ids", "_year", F.posexplode("_ids").alias("_i", "src")).where(F.col("_i") + 1 < F.size("_ids"))
-            .select("src", "_year", F.explode(F.slice("_ids", F.col("_i") + 2, F.size("_ids"))).alias("dst")).groupBy("src", "dst")
+    pairs = (works.select(ids.alias("_ids"), good.alias("_year")).where(F.size("_ids") > 1)
+             .select("_ids", "_year", F.posexplode("_ids").alias("_i", "src")).where(F.col("_i") + 1 < F.size("_ids"))
+             .select("src", "_year", F.explode(F.slice("_ids", F.col("_i") + 2, F.size("_ids"))).alias("dst")))
+    return (dealt(pairs, tasks, "src", "dst").groupBy("src", "dst")
             .agg(F.count("*").alias("weight"), F.min("_year").alias("first_year"), F.max("_year").alias("last_year")))
 
 

@@ -5,22 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import graph
+from tessera.session import dealt, tasks_for
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """work_id (order), year, person_ids (suppliers): one aggregate of two columns of lineitem."""
-    people = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("work_id")).agg(F.collect_set("l_suppkey").alias("person_ids"))
+def line_tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """Tasks of a shuffle of lineitem, by its rows."""
+    return tasks_for(table(spark, sf_dir, "lineitem"))
+
+
+def works(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    """work_id (order), year, person_ids (suppliers): one aggregate of two columns of lineitem. tasks: line_tasks(), where it is known."""
+    n = tasks or line_tasks(spark, sf_dir)
+    lines = dealt(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("work_id"), F.col("l_suppkey").alias("person_id")), n, "work_id")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("work_id"), F.year("o_orderdate").alias("year"))
-    return people.join(orders, "work_id")
+    return lines.groupBy("work_id").agg(F.collect_set("person_id").alias("person_ids")).join(dealt(orders, n, "work_id"), "work_id")
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, weight, first_year, last_year of the works."""
+    n = line_tasks(spark, sf_dir)
+    return graph.derive_edges(works(spark, sf_dir, n), tasks=n)
 
 
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """work_id, person_id, year, title (the order's priority)."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("work_id"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("title"))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("work_id"), F.col("l_suppkey").alias("person_id")).distinct().join(orders, "work_id")
+    n = line_tasks(spark, sf_dir)
+    lines = dealt(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("work_id"), F.col("l_suppkey").alias("person_id")), n, "work_id")
+    return lines.distinct().join(dealt(orders, n, "work_id"), "work_id")
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.keywords import top_keywords
 from tessera.operators import checks, entity, graph, history, retrieval, views
-from tessera.plans.adapters import bridge, line_links, people, table, works
+from tessera.plans.adapters import bridge, edges, line_links, people, table, works
 from tessera.sources import html
 from tessera.streaming import limits
 
@@ -70,13 +70,13 @@ k AS (SELECT component, size, row_number() OVER (ORDER BY size DESC, component)
 
 @query(f"WITH {E} SELECT * FROM e")
 def edge_derivation(spark, sf_dir):
-    return graph.derive_edges(works(spark, sf_dir))
+    return edges(spark, sf_dir)
 
 
 @query(f"""WITH {E}, {P} SELECT src, dst, a.name AS src_name, b2.name AS dst_name, weight, first_year, last_year
 FROM e JOIN p a ON a.node = src JOIN p b2 ON b2.node = dst ORDER BY weight DESC, src, dst LIMIT 25""")
 def strongest_pairs(spark, sf_dir):
-    top = views.top_edges(graph.derive_edges(works(spark, sf_dir)), 25)
+    top = views.top_edges(edges(spark, sf_dir), 25)
     names = people(spark, sf_dir).select("node", "name")
     return top.join(names.toDF("src", "src_name"), "src").join(names.toDF("dst", "dst_name"), "dst").select("src", "dst", "src_name", "dst_name", "weight", "first_year", "last_year")
 
@@ -84,24 +84,24 @@ def strongest_pairs(spark, sf_dir):
 @query(f"""WITH {E} SELECT node, count(*) AS collaborators, CAST(sum(weight) AS BIGINT) AS shared_works
 FROM (SELECT src AS node, weight FROM e UNION ALL SELECT dst, weight FROM e) GROUP BY node""")
 def node_degree_strength(spark, sf_dir):
-    return graph.degrees(graph.derive_edges(works(spark, sf_dir)))
+    return graph.degrees(edges(spark, sf_dir))
 
 
 @query(f"WITH {E} SELECT * FROM e WHERE weight >= 28 AND coalesce(last_year, 0) >= 1999")
 def edge_filter_since(spark, sf_dir):
-    return graph.filter_edges(graph.derive_edges(works(spark, sf_dir)), 28, 1999)
+    return graph.filter_edges(edges(spark, sf_dir), 28, 1999)
 
 
 @query(f"""WITH {E}, {P} SELECT e.* FROM e JOIN p a ON a.node = src JOIN p b2 ON b2.node = dst
 WHERE a.grp IN ('ASIA', 'EUROPE') AND b2.grp IN ('ASIA', 'EUROPE') AND weight >= 20""")
 def group_subgraph(spark, sf_dir):
-    return graph.visible_subgraph(graph.derive_edges(works(spark, sf_dir)), people(spark, sf_dir), ["ASIA", "EUROPE"], 20)
+    return graph.visible_subgraph(edges(spark, sf_dir), people(spark, sf_dir), ["ASIA", "EUROPE"], 20)
 
 
 @query(f"""WITH {E}, {P}, v AS (SELECT src, dst FROM e WHERE weight >= 28)
 SELECT node, count(*) AS collaborators FROM (SELECT src AS node FROM v UNION ALL SELECT dst FROM v) GROUP BY node""")
 def visible_degrees(spark, sf_dir):
-    return graph.degrees(graph.filter_edges(graph.derive_edges(works(spark, sf_dir)), 28)).select("node", "collaborators")
+    return graph.degrees(graph.filter_edges(edges(spark, sf_dir), 28)).select("node", "collaborators")
 
 
 @query(f"""WITH {E}, {P},
@@ -110,13 +110,13 @@ w AS (SELECT count(*) AS shared_works FROM (SELECT w FROM b GROUP BY w HAVING co
 SELECT (SELECT count(*) FROM p) AS nodes, edges, cross_group_edges, shared_works FROM x, w""")
 def graph_stats(spark, sf_dir):
     p = people(spark, sf_dir)
-    return views.graph_stats(p.select("node"), graph.derive_edges(works(spark, sf_dir)), bridge(spark, sf_dir), p.select("node", F.col("nation").alias("grp")))
+    return views.graph_stats(p.select("node"), edges(spark, sf_dir), bridge(spark, sf_dir), p.select("node", F.col("nation").alias("grp")))
 
 
 @query(f"""WITH {E} SELECT other, weight, first_year, last_year FROM (
 SELECT src AS node, dst AS other, * EXCLUDE (src, dst) FROM e UNION ALL SELECT dst, src, * EXCLUDE (src, dst) FROM e) WHERE node = 7""")
 def ego_partners(spark, sf_dir):
-    return views.ego(graph.derive_edges(works(spark, sf_dir)), 7)
+    return views.ego(edges(spark, sf_dir), 7)
 
 
 @query(f"""WITH {B}, m AS (SELECT w, CAST(year(o_orderdate) AS BIGINT) AS year, o_orderpriority AS title FROM b JOIN orders ON o_orderkey = w WHERE p = 7 ORDER BY year DESC, title, w LIMIT 100),
@@ -352,7 +352,7 @@ def dup_pairs(spark, sf_dir):
 @query(f"""WITH {E}, {P} SELECT rule, src, dst FROM (SELECT 'weight' AS rule, src, dst FROM e WHERE weight < 1 UNION ALL
 SELECT 'unknown_src', src, dst FROM e WHERE src NOT IN (SELECT node FROM p WHERE grp = 'ASIA') UNION ALL SELECT 'unknown_dst', src, dst FROM e WHERE dst NOT IN (SELECT node FROM p WHERE grp = 'ASIA'))""")
 def graph_violations(spark, sf_dir):
-    return checks.graph_violations(graph.derive_edges(works(spark, sf_dir)), people(spark, sf_dir).where(F.array_contains("groups", "ASIA")))
+    return checks.graph_violations(edges(spark, sf_dir), people(spark, sf_dir).where(F.array_contains("groups", "ASIA")))
 
 
 @query("""SELECT k, p, side FROM (SELECT o_custkey AS k, o_orderpriority AS p, 'left' AS side FROM orders WHERE o_orderstatus = 'F' EXCEPT ALL SELECT o_custkey, o_orderpriority, 'left' FROM orders WHERE o_orderstatus = 'O')

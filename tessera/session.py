@@ -50,6 +50,22 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(rows: DataFrame, each: int = 500_000) -> int | None:
+    """How many tasks a shuffle of rows needs for some each rows a task; None where the session's own number gives no more.
+
+    A fixed number of shuffle partitions, or AQE that joins small ones, gives a task a share of the input that grows
+    with it. Counts the rows: of a stored table that reads the footers alone.
+    """
+    spark = rows.sparkSession
+    n = -(-rows.count() // each)
+    return n if n > min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) else None
+
+
+def dealt(rows: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """rows dealt by keys to so many tasks (tasks_for); None: as they are, what follows makes its own shuffle."""
+    return rows.repartition(tasks, *keys) if tasks else rows
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new place under the shared folder, not made yet; what is written there goes when the driver ends."""
     path = f"{scratch_root(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import checks, entity, graph, views
+from tessera.plans import adapters
+from tessera.session import tasks_for
 
 
 def works(spark, *rows):
@@ -112,3 +114,14 @@ def test_views(spark):
     assert took["skip"] == ["aaaa", "bb", "d"] and took["stop"] == ["aaaa", "bb"]
     cited = spark.createDataFrame([("see [b] and [a], [b]", ["[a]", "[b]", "[c]"])], "a string, m array<string>").select(views.citation_numbers(F.col("a"), F.col("m")).alias("c")).first()["c"]
     assert [(x["marker"], x["number"]) for x in cited] == [("[b]", 1), ("[a]", 2)]
+
+
+def test_shuffles_of_edges_grow_with_the_lines(spark, sf, monkeypatch):
+    """Works, pairs and the bridge are dealt to as many tasks as their rows need, whatever the session's number; the rows stay the same."""
+    before = sorted(map(tuple, adapters.edges(spark, sf).collect())), sorted(map(tuple, adapters.bridge(spark, sf).collect()))
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    assert tasks_for(lines) is None and tasks_for(lines, lines.count() // 22) in (22, 23) and tasks_for(lines.limit(0), 1) is None
+    monkeypatch.setattr(adapters, "tasks_for", lambda rows: 23)
+    edges_now, bridge_now = adapters.edges(spark, sf), adapters.bridge(spark, sf)
+    assert edges_now.rdd.getNumPartitions() == bridge_now.rdd.getNumPartitions() == adapters.works(spark, sf).rdd.getNumPartitions() == 23
+    assert (sorted(map(tuple, edges_now.collect())), sorted(map(tuple, bridge_now.collect()))) == before
