@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tessera.session import dealt
+
 
 class ContractError(ValueError):
     """A contract is broken."""
@@ -65,19 +65,20 @@ def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return ends.join(nodes.select("node"), "node", "left_anti")
 
 
-def graph_violations(edges: DataFrame, nodes: DataFrame, ordered_only: bool = False) -> DataFrame:
-    """rule, src, dst: self-loops, pairs that are there twice (in either order unless ordered_only), weight below 1, unknown ends."""
+def graph_violations(edges: DataFrame, nodes: DataFrame, ordered_only: bool = False, tasks: int | None = None) -> DataFrame:
+    """rule, src, dst: self-loops, pairs that are there twice (in either order unless ordered_only), weight below 1, unknown ends.
+
+    One pass tells all rules of an edge: its ends meet the distinct nodes in left joins that hash the nodes and stream the
+    edges. Repeated pairs are an aggregate of their own, of so many tasks (session.tasks_for).
+    """
     a, b = ("src", "dst") if ordered_only else (F.least("src", "dst"), F.greatest("src", "dst"))
-    twice = edges.groupBy(F.col(a).alias("src") if ordered_only else a.alias("src"), F.col(b).alias("dst") if ordered_only else b.alias("dst")).agg(F.count("*").alias("n")).where("n > 1")
-    ids = nodes.select("node")
-    parts = [
-        edges.where("src = dst").select(F.lit("self_loop").alias("rule"), "src", "dst"),
-        twice.select(F.lit("duplicate").alias("rule"), "src", "dst"),
-        edges.where(~(F.coalesce("weight", F.lit(0)) >= 1)).select(F.lit("weight").alias("rule"), "src", "dst"),
-        edges.join(ids.toDF("src"), "src", "left_anti").select(F.lit("unknown_src").alias("rule"), "src", "dst"),
-        edges.join(ids.toDF("dst"), "dst", "left_anti").select(F.lit("unknown_dst").alias("rule"), "src", "dst"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    twice = dealt(edges.select(F.col(a).alias("src") if ordered_only else a.alias("src"), F.col(b).alias("dst") if ordered_only else b.alias("dst")), tasks, "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("n")).where("n > 1")
+    ids = nodes.select("node").distinct()
+    known = lambda end: ids.select(F.col("node").alias(end), F.lit(True).alias(f"_{end}")).hint("shuffle_hash")
+    met = edges.join(known("src"), "src", "left").join(known("dst"), "dst", "left")
+    rules = {"self_loop": F.expr("src = dst"), "weight": ~(F.coalesce("weight", F.lit(0)) >= 1), "unknown_src": F.col("_src").isNull(), "unknown_dst": F.col("_dst").isNull()}
+    broken = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]), lambda x: x.isNotNull())
+    return met.select(F.explode(broken).alias("rule"), "src", "dst").unionByName(twice.select(F.lit("duplicate").alias("rule"), "src", "dst"))
 
 
 def layout_violations(points: DataFrame, bound: float = 1.001) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.keywords import top_keywords
 from tessera.operators import checks, entity, graph, history, retrieval, views
-from tessera.plans.adapters import bridge, edges, line_links, people, table, works
+from tessera.plans.adapters import bridge, edges, line_links, line_tasks, people, table, works
 from tessera.sources import html
 from tessera.streaming import limits
 
@@ -352,7 +352,7 @@ def dup_pairs(spark, sf_dir):
 @query(f"""WITH {E}, {P} SELECT rule, src, dst FROM (SELECT 'weight' AS rule, src, dst FROM e WHERE weight < 1 UNION ALL
 SELECT 'unknown_src', src, dst FROM e WHERE src NOT IN (SELECT node FROM p WHERE grp = 'ASIA') UNION ALL SELECT 'unknown_dst', src, dst FROM e WHERE dst NOT IN (SELECT node FROM p WHERE grp = 'ASIA'))""")
 def graph_violations(spark, sf_dir):
-    return checks.graph_violations(edges(spark, sf_dir), people(spark, sf_dir).where(F.array_contains("groups", "ASIA")))
+    return checks.graph_violations(edges(spark, sf_dir), people(spark, sf_dir).where(F.array_contains("groups", "ASIA")), tasks=line_tasks(spark, sf_dir))
 
 
 @query("""SELECT k, p, side FROM (SELECT o_custkey AS k, o_orderpriority AS p, 'left' AS side FROM orders WHERE o_orderstatus = 'F' EXCEPT ALL SELECT o_custkey, o_orderpriority, 'left' FROM orders WHERE o_orderstatus = 'O')
