@@ -29,8 +29,25 @@ def ascii_fold(s: pd.Series) -> pd.Series:
 
 
 def norm_name(c: Column | str) -> Column:
-    """Folded to ASCII, lower case, letters and single spaces only."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(ascii_fold(_col(c))), "[^a-z ]+", " "), " +", " "))
+    """Folded to ASCII, lower case, letters and single spaces only. Texts that are ASCII already don't go to Python."""
+    folded = F.coalesce(ascii_fold(F.when(_col(c).rlike(r"[^\x00-\x7F]"), _col(c))), _col(c))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(folded), "[^a-z ]+", " "), " +", " "))
+
+
+#: A text up to the first ASCII character after an ASCII letter that is no letter itself: folding can't join a word across it.
+_FIRST_WORD = r"^[^A-Za-z]*+[A-Za-z][A-Za-z[^\x00-\x7F]]*+[\x00-\x7F&&[^A-Za-z]]"
+
+
+def outer_words(c: Column | str) -> Column:
+    """What the first and the last word of a text's normalised name come from: name_key() of it is that of the text.
+
+    Folding takes each character for itself, so both ends may be cut where a word surely ends. A text whose two ends
+    overlap, or that has no such place, stays whole.
+    """
+    text = _col(c)
+    head, tail = F.regexp_extract(text, _FIRST_WORD, 0), F.reverse(F.regexp_extract(F.reverse(text), _FIRST_WORD, 0))
+    apart = (head != "") & (tail != "") & (F.length(head) + F.length(tail) <= F.length(text) + 1)
+    return F.when(apart, F.concat(head, tail)).otherwise(text)
 
 
 def slug(c: Column | str, default: str = "unassigned") -> Column:

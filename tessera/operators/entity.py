@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import name_key
+from tessera.functions.text import name_key, outer_words
 from tessera.operators.graph import connected, number_rows
 
 
@@ -22,12 +22,13 @@ def first_key_match(probe: DataFrame, build: DataFrame, probe_id: str, build_id:
 def unique_name_match(probe: DataFrame, people: DataFrame, probe_id: str, person_id: str, name: str = "name") -> DataFrame:
     """probe_id, match: the one person with the same first and last name token; null for none or several.
 
-    The people are aggregated to (count, least id) before the join, so a common name is no large list.
+    The people are aggregated to (count, least id) before the join, so a common name is no large list. Of a long name its
+    outer words alone are folded.
     """
-    known = people.select(name_key(name).alias("k"), person_id).where(F.col("k").isNotNull()).groupBy("k").agg(
+    known = people.select(outer_words(name).alias("_name"), person_id).select(name_key("_name").alias("k"), person_id).where(F.col("k").isNotNull()).groupBy("k").agg(
         F.count_distinct(person_id).alias("n"), F.min(person_id).alias("id"))
     one = known.where("n = 1").select("k", F.col("id").alias("match"))
-    return probe.select(probe_id, name_key(name).alias("k")).join(one, "k", "left").select(probe_id, "match")
+    return probe.select(probe_id, outer_words(name).alias("_name")).select(probe_id, name_key("_name").alias("k")).join(one, "k", "left").select(probe_id, "match")
 
 
 def overlay(base: DataFrame, changes: DataFrame, key: str, fields: list[str], has: str = "has_") -> DataFrame:

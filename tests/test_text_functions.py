@@ -93,3 +93,16 @@ def test_addresses_and_events(spark):
     assert [r["o"] for r in df.select(pick("x").alias("o")).collect()] == ["1.2.3.4", "10.0.0.2", "1.2.3.4", None]
     frames = spark.range(1).select(F.concat(T.sse_frame("meta", F.struct(F.lit(1).alias("a"))), T.sse_frame("done", F.struct(F.lit("x").alias("b"))), F.lit("event: cut\nda")).alias("s"))
     assert [(e["event"], e["data"]) for e in frames.select(T.parse_sse("s").alias("e")).first()["e"]] == [("meta", '{"a":1}'), ("done", '{"b":"x"}')]
+
+
+def test_outer_words_have_the_key_of_the_text(spark):
+    """The ends of a text that go to the folding function give the whole text's key, and are short for a long text."""
+    import random
+    some = random.Random(5)
+    signs = ["a", "B", "é", "ﬁ", "½", "中", " ", "  ", "-", "'", "3", "\n", "́", " ", "Å", "😀", "Ω", "o'b", "x y"]
+    texts = [None, "", " ", "ab", "ab ", " ab", "a b", "é b", "中 文", "½ab½", "Ana\nde la Cruz", "éa b", "a bé", "中a b中", " a "] + ["".join(some.choices(signs, k=some.randrange(1, 14))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.outer_words("t").alias("o"))
+    got = df.select("t", "o", T.name_key("t").alias("a"), T.name_key("o").alias("b")).collect()
+    assert [r["t"] for r in got if r["a"] != r["b"]] == [] and sum(r["a"] is not None for r in got) > 500
+    long = spark.createDataFrame([("José " + "ñandú word " * 50_000 + "Núñez",)], "t string").select(T.outer_words("t").alias("o")).first()["o"]
+    assert len(long) < 40
