@@ -33,7 +33,7 @@ def both_ways(edges: DataFrame, *keep: str) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """node, collaborators (edges at it) and shared_works (their weight)."""
-    return both_ways(edges, "weight").groupBy("node").agg(
+    return edges.select(F.explode(F.array("src", "dst")).alias("node"), "weight").groupBy("node").agg(
         F.count("*").alias("collaborators"), F.sum("weight").alias("shared_works"))
 
 
@@ -139,7 +139,7 @@ def visible_subgraph(edges: DataFrame, nodes: DataFrame, groups: list, minimum:
     if not groups:
         return kept
     wanted = F.array(*[F.lit(g) for g in groups])
-    ids = nodes.where(F.arrays_overlap("groups", wanted)).select("node")
+    ids = nodes.where(F.arrays_overlap("groups", wanted)).select("node").hint("shuffle_hash")
     return kept.join(ids.withColumnRenamed("node", "src"), "src", "left_semi").join(
         ids.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
