@@ -114,7 +114,7 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, bridge: DataFrame, group_of:
 
     nodes: node. group_of: node, grp. bridge: work_id, person_id.
     """
-    g = group_of.select("node", "grp")
+    g = group_of.select("node", "grp").hint("shuffle_hash")  # the nodes are hashed, so the edges need no sort
     crossed = edges.join(g.toDF("src", "g1"), "src").join(g.toDF("dst", "g2"), "dst").agg(
         F.count("*").alias("edges"), F.count_if(F.col("g1") != F.col("g2")).alias("cross_group_edges"))
     shared = bridge.join(nodes.select(F.col("node").alias("person_id")), "person_id", "left_semi").groupBy("work_id").agg(
