@@ -177,7 +177,7 @@ def topn_per_group(spark, sf_dir):
 @query("""SELECT DISTINCT w AS work_id FROM (SELECT w, row_number() OVER (PARTITION BY p ORDER BY y DESC, w) AS rn FROM (
 SELECT DISTINCT l_orderkey AS w, l_suppkey AS p, year(o_orderdate) AS y FROM lineitem JOIN orders ON o_orderkey = l_orderkey)) WHERE rn <= 5""")
 def newest_per_person_union(spark, sf_dir):
-    return views.newest_per_person(bridge(spark, sf_dir), 5)
+    return views.newest_per_person(bridge(spark, sf_dir), 5, line_tasks(spark, sf_dir))
 
 
 @query("""SELECT c_mktsegment AS program, count(*) AS roster, count(*) FILTER (WHERE c_custkey IN (SELECT o_custkey FROM orders)) AS with_works FROM customer GROUP BY 1""")

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_file
-from tessera.plans import catalog
+from tessera.plans import adapters, catalog
 
 
 def rows(frame):
@@ -74,3 +74,11 @@ def test_cache_hits_against_a_plain_fold(spark, sf):
             put[k] = r.ts
         want[r.event_id] = hit
     assert {r["event"]: r["hit"] for r in catalog.queries()["cache_hits_ttl"](spark, sf).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["newest_per_person_union", "edge_widths", "group_subgraph", "visible_degrees", "works_of_person", "graph_stats", "graph_violations", "node_sizes"])
+def test_same_rows_where_shuffles_are_dealt_by_rows(spark, sf, duck, name, monkeypatch):
+    """On larger tables the shuffles have a number of tasks of their own."""
+    monkeypatch.setattr(adapters, "tasks_for", lambda rows: 7)
+    got = catalog.queries()[name](spark, sf).toPandas()
+    assert rows(got) == rows(duck.sql(catalog.oracle_sql()[name]).df())

@@ -125,3 +125,27 @@ def test_shuffles_of_edges_grow_with_the_lines(spark, sf, monkeypatch):
     edges_now, bridge_now = adapters.edges(spark, sf), adapters.bridge(spark, sf)
     assert edges_now.rdd.getNumPartitions() == bridge_now.rdd.getNumPartitions() == adapters.works(spark, sf).rdd.getNumPartitions() == 23
     assert (sorted(map(tuple, edges_now.collect())), sorted(map(tuple, bridge_now.collect()))) == before
+
+
+def test_newest_of_a_person_in_parts(spark):
+    """A person's works are cut down in parts before they meet; repeated rows and years that are null change nothing."""
+    rows = [(w, p, None if w % 7 == 0 else 1990 + w % 11) for w in range(400) for p in ((0, 1) if w % 3 else (0,))]
+    bridge = spark.createDataFrame(rows + rows[:50], "work_id long, person_id long, year int")
+    want = {w for p in (0, 1) for w in sorted((r for r in rows if r[1] == p), key=lambda r: (-(r[2] or 0), r[0]))[:5] for w in w[:1]}
+    for tasks in (None, 6):
+        assert sorted(r["work_id"] for r in views.newest_per_person(bridge, 5, tasks).collect()) == sorted(want)
+
+
+def test_edges_are_read_once_for_degrees_and_for_the_rules_of_an_edge(spark):
+    """Degrees and the row rules take one pass over the edges; joins to nodes hash these and don't sort the edges."""
+    nodes, e = graph_of(spark, "abc", ["ab", "bc", "az"])
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+    seen = checks.graph_violations(e.withColumn("weight", F.col("weight") - 1), nodes.union(nodes), tasks=5)
+    assert sorted((r["rule"], r["dst"]) for r in seen.collect()) == [("unknown_dst", "z"), ("weight", "b"), ("weight", "c"), ("weight", "z")]
+    none = spark.createDataFrame([(None, "a", 1)], "src string, dst string, weight int")
+    assert [tuple(r) for r in checks.graph_violations(none, nodes).collect()] == [("unknown_src", None, "a")]
+    assert plan(graph.degrees(e)).count("Scan ExistingRDD") == 1
+    assert sorted(map(tuple, graph.degrees(e).collect())) == [("a", 2, 2), ("b", 2, 2), ("c", 1, 1), ("z", 1, 1)]
+    assert "SortMergeJoin" not in plan(seen)
