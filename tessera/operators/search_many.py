@@ -43,7 +43,9 @@ def block_index(chunks: DataFrame, key: str = "id", text: str = "body", fold: bo
     df = blocks.groupBy("term").agg(F.sum("df").alias("df")).where(F.col("df") <= max(8.0, n * 0.15))
     terms = materialize(df.select("term", F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "terms")
     most = blocks.join(terms, "term", "left_semi").select("term", F.pmod("block", F.lit(SALTS)).alias("salt"), "block", "most")
-    return BlockIndex(held, materialize(most.repartition("term", "salt").sortWithinPartitions("term"), "blocks"), terms, stats)
+    # What is scored reads no postings of terms that are too frequent: they are most rows, and would be shuffled for nothing.
+    kept = held.join(terms, "term", "left_semi") if only is not None else held
+    return BlockIndex(kept, materialize(most.repartition("term", "salt").sortWithinPartitions("term"), "blocks"), terms, stats)
 
 
 def _top(scores: DataFrame, by: list, order: list, n: int) -> DataFrame:
@@ -59,6 +61,7 @@ def surviving(index: BlockIndex, questions: DataFrame, key: str = "id", question
     asked = questions.select(question, F.explode(F.array_distinct("terms")).alias("term")).distinct().join(index.terms, "term")
     salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     bounds = salted.join(index.blocks.withColumn("salt", F.col("salt").cast("int")), ["term", "salt"]).groupBy(question, "block").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"))
+    bounds = materialize(bounds, "bounds")  # read twice
     first = _top(bounds, [question], [F.col("bound").desc(), "block"], seeds).select(question, "block")
     floor = _top(score_blocks(index, asked, first, key, question), [question], [F.col("score").desc(), key], top).where(F.col("rank") == top).select(question, F.col("score").alias("floor"))
     # The margin covers sums in another order and scores that are ordered by nine digits.

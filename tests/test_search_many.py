@@ -71,3 +71,11 @@ def test_int8_scores_are_those_of_dense(spark, sf):
     got = search_many.dense_many(v, asked, 64, "vec_id", top=5).where("question = 20").orderBy("rank").collect()
     want = retrieval.dense(v, v.where("vec_id = 20").select(F.col("vector").alias("q")), "vec_id", top=5).collect()
     assert [(r["vec_id"], r["score"]) for r in got] == [(r["vec_id"], int(r["score"])) for r in want]
+
+
+def test_an_index_of_asked_terms_scores_no_frequent_ones(spark):
+    """Postings of terms that are in too many documents don't go into the joins that score."""
+    docs = spark.createDataFrame([(k, f"all word{k % 9}") for k in range(90)], "doc_id long, text string")
+    asked = spark.createDataFrame([("all",), ("word3",), ("none",)], "term string")
+    index = search_many.block_index(docs, "doc_id", "text", fold=False, only=asked)
+    assert [r["term"] for r in index.postings.select("term").distinct().collect()] == ["word3"] and index.postings.count() == 10
