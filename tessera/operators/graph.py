@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import dealt, materialize
 
@@ -37,16 +42,68 @@ def degrees(edges: DataFrame) -> DataFrame:
         F.count("*").alias("collaborators"), F.sum("weight").alias("shared_works"))
 
 
+#: Edges that one task of contracted() replaces by a forest.
+EDGES = 250_000
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of these edges that aren't the smallest of their component, each with that smallest node."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[:len(a)], ends[len(a):]
+    low = np.arange(len(nodes))
+    while (open_ := low[a] != low[b]).any():
+        a, b = low[a[open_]], low[b[open_]]
+        np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(further := low[low], low):
+            low = further
+    far = np.flatnonzero(low != np.arange(len(low)))
+    return nodes[far], nodes[low[far]]
+
+
+def contracted(pairs: DataFrame, count: int) -> tuple[DataFrame, bool]:
+    """a, b: pairs (count of them) with the same components and no more edges than nodes in a task; whether these are the components.
+
+    A task takes EDGES pairs or so and gives each node's smallest one among them. If all pairs fit into one, that is the
+    smallest one reachable; else it is a start for the rounds of connected(). Nodes are integers or strings: other types stay as they are.
+    """
+    kind = pairs.schema["a"].dataType
+    if not isinstance(kind, (T.IntegralType, T.StringType)):
+        return pairs, False
+    tasks = max(1, -(-count // EDGES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def forest() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            a, b = stars(*(t.column(k).to_numpy() for k in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(a, t.schema.field(0).type), pa.array(b, t.schema.field(1).type)], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if held and sum(x.num_rows for x in held) + batch.num_rows > EDGES:
+                yield forest()
+                held.clear()
+            held.append(batch)
+        if held:
+            yield forest()
+
+    return pairs.coalesce(tasks).mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])), tasks == 1
+
+
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (smallest node reachable) for all nodes that have an edge to another node.
 
-    Alternates the large-star and small-star steps. Minima come from aggregates that combine before the
+    Tasks first replace their edges by forests (contracted()), and one task's are components already: a round of joins is
+    some nine shuffles, whose tasks the driver keeps book of however few the edges are. More edges than a task takes go on in rounds.
+
+    A round alternates the large-star and small-star steps. Minima come from aggregates that combine before the
     shuffle, and come back by equi-joins in which only hubs are salted, so a hub with a third of all edges
     doesn't end in one task. Each round is written to the shared folder. Needs src and dst of one orderable type.
     """
     now = materialize(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
                       .where(F.col("a") != F.col("b")).distinct(), "edges")
-    seen = _digest(now)
+    now, whole = contracted(now, now.count())
+    now = materialize(now, "edges")
+    seen = (0,) if whole else _digest(now)
     for _ in range(rounds):
         if seen[0] == 0:
             break

@@ -48,6 +48,28 @@ def test_long_chain_and_hub(spark):
     assert graph.connected(e.limit(0)).count() == 0
 
 
+def test_components_of_few_edges_take_few_jobs(spark):
+    """Rounds of joins over next to nothing are thousands of tasks for the driver."""
+    e = spark.createDataFrame([(k, k + 1) for k in range(300)], "src long, dst long")
+    spark.sparkContext.setJobGroup("few", "few")
+    try:
+        assert {r["component"] for r in graph.connected(e).collect()} == {0}
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) <= 10
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_of_more_edges_than_a_task_takes(spark, kind, monkeypatch):
+    """Forests of parts of the edges, then rounds: a chain, a hub, loops, repeats and both directions."""
+    monkeypatch.setattr(graph, "EDGES", 60)
+    pairs = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 1150)] + [(7, 7), (3, 2), (1, 0), (0, 1), (2000, 2001)]
+    e = spark.createDataFrame(pairs, "src long, dst long").select(*[F.lpad(c, 5, "0").alias(c) if kind == "string" else F.col(c) for c in ("src", "dst")]).repartition(5)
+    assert not graph.contracted(e.toDF("a", "b"), len(pairs))[1]
+    got = {int(r["node"]): int(r["component"]) for r in graph.connected(e).collect()}
+    assert got == {k: 0 for k in range(201)} | {k: 1000 for k in range(1000, 1150)} | {2000: 2000, 2001: 2000}
+
+
 def test_numbering_is_a_total_order(spark):
     rows = spark.createDataFrame([(k * 7 % 101, k % 5) for k in range(101)], "k long, g long").repartition(6)
     got = {r["k"]: r["n"] for r in graph.number_rows(rows, F.col("g").desc(), "k").collect()}
