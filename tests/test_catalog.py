@@ -82,3 +82,16 @@ def test_same_rows_where_shuffles_are_dealt_by_rows(spark, sf, duck, name, monke
     monkeypatch.setattr(adapters, "tasks_for", lambda rows: 7)
     got = catalog.queries()[name](spark, sf).toPandas()
     assert rows(got) == rows(duck.sql(catalog.oracle_sql()[name]).df())
+
+
+def test_work_identity_keys_of_odd_rows(spark, tmp_path):
+    texts = [None, "", " \n", "*** -- !", "\u0301", "ΟΔΟΣ Σ ΑΣ. ΑΣΑ", "\u0130stanbul \u0130", "\ua7cb x\ua7dcy", "\u0870\ua7c0 \U00010570\U00031350", "\u0663 ² Ⅷ", "ß ẞ \u01c5 \ufb01", "  Lead Trail  "]
+    sources = [None, "", "SRC1", "two words", " lead", "trail ", "x\ny", "ß", "É", "ΑΣ", "a|b", "a/b?c#d"]
+    pairs = [(t, "src0") for t in texts] + [("A Title", s) for s in sources] + [(None, None), ("", "")]
+    odd = [(i, *pair) for i, pair in enumerate((p for p in pairs for _ in range(6)), -12)] + [(None, "A Title", "src0")]
+    spark.createDataFrame(odd, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect(config={"threads": 2})
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(catalog.oracle_sql()["work_identity_keys"]).df()
+    assert len(want) == len(odd)
+    assert rows(catalog.queries()["work_identity_keys"](spark, str(tmp_path)).toPandas()) == rows(want)
